@@ -67,23 +67,22 @@ def threats(rows: DataFrame, keys: list[str]) -> DataFrame:
         F.max_by("timestamp", F.when(acted, seq)).alias("action_time"),
         last(action, acted).alias("action"), last(_f("Remediation User"), acted).alias("remediation"),
         last(further, acted).alias("additional_actions"),
-        # Candidates for the threat time: every detection, and the first event when that one is an action.
-        F.min(F.struct(seq.alias("seq"), found.alias("found"), F.col("timestamp").alias("ts"), F.col("_record_key").alias("rk"))).alias("_first"),
+        # Candidates for the threat time: every detection, and the first timed event even when that one is an action.
+        F.min(F.when(timed, F.struct(seq.alias("seq"), found.alias("found"), F.col("timestamp").alias("ts")))).alias("_first"),
         F.min(F.when(found & timed, F.struct(F.col("timestamp").alias("ts"), seq.alias("seq"), F.col("_record_key").alias("rk")))).alias("_found"),
-        # Without any timed detection the first timed action fills the blank.
-        F.min(F.when(acted & timed, F.struct(seq.alias("seq"), F.col("timestamp").alias("ts")))).alias("_acted"),
-        F.min(F.when(acted & F.col("_record_key").isNotNull(), F.struct(seq.alias("seq"), F.col("_record_key").alias("rk")))).alias("_acted_key"),
+        F.min(F.when(acted & F.col("_record_key").isNotNull(), F.struct(seq.alias("seq"), F.col("_record_key").alias("rk")))).alias("_acted"),
+    )
+    by_detection = F.col("_first.found") | F.coalesce(F.col("_found.ts") < F.col("_first.ts"), F.lit(False))
+    ready = merged.withColumn("_ts", F.when(by_detection, F.col("_found.ts")).otherwise(F.col("_first.ts"))).withColumn(
+        "_rk", F.when(by_detection, F.col("_found.rk")).otherwise(F.col("_acted.rk"))
     )
-    opening = F.when(~F.col("_first.found") & F.col("_first.ts").isNotNull(), F.struct(F.col("_first.ts").alias("ts"), F.col("_first.seq").alias("seq"), F.col("_first.rk").alias("rk")))
-    best = F.when(opening.isNull(), F.col("_found")).when(F.col("_found.ts") < opening["ts"], F.col("_found")).otherwise(opening)
-    ready = merged.withColumn("_best", best)
     return overview_row(
-        ready, "Defender", keys, section="threat", timestamp=F.coalesce("_best.ts", "_acted.ts"), event_id=F.col("event_id"),
+        ready, "Defender", keys, section="threat", timestamp=F.col("_ts"), event_id=F.col("event_id"),
         title=F.col("title"), detail=F.col("detail"), severity=F.col("severity"), category=F.col("category"),
         action=F.coalesce("action", F.lit("detected only")), action_time=F.col("action_time"), process=F.col("process"),
         user=F.col("user"), detection_user=F.col("user"), source=F.col("source"), origin=F.col("origin"),
         remediation=F.col("remediation"), additional_actions=F.col("additional_actions"),
-        record_key=F.coalesce("_best.rk", "_acted_key.rk"),
+        record_key=F.col("_rk"),
     )
 
 
