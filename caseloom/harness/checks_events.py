@@ -106,9 +106,6 @@ def _(spark, sf):
     return df.select("_rowid", ed.field(d, "LogonType").alias("logon_type"), ed.field(d, "SessionID", under="EventXML").alias("session_id"), ed.field(d, "Detection ID").alias("detection"))
 
 
-_RULE_LABELS = {("Microsoft-Windows-Security-Auditing", "4624"): 1}
-
-
 @check("f26_event_catalog", "ev", f"""
 SELECT host_id, EventID, event_category, event_label, count(*) AS rows FROM ev JOIN (VALUES
   ({SEC}, '4624', 'logon', 'logon succeeded'), ({SEC}, '4625', 'logon', 'logon failed'), ({LSM}, '21', 'remote desktop', 'session logon'),
@@ -136,7 +133,7 @@ def _(spark, sf):
 SELECT _rowid, concat_ws(',', CASE LevelName WHEN 'Critical' THEN 'critical_event' WHEN 'Error' THEN 'error_event' END,
   CASE WHEN EventID = '4625' THEN 'logon_failure' END, CASE WHEN EventID = '4624' AND {jx('LogonType')} = '10' THEN 'remote_desktop_logon' END,
   CASE WHEN EventID = '4624' AND {jx('LogonType')} = '3' THEN 'network_logon' END, CASE WHEN EventID = '1116' THEN 'malware_detected' END,
-  CASE WHEN EventID = '5001' THEN 'realtime_protection_off' END) AS tags FROM ev""")
+  CASE WHEN EventID = '1102' THEN 'audit_log_cleared' END, CASE WHEN EventID = '5001' THEN 'realtime_protection_off' END) AS tags FROM ev""")
 def _(spark, sf):
     found = F.concat(tags.level_tags("LevelName"), tags.security_tags("Provider", "EventID", "EventData"))
     return EV(spark, sf).select("_rowid", tags.tag_codes(found).alias("tags"))
@@ -236,9 +233,6 @@ def _(spark, sf):
     return kept.select("host_id", "start_row", "remote_address")
 
 
-PEER_HOST_SQL = """, addr AS (SELECT u.ip, min(host_id) AS peer_host FROM (SELECT host_id, unnest(['10.0.0.' || @n(user_id % 250), '172.16.0.' || @n(user_id % 9)]) AS ip FROM events, (SELECT 'host' || @n(i) AS host_id, i FROM range(4) r(i)) WHERE user_id % 4 = i) u GROUP BY 1)"""
-
-
 @check("q4_remote_sessions", "ev facts", rdp_sql(SESSION_SQL + """,
 addr AS (SELECT ip, min(host_id) AS peer_host FROM (SELECT DISTINCT host_id, '10.0.0.' || @n(_rowid @div 20 % 250) AS ip FROM facts WHERE _rowid % 20 = 0) GROUP BY 1)
 SELECT se.host_id, start_row, remote_address, peer_host, events FROM se LEFT JOIN addr ON remote_address = ip WHERE success > 0"""))

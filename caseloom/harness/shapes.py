@@ -18,57 +18,55 @@ PREFIX_V = "00" * 12 + "00000000" + "24000000" + "00000000" + "24000000" + "2400
 
 SHAPES: dict[str, str] = {}
 
-SHAPES["ev0"] = """
-SELECT event_id, user_id, event_type, ts,
-  CASE WHEN event_id % 500 = 499 THEN 'broken'
-       WHEN event_type = 'signup' AND event_id % 10 = 0 THEN 'smb'
-       WHEN event_type IN ('signup', 'error') THEN 'security'
-       WHEN event_type = 'click' THEN 'session' WHEN event_type = 'view' THEN 'client' ELSE 'defender' END AS family
-FROM @t(events)
-"""
-
-SHAPES["ev"] = """
-SELECT 'host' || @n(user_id % 4) AS host_id, @fmt[ts] AS timestamp,
-  CASE family WHEN 'smb' THEN 'Microsoft-Windows-SMBServer' WHEN 'security' THEN 'Microsoft-Windows-Security-Auditing'
-    WHEN 'session' THEN 'Microsoft-Windows-TerminalServices-LocalSessionManager'
-    WHEN 'client' THEN 'Microsoft-Windows-TerminalServices-ClientActiveXCore'
-    WHEN 'defender' THEN 'Microsoft-Windows-Windows Defender' END AS Provider,
-  CASE family WHEN 'smb' THEN CASE WHEN event_id % 20 = 0 THEN '551' ELSE '1009' END
-    WHEN 'security' THEN CASE WHEN event_type = 'signup' THEN '4624' ELSE '4625' END
-    WHEN 'session' THEN CASE event_id % 4 WHEN 0 THEN '21' WHEN 1 THEN '23' WHEN 2 THEN '24' ELSE '25' END
-    WHEN 'client' THEN CASE event_id % 4 WHEN 0 THEN '1024' WHEN 1 THEN '1025' WHEN 2 THEN '1026' ELSE '1102' END
-    WHEN 'defender' THEN CASE event_id % 8 WHEN 0 THEN '5000' WHEN 1 THEN '5001' WHEN 2 THEN '1116' WHEN 3 THEN '1117'
-      WHEN 4 THEN '1001' WHEN 5 THEN '2000' WHEN 6 THEN '5007' ELSE '1013' END END AS EventID,
+# One branch per log, so a filter on provider or log folds away the other branches as partition pruning would.
+_SHARED = """
+SELECT 'host' || @n(user_id % 4) AS host_id, @fmt[ts] AS timestamp, {provider} AS Provider, {event} AS EventID,
   'Operational' AS Channel, @n(event_id % 6) AS Level,
   CASE event_id % 6 WHEN 1 THEN 'Critical' WHEN 2 THEN 'Error' WHEN 3 THEN 'Warning' WHEN 5 THEN 'Verbose' ELSE 'Information' END AS LevelName,
   'PC' || @n(user_id % 4) AS Computer, @n(event_id) AS EventRecordID, @n(event_id % 50) AS ProcessID, '1' AS ThreadID,
   CASE WHEN event_id % 3 = 0 THEN 'S-1-5-21-1-2-3-' || @n(1000 + user_id % 200) ELSE '' END AS UserID,
-  CASE family
-    WHEN 'smb' THEN @'{"EventData":{"ClientName":"\\\\\\\\10.0.1.' || @n(user_id % 250) || '","UserName":"CORP/user' || @n(user_id % 200) || '@corp.local"}}'
-    WHEN 'security' THEN '{"LogonType":"' || CASE event_id % 3 WHEN 0 THEN '2' WHEN 1 THEN '3' ELSE '10' END
-      || '","IpAddress":"' || CASE WHEN event_id % 11 = 0 THEN '-' ELSE '10.0.0.' || @n(user_id % 250) END
-      || @'","TargetUserName":"CORP\\\\user' || @n(user_id % 200)
-      || CASE WHEN event_id % 4 = 0 THEN '","TargetUserSid":"S-1-5-21-1-2-3-' || @n(1000 + user_id % 200) ELSE '' END || '"}'
-    WHEN 'session' THEN CASE WHEN event_id % 7 = 0 THEN '{"EventXML":' ELSE '' END
-      || '{"SessionID":' || @n(user_id % 5) || CASE WHEN event_id % 3 = 0 THEN ',"Address":"172.16.0.' || @n(user_id % 9) || '"' ELSE '' END
-      || CASE WHEN event_id % 5 = 0 THEN @',"User":"CORP\\\\user' || @n(user_id % 200) || '"' ELSE '' END || '}'
-      || CASE WHEN event_id % 7 = 0 THEN '}' ELSE '' END
-    WHEN 'client' THEN CASE WHEN event_id % 4 IN (0, 3) THEN '{"Value":"192.168.0.' || @n(user_id % 7) || '"}' ELSE '{}' END
-    WHEN 'defender' THEN '{"Detection ID":"' || @n(user_id % 300) || '","Threat Name":"T' || @n(user_id % 7) || '","Severity Name":"'
-      || CASE event_id % 3 WHEN 0 THEN 'High' ELSE '' END || @'","Path":"C:\\\\Temp\\\\f' || @n(event_id % 100) || '.exe","Action Name":"'
-      || CASE event_id % 4 WHEN 3 THEN 'Quarantine' ELSE '' END || '","Scan Type":"' || CASE event_id % 12 WHEN 4 THEN 'Quick' ELSE 'Full' END
-      || '","Current security intelligence Version":"1.' || @n(event_id) || '","New Value":"' || CASE event_id % 16 WHEN 6 THEN 'DisableRealtimeMonitoring = 1' ELSE 'Other' END
-      || '","Old Value":"0","Domain":"CORP","User":"user' || @n(user_id % 200) || '"}'
-    ELSE 'not json' END AS EventData,
-  CASE family WHEN 'smb' THEN 'Microsoft-Windows-SMBServer%4Security' WHEN 'security' THEN 'Security'
-    WHEN 'session' THEN 'Microsoft-Windows-TerminalServices-LocalSessionManager%4Operational'
-    WHEN 'client' THEN 'Microsoft-Windows-TerminalServices-RDPClient%4Operational'
-    WHEN 'defender' THEN 'Microsoft-Windows-Windows Defender%4Operational' ELSE 'Damaged' END AS log,
-  CASE WHEN family = 'broken' THEN 'corrupted' ELSE 'ok' END AS _status
-  , event_id AS _rowid
-FROM (@shape(ev0))
+  {data} AS EventData, '{log}' AS log, '{status}' AS _status, event_id AS _rowid, '/EVENTLOG/{log}.evtx' AS _source_file, '{log}.evtx::' || @n(event_id) AS _record_key
+FROM @t(events) WHERE {where}
 """
-SHAPES["ev"] = "SELECT *, '/EVENTLOG/' || log || '.evtx' AS _source_file, log || '.evtx::' || @n(_rowid) AS _record_key FROM (" + SHAPES["ev"] + ")"
+_SECURITY_DATA = """'{"LogonType":"' || CASE event_id % 3 WHEN 0 THEN '2' WHEN 1 THEN '3' ELSE '10' END
+  || '","IpAddress":"' || CASE WHEN event_id % 11 = 0 THEN '-' ELSE '10.0.0.' || @n(user_id % 250) END
+  || @'","TargetUserName":"CORP\\\\user' || @n(user_id % 200)
+  || CASE WHEN event_id % 4 = 0 THEN '","TargetUserSid":"S-1-5-21-1-2-3-' || @n(1000 + user_id % 200) ELSE '' END || '"}'"""
+_SESSION_DATA = """CASE WHEN event_id % 7 = 0 THEN '{"EventXML":' ELSE '' END
+  || '{"SessionID":' || @n(user_id % 5) || CASE WHEN event_id % 3 = 0 THEN ',"Address":"172.16.0.' || @n(user_id % 9) || '"' ELSE '' END
+  || CASE WHEN event_id % 5 = 0 THEN @',"User":"CORP\\\\user' || @n(user_id % 200) || '"' ELSE '' END || '}'
+  || CASE WHEN event_id % 7 = 0 THEN '}' ELSE '' END"""
+_DEFENDER_DATA = """'{"Detection ID":"' || @n(user_id % 300) || '","Threat Name":"T' || @n(user_id % 7) || '","Severity Name":"'
+  || CASE event_id % 3 WHEN 0 THEN 'High' ELSE '' END || @'","Path":"C:\\\\Temp\\\\f' || @n(event_id % 100) || '.exe","Action Name":"'
+  || CASE event_id % 4 WHEN 3 THEN 'Quarantine' ELSE '' END || '","Scan Type":"' || CASE event_id % 12 WHEN 4 THEN 'Quick' ELSE 'Full' END
+  || '","Current security intelligence Version":"1.' || @n(event_id) || '","New Value":"' || CASE event_id % 16 WHEN 6 THEN 'DisableRealtimeMonitoring = 1' ELSE 'Other' END
+  || '","Old Value":"0","Domain":"CORP","User":"user' || @n(user_id % 200) || '"}'"""
+_SMB_DATA = """@'{"EventData":{"ClientName":"\\\\\\\\10.0.1.' || @n(user_id % 250) || '","UserName":"CORP/user' || @n(user_id % 200) || '@corp.local"}}'"""
+_CLIENT_DATA = """CASE WHEN event_id % 4 IN (0, 3) THEN '{"Value":"192.168.0.' || @n(user_id % 7) || '"}' ELSE '{}' END"""
+_GOOD = "event_id % 500 <> 499 AND "
+_BRANCHES = [
+    dict(provider="'Microsoft-Windows-SMBServer'", event="CASE WHEN event_id % 20 = 0 THEN '551' ELSE '1009' END", data=_SMB_DATA, log="Microsoft-Windows-SMBServer%4Security",
+         where=_GOOD + "event_type = 'signup' AND event_id % 10 = 0"),
+    dict(provider="'Microsoft-Windows-Security-Auditing'", event="'4624'", data=_SECURITY_DATA, log="Security", where=_GOOD + "event_type = 'signup' AND event_id % 10 <> 0"),
+    dict(provider="'Microsoft-Windows-Security-Auditing'", event="'4625'", data=_SECURITY_DATA, log="Security", where=_GOOD + "event_type = 'error'"),
+    dict(provider="'Microsoft-Windows-TerminalServices-LocalSessionManager'", event="CASE event_id % 4 WHEN 0 THEN '21' WHEN 1 THEN '23' WHEN 2 THEN '24' ELSE '25' END",
+         data=_SESSION_DATA, log="Microsoft-Windows-TerminalServices-LocalSessionManager%4Operational", where=_GOOD + "event_type = 'click'"),
+    dict(provider="'Microsoft-Windows-TerminalServices-ClientActiveXCore'", event="CASE event_id % 4 WHEN 0 THEN '1024' WHEN 1 THEN '1025' WHEN 2 THEN '1026' ELSE '1102' END",
+         data=_CLIENT_DATA, log="Microsoft-Windows-TerminalServices-RDPClient%4Operational", where=_GOOD + "event_type = 'view'"),
+    dict(provider="'Microsoft-Windows-Windows Defender'", data=_DEFENDER_DATA, log="Microsoft-Windows-Windows Defender%4Operational", where=_GOOD + "event_type = 'purchase'",
+         event="CASE event_id % 8 WHEN 0 THEN '5000' WHEN 1 THEN '5001' WHEN 2 THEN '1116' WHEN 3 THEN '1117' WHEN 4 THEN '1001' WHEN 5 THEN '2000' WHEN 6 THEN '5007' ELSE '1013' END"),
+    dict(provider="CAST(NULL AS STRING)", event="CAST(NULL AS STRING)", data="'not json'", log="Damaged", status="corrupted", where="event_id % 500 = 499"),
+]
+
+
+def _branch(parts: dict[str, str]) -> str:
+    text = _SHARED
+    for name, value in {"status": "ok", **parts}.items():
+        text = text.replace("{" + name + "}", value)
+    return text
+
+
+SHAPES["ev"] = "UNION ALL".join(_branch(b) for b in _BRANCHES)
 
 SHAPES["sb"] = """
 SELECT 'host' || @n(conv_id % 4) AS host_id, @at[conv_id * 3600 + turn * 60] AS timestamp, 'Microsoft-Windows-PowerShell' AS Provider,

@@ -172,20 +172,20 @@ def cluster_sessions(
     ).drop(SPAN, "_key", "_local_start", "_start", "_start_in", "_fix_first", "_fix_address")
 
 
-def fill_from_key(df: DataFrame, keys: list[str], order_key: Column, columns: list[str]) -> DataFrame:
+def fill_from_key(df: DataFrame, keys: list[str], optional: str, order_key: Column, columns: list[str]) -> DataFrame:
     """Fill empty columns with the last non-empty value of the same key over the whole scan.
 
-    The lookup side is pre-aggregated to one row per key; a hot key on the row side is split by the adaptive skew join.
+    Rows whose ``optional`` key part is NULL belong to no key and stay as they are. The lookup side is aggregated to
+    one row per key; a hot key on the row side is split by the adaptive skew join, and keyless rows are spread by hash
+    instead of meeting in one task.
     """
-    known = df.filter(F.concat_ws("", *[F.col(k).cast("string") for k in keys]) != "")
-    for k in keys:
-        known = known.filter(F.col(k).isNotNull())
-    latest = known.groupBy(*keys).agg(
+    latest = df.filter(F.col(optional).isNotNull()).groupBy(*keys, F.col(optional).alias("_k")).agg(
         *[F.max_by(c, F.when(F.col(c).isNotNull(), order_key)).alias(f"_last_{c}") for c in columns]
     )
-    joined = df.join(latest, keys, "left")
+    keyless = F.concat(F.lit("\u0000"), F.xxhash64(order_key).cast("string"))
+    joined = df.withColumn("_k", F.coalesce(F.col(optional), keyless)).join(latest, [*keys, "_k"], "left")
     for c in columns:
-        joined = joined.withColumn(c, F.coalesce(c, f"_last_{c}")).drop(f"_last_{c}")
+        joined = joined.withColumn(c, F.coalesce(c, f"_last_{c}"))
     return joined.select(*df.columns)
 
 

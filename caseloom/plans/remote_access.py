@@ -75,16 +75,18 @@ def remote_desktop_events(events: DataFrame, keys: list[str] = HOST) -> DataFram
 
 def backfill_sessions(rows: DataFrame, keys: list[str] = HOST) -> DataFrame:
     """Rows of a session take the last address and account seen for it anywhere in the scan."""
-    in_session = rows.filter(F.col("session_key").isNotNull())
-    filled = ordered.fill_from_key(in_session, [*keys, "session_key"], scan_seq(), ["remote_address", "account"])
-    return rows.filter(F.col("session_key").isNull()).unionByName(filled)
+    return ordered.fill_from_key(rows, keys, "session_key", scan_seq(), ["remote_address", "account"])
 
 
 def carry_outbound(rows: DataFrame, keys: list[str] = HOST, tolerance_ms: int = CARRY_MS) -> DataFrame:
-    """Outbound rows without an address take the latest earlier outbound address of at most five minutes ago."""
-    outbound = rows.filter(F.col("direction") == "outbound").withColumn("_t", times.epoch_millis("timestamp"))
-    carried = ordered.carry_within(outbound, tuple(keys), "_t", SCAN_TIES, "remote_address", tolerance_ms, "remote_address")
-    return rows.filter(F.col("direction") != "outbound").unionByName(carried.drop("_t").select(*rows.columns))
+    """Outbound rows without an address take the latest earlier outbound address of at most five minutes ago.
+
+    Inbound rows pass through the same cells without giving or taking, so the input is read once.
+    """
+    outbound = F.col("direction") == "outbound"
+    timed = rows.withColumn("_t", times.epoch_millis("timestamp")).withColumn("_address", F.when(outbound, F.col("remote_address")))
+    carried = ordered.carry_within(timed, (*keys, "direction"), "_t", SCAN_TIES, "_address", tolerance_ms, "_address")
+    return carried.withColumn("remote_address", F.when(outbound, F.col("_address")).otherwise(F.col("remote_address"))).select(*rows.columns)
 
 
 def remote_desktop_history(events: DataFrame, keys: list[str] = HOST, tolerance_ms: int = CARRY_MS) -> DataFrame:
