@@ -3,6 +3,6 @@
 
 def load_checks():
     """Import every check module once and return the filled registry."""
-    from caseloom.harness import checks_events, registry  # noqa: F401
+    from caseloom.harness import checks_events, checks_registry, registry  # noqa: F401
 
     return registry

@@ -180,13 +180,15 @@ def target_info(registry: DataFrame, keys: list[str] = HOST) -> DataFrame:
     return union_all([system_facts(registry, keys), accounts(registry, keys), networks(registry, keys), network_interfaces(registry, keys)])
 
 
-def deduplicated_facts(info: DataFrame, keys: list[str] = HOST) -> dict[str, DataFrame]:
-    """Display facts: repeated rows removed, one value per system fact, the latest row per network, one per interface."""
+def deduplicated_facts(info: DataFrame, keys: list[str] = HOST, order: Column | None = None) -> dict[str, DataFrame]:
+    """Display facts: repeated rows removed, the first non-empty value per system fact, the latest row per network, one
+    per interface. Without an ``order`` the smallest value stands for the first.
+    """
     rows = info.dropDuplicates([*keys, "category", "name", "value", "timestamp"])
     system = rows.filter(F.col("category").isin("SystemInfo", "OS", "System"))
     shown = first_present("value", "timestamp")
     return {
-        "system": system.groupBy(*keys, "name").agg(F.min(shown).alias("value")),
+        "system": system.groupBy(*keys, "name").agg(F.min_by(shown, F.when(shown.isNotNull(), shown if order is None else order)).alias("value")),
         "networks": rows.filter(F.col("category") == "Network").groupBy(*keys, F.col("value").alias("name")).agg(F.max("timestamp").alias("timestamp")),
         "interfaces": rows.filter((F.col("category") == "NetworkInterface") & F.col("value").isNotNull()).dropDuplicates([*keys, "value", "name"]),
     }
