@@ -38,6 +38,15 @@ def all_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions, F.lit(True))
 
 
+def with_computed(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add an expensive value that is computed once per row.
+
+    A plain projection would be folded into every later filter and expression that mentions it, so a parsed payload
+    would be parsed again for each. A one-element generator keeps the value where it is and stays inside codegen.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def literal_map(pairs: dict[str, str]) -> Column:
     return F.create_map(*[F.lit(x) for pair in pairs.items() for x in pair])
 

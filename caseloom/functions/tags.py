@@ -52,9 +52,14 @@ def level_tags(level: Column | str) -> Column:
     ])
 
 
-def security_tags(provider: Column | str, event_id: Column | str, event_data: Column | str) -> Column:
+def tag_payload(event_data: Column | str) -> Column:
+    """The payload fields the event rules look at."""
+    return payload(event_data, ["LogonType", "TargetUserName", "ScriptBlockText"])
+
+
+def security_tags(provider: Column | str, event_id: Column | str, data: Column) -> Column:
+    """Event rules over a parsed ``tag_payload``."""
     p, e = text(provider), text(event_id)
-    data = payload(event_data, ["LogonType", "TargetUserName", "ScriptBlockText"])
     logon, group = text(data["LogonType"]), text(data["TargetUserName"])
     admin = group.rlike("(?i)admin|관리자")
     added = e.isin("4728", "4732", "4756")

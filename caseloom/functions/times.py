@@ -40,11 +40,9 @@ def epoch_millis(ts: Column | str) -> Column:
 
 def filetime(ticks: Column) -> Column:
     """100 ns ticks since 1601: half-even to microseconds, floor to milliseconds, blank at or below zero."""
-    q = int_div(ticks, 10)
-    r = ticks % F.lit(10)
-    up = (r > 5) | ((r == 5) & (q % F.lit(2) != 0))
-    micros = q + F.when(up, F.lit(1)).otherwise(F.lit(0)) - F.lit(MICROS_1601_TO_1970)
-    return F.when(ticks > 0, render_micros(micros))
+    # Adding 4 rounds sixes and above up; the parity of the tens decides a five.
+    micros = int_div(ticks + F.lit(4) + int_div(ticks, 10) % F.lit(2), 10) - F.lit(MICROS_1601_TO_1970)
+    return F.when((ticks > 0) & (ticks < F.lit(9_223_372_036_854_775_800)), render_micros(micros))
 
 
 def filetime_ns(epoch_nanos: Column) -> Column:

@@ -39,7 +39,7 @@ def base64_decoded_size(encoded_length: Column, tail: Column) -> Column:
 
 def response_headers(raw: Column | str) -> Column:
     """Header text to (status, map): lines are split at the first colon, keys in lower case, the last one wins."""
-    lines = F.filter(F.transform(F.split(col(raw), r"\r?\n|\u0000"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(col(raw), r"\r?\n|\u0000"), lambda x: F.trim(x)), lambda x: x != "")
     first = F.get(lines, F.lit(0))
     pairs = F.transform(
         F.filter(F.slice(lines, 2, 100000), lambda x: x.contains(":")),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from caseloom.functions import eventdata as ed
 from caseloom.functions import lookups, tags, times
 from caseloom.functions import text as tx
-from caseloom.functions.core import text
+from caseloom.functions.core import text, with_computed
 from caseloom.harness.registry import check
 from caseloom.harness.shapes import shape
 from caseloom.operators import compare, ordered, rollups
@@ -135,8 +135,8 @@ SELECT _rowid, concat_ws(',', CASE LevelName WHEN 'Critical' THEN 'critical_even
   CASE WHEN EventID = '4624' AND {jx('LogonType')} = '3' THEN 'network_logon' END, CASE WHEN EventID = '1116' THEN 'malware_detected' END,
   CASE WHEN EventID = '1102' THEN 'audit_log_cleared' END, CASE WHEN EventID = '5001' THEN 'realtime_protection_off' END) AS tags FROM ev""")
 def _(spark, sf):
-    found = F.concat(tags.level_tags("LevelName"), tags.security_tags("Provider", "EventID", "EventData"))
-    return EV(spark, sf).select("_rowid", tags.tag_codes(found).alias("tags"))
+    found = F.concat(tags.level_tags("LevelName"), tags.security_tags("Provider", "EventID", F.col("_d")))
+    return with_computed(EV(spark, sf), "_d", tags.tag_payload("EventData")).select("_rowid", tags.tag_codes(found).alias("tags"))
 
 
 @check("f23_flattened_payload", "ev", f"""

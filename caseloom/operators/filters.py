@@ -63,8 +63,8 @@ class ActivityFilter:
             parts.append(F.col("timestamp") <= self.end)
         if self.search and self.search.strip():
             # Wildcards of the analyst's pattern keep their meaning here, unlike in the case-wide search.
-            pattern = F.lit(f"%{self.search.strip().lower()}%")
-            parts.append(any_of([F.lower(text(c)).like(pattern) for c in ("url", "title", "url_raw")]))
+            pattern = F.lit("%" + self.search.strip().lower().replace("\\", "\\\\") + "%")
+            parts.append(any_of([F.like(F.lower(text(c)), pattern) for c in ("url", "title", "url_raw")]))
         return all_of(parts)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caseloom.functions import times
-from caseloom.functions.core import any_of, blank_to_null, first_present, text
+from caseloom.functions.core import any_of, blank_to_null, first_present, text, with_computed
 from caseloom.operators import ordered
 from caseloom.plans.common import HOST
 from caseloom.sources.raw import SCAN_TIES
@@ -73,7 +73,7 @@ def conversations(cache: DataFrame, keys: list[str] = HOST, start: str | None =
         rows = rows.filter(text("date") <= end)
     body = F.try_validate_utf8(F.try_to_binary("body_b64", F.lit("base64")).cast("string"))
     clean = F.regexp_replace(body, r"^[)\]'\n\r ]+", "")
-    parsed = rows.withColumn("provider", provider("url")).filter(F.col("provider").isNotNull()).withColumn("payload", F.try_parse_json(clean))
+    parsed = with_computed(rows.withColumn("provider", provider("url")).filter(F.col("provider").isNotNull()), "payload", F.try_parse_json(clean))
     known = parsed.filter(F.col("payload").isNotNull() & is_conversation(F.col("provider"), F.col("url"), F.col("payload")))
     has_title = F.try_variant_get("payload", "$.title", "variant").isNotNull()
     titled = F.when(has_title, F.try_variant_get("payload", "$.title", "variant")).otherwise(F.try_variant_get("payload", "$.name", "variant"))

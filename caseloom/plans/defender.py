@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from caseloom.functions import eventdata as ed
 from caseloom.functions import tags, times
-from caseloom.functions.core import any_of, blank_to_null, text
+from caseloom.functions.core import any_of, blank_to_null, text, with_computed
 from caseloom.operators import ordered
 from caseloom.plans.common import HOST, overview_row, union_all
 from caseloom.sources.raw import SCAN_TIES, logs_named, scan_seq
@@ -33,7 +33,7 @@ RELEVANT = [*DETECTIONS, *ACTIONS, "5000", "5001", "5004", "5007", "5010", "5012
 def defender_events(events: DataFrame) -> DataFrame:
     """Relevant antivirus events with their payload parsed once."""
     rows = logs_named(events, "defender").filter(F.col("EventID").isin(*RELEVANT))
-    return rows.withColumn("_d", ed.payload("EventData", FIELDS))
+    return with_computed(rows, "_d", ed.payload("EventData", FIELDS))
 
 
 def _f(name: str) -> Column:

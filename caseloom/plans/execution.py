@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from caseloom.functions import hexbin, tags, times
 from caseloom.functions import text as tx
-from caseloom.functions.core import any_of, blank_to_null, first_present, text
+from caseloom.functions.core import any_of, blank_to_null, text, with_computed
 from caseloom.operators import ordered
 from caseloom.plans.common import HOST, overview_row, union_all
 from caseloom.sources.raw import SCAN_TIES, hive, record_key, scan_seq, source_stem, user_hives
@@ -23,12 +23,13 @@ def usage_counters(registry: DataFrame, keys: list[str] = HOST) -> DataFrame:
         F.contains("key_path", F.lit("UserAssist")) & F.col("key_path").endswith("\\Count") & ~text("value_name").isin("", "(default)")
     )
     rows = rows.withColumn("_path", tx.rot13("value_name")).filter(~F.col("_path").isin(*USAGE_MARKERS))
-    h = hexbin.clean_hex("value_data")
+    h = F.col("_hex")
     full = F.length(h) >= 2 * 68
+    rows = with_computed(with_computed(rows, "_hex", hexbin.clean_hex("value_data")), "_ts", F.when(full, hexbin.filetime_at(h, 60)))
     number = lambda at: F.when(full, hexbin.le_uint(h, at, 4))
     user = F.regexp_replace("hive", r"(?i)_NTUSER\.DAT$", "")
     return overview_row(
-        rows, "ExecutionHistory", [*keys, *SCAN_TIES], timestamp=F.when(full, hexbin.filetime_at(h, 60)),
+        rows, "ExecutionHistory", [*keys, *SCAN_TIES], timestamp=F.col("_ts"),
         program_name=tx.last_segment("_path"), program_path=F.col("_path"), run_count=number(4), focus_count=number(8),
         focus_time_ms=number(12), user=user, source_artifact="UserAssist", record_key=record_key("Registry", F.col("hive")),
     )
@@ -40,10 +41,12 @@ def activity_moderator(registry: DataFrame, keys: list[str] = HOST) -> DataFrame
     rows = hive(registry, "SYSTEM").filter(
         low.contains("\\services\\bam") & low.contains("\\usersettings\\") & F.lower(text("value_name")).endswith(".exe")
     )
-    h = hexbin.clean_hex("value_data")
+    h = F.col("_hex")
+    rows = with_computed(rows, "_hex", hexbin.clean_hex("value_data"))
+    rows = with_computed(rows, "_ts", F.when(F.length(h) >= 16, hexbin.filetime_at(h, 0)))
     sid = F.substring_index(F.regexp_extract("key_path", r"^(?:[\s\S]*UserSettings\\)?([\s\S]*)$", 1), "\\", 1)
     return overview_row(
-        rows, "ExecutionHistory", [*keys, *SCAN_TIES], timestamp=F.when(F.length(h) >= 16, hexbin.filetime_at(h, 0)),
+        rows, "ExecutionHistory", [*keys, *SCAN_TIES], timestamp=F.col("_ts"),
         program_name=tx.last_segment("value_name"), program_path=F.col("value_name"), user=blank_to_null(sid),
         source_artifact="BAM", record_key=record_key("Registry", F.col("hive")),
     )

@@ -9,7 +9,7 @@ from caseloom.functions import eventdata as ed
 from caseloom.functions import lookups as lk
 from caseloom.functions import text as tx
 from caseloom.functions import times
-from caseloom.functions.core import blank_to_null, text
+from caseloom.functions.core import blank_to_null, text, with_computed
 from caseloom.operators import ordered
 from caseloom.plans.common import HOST, overview_row, union_all
 from caseloom.sources.raw import SCAN_TIES, live_hives, scan_seq
@@ -46,8 +46,8 @@ def powershell_history(events: DataFrame, registry: DataFrame, keys: list[str] =
     rows = events.filter(modern | classic)
 
     # 4104: single blocks stay rows, multi-part blocks are put together.
-    script = rows.filter((F.col("Provider") == lk.POWERSHELL) & (F.col("EventID") == "4104")).withColumn(
-        "_d", ed.payload("EventData", ["ScriptBlockText", "Path", "ScriptBlockId", "MessageTotal", "MessageNumber"])
+    script = with_computed(
+        rows.filter((F.col("Provider") == lk.POWERSHELL) & (F.col("EventID") == "4104")), "_d", ed.payload("EventData", ["ScriptBlockText", "Path", "ScriptBlockId", "MessageTotal", "MessageNumber"])
     )
     number = lambda name: F.coalesce(F.trim(d[name]).try_cast("bigint"), F.lit(1))
     script = script.withColumn("_id", blank_to_null(d["ScriptBlockId"])).withColumn("_total", number("MessageTotal")).withColumn("_number", number("MessageNumber"))
@@ -55,15 +55,15 @@ def powershell_history(events: DataFrame, registry: DataFrame, keys: list[str] =
     single = with_account(script.filter(~is_part), names, keys)
     blocks = with_account(join_blocks(script.filter(is_part), keys), names, keys)
 
-    pipeline = rows.filter((F.col("Provider") == lk.POWERSHELL) & (F.col("EventID") == "4103")).withColumn(
-        "_d", ed.payload("EventData", ["ContextInfo", "Payload"])
+    pipeline = with_computed(
+        rows.filter((F.col("Provider") == lk.POWERSHELL) & (F.col("EventID") == "4103")), "_d", ed.payload("EventData", ["ContextInfo", "Payload"])
     )
     pipeline = with_account(pipeline, names, keys)
     context = d["ContextInfo"]
     p_host = tx.labelled_value(context, HOST_LABELS)
     p_command = F.coalesce(blank_to_null(F.regexp_replace(d["Payload"], r"^\s+|\s+$", "")), tx.labelled_value(context, COMMAND_LABELS))
 
-    old = with_account(rows.filter(classic).withColumn("_blob", all_text("EventData")), names, keys)
+    old = with_account(with_computed(rows.filter(classic), "_blob", all_text("EventData")), names, keys)
     c_host, c_command = tx.after_token("_blob", "HostApplication="), tx.after_token("_blob", "CommandLine=")
     old = old.withColumn("_host", c_host).withColumn("_command", c_command).filter(
         F.col("_host").isNotNull() | F.col("_command").isNotNull()

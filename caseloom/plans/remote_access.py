@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from caseloom.functions import eventdata as ed
 from caseloom.functions import lookups as lk
 from caseloom.functions import times
-from caseloom.functions.core import blank_to_null, inline_rows
+from caseloom.functions.core import blank_to_null, inline_rows, with_computed
 from caseloom.functions.text import bare_account
 from caseloom.operators import ordered
 from caseloom.plans.common import HOST, union_all
@@ -51,9 +51,8 @@ def remote_desktop_events(events: DataFrame, keys: list[str] = HOST) -> DataFram
     relevant = events.filter(F.col("Provider").isin(*providers) & F.col("EventID").isin(*numbers))
     fields = ["IpAddress", "Param1", "Param3", "Address", "Value", "TargetUserName", "User"]
     sessions = ["SessionID", "Session", "TargetSession"]
-    data = relevant.join(F.broadcast(rules), ["Provider", "EventID"]).withColumn(
-        "_d", ed.payload("EventData", [*fields, *sessions, "LogonType"], {"EventXML": [*fields, *sessions]})
-    )
+    parsed = ed.payload("EventData", [*fields, *sessions, "LogonType"], {"EventXML": [*fields, *sessions]})
+    data = with_computed(relevant.join(F.broadcast(rules), ["Provider", "EventID"]), "_d", parsed)
     data = data.filter(~F.col("remote_only") | (F.col("_d.LogonType") == "10"))
 
     def by_rule(column: str, names: list[str]):
@@ -99,7 +98,7 @@ def file_share_history(events: DataFrame, keys: list[str] = HOST) -> DataFrame:
     logons = events.filter((F.col("Provider") == lk.SECURITY) & F.col("EventID").isin("4624", "4625"))
     names = ["LogonType", "IpAddress", "SourceNetworkAddress", "TargetUserName"]
     d = F.col("_d")
-    logons = logons.withColumn("_d", ed.payload("EventData", names, {"EventXML": names})).filter(
+    logons = with_computed(logons, "_d", ed.payload("EventData", names, {"EventXML": names})).filter(
         ed.field(d, "LogonType", under="EventXML") == "3"
     )
     ok = F.col("EventID") == "4624"
@@ -113,7 +112,7 @@ def file_share_history(events: DataFrame, keys: list[str] = HOST) -> DataFrame:
     )
     server = events.filter((F.col("Provider") == lk.SMB_SERVER) & F.col("EventID").isin("551", "1009"))
     inner = ["ClientName", "UserName"]
-    server = server.withColumn("_d", ed.payload("EventData", inner, {"EventData": inner})).select(
+    server = with_computed(server, "_d", ed.payload("EventData", inner, {"EventData": inner})).select(
         *keys, "timestamp", F.lit("inbound").alias("direction"),
         blank_to_null(F.trim(F.regexp_replace(ed.nested_first(d, "EventData", "ClientName"), r"^\\+", ""))).alias("remote_address"),
         bare_account(ed.nested_first(d, "EventData", "UserName")).alias("account"),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from caseloom.functions import eventdata as ed
 from caseloom.functions import tags, times
 from caseloom.functions import text as tx
-from caseloom.functions.core import any_of, blank_to_null, first_present, text
+from caseloom.functions.core import any_of, blank_to_null, text, with_computed
 from caseloom.schemas import overview_columns
 
 
@@ -54,7 +54,7 @@ def task_counts(reviewed: DataFrame, keys: list[str]) -> DataFrame:
 def report_review(reports: DataFrame) -> DataFrame:
     """Name, path, type and severity class, from the promoted columns or else from the report itself."""
     d = ed.payload("report", ["AppName", "AppPath", "EventType", "FriendlyEventName", "ReportIdentifier"])
-    rows = reports.withColumn("_d", d)
+    rows = with_computed(reports, "_d", d)
     inner = lambda c: blank_to_null(F.col(f"_d.{c}"))
     path = F.coalesce(blank_to_null("AppPath"), inner("AppPath"))
     name = F.coalesce(blank_to_null("AppName"), inner("AppName"), blank_to_null(tx.trimmed_basename(path)))

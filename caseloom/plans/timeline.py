@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from caseloom.functions import eventdata as ed
 from caseloom.functions import lookups, tags, times
 from caseloom.functions import text as tx
-from caseloom.functions.core import blank_to_null, first_present, text
+from caseloom.functions.core import blank_to_null, text, with_computed
 from caseloom.plans.common import HOST, union_all
 from caseloom.plans.execution import source_group
 
@@ -52,7 +52,7 @@ def browser_entries(activity: DataFrame, keys: list[str] = HOST) -> DataFrame:
 
 def event_title() -> Column:
     base = F.concat(F.lit("Event "), text("EventID"), F.coalesce(F.concat(F.lit(" · "), F.col("event_label")), F.lit("")))
-    logon = blank_to_null(ed.payload("EventData", ["LogonType"])["LogonType"])
+    logon = blank_to_null("_d.LogonType")
     name = F.when(F.lit(False), F.lit(""))
     for code, word in ed.LOGON_TYPES.items():
         name = name.when(logon == code, word)
@@ -62,8 +62,8 @@ def event_title() -> Column:
 
 def event_entries(events: DataFrame, keys: list[str] = HOST) -> DataFrame:
     """Event number 0 is a provider's own heartbeat and stays off the timeline."""
-    rows = lookups.with_catalog(events.filter(F.trim(text("EventID")) != "0"))
-    found = F.concat(tags.level_tags("LevelName"), tags.security_tags("Provider", "EventID", "EventData"))
+    rows = with_computed(lookups.with_catalog(events.filter(F.trim(text("EventID")) != "0")), "_d", tags.tag_payload("EventData"))
+    found = F.concat(tags.level_tags("LevelName"), tags.security_tags("Provider", "EventID", F.col("_d")))
     return _entries(rows, keys, "EVENTLOG", F.col("log"), None, event_title(), F.concat_ws(" · ", blank_to_null("Provider"), blank_to_null("Channel")), found)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caseloom.functions import times
-from caseloom.functions.core import any_of, blank_to_null, col
+from caseloom.functions.core import blank_to_null, col, with_computed
 from caseloom.functions.text import last_segment
 
 # Folders that are not an account name.
@@ -106,11 +106,12 @@ def error_reports(files: DataFrame, path: str = "path", content: str = "text") -
     A report stays one row from start to end, so nothing is shuffled.
     """
     keys = [c for c in files.columns if c not in (path, content)]
-    lines = files.select(*keys, F.col(path).alias("_source_file"), F.col(content).isNull().alias("_bad"), report_lines(F.col(content)).alias("_lines"))
+    named = files.select(*keys, F.col(path).alias("_source_file"), F.col(content).alias("_text"))
+    lines = with_computed(named, "_lines", report_lines(F.col("_text"))).withColumn("_bad", F.col("_text").isNull()).drop("_text")
     scalars = F.transform(
         F.filter("_lines", lambda p: p["family"].isNull()), lambda p: F.struct(p["key"].alias("k"), p["value"].alias("v"))
     )
-    rows = lines.withColumn("_scalars", _last_by_key(scalars)).withColumn(
+    rows = with_computed(lines, "_scalars", _last_by_key(scalars)).withColumn(
         "_families", F.array_distinct(F.transform(F.filter("_lines", lambda p: p["family"].isNotNull()), lambda p: p["family"]))
     )
     pick = lambda name: blank_to_null(F.get(F.filter("_scalars", lambda p: p["k"] == name), F.lit(0))["v"])
@@ -162,7 +163,7 @@ def scheduled_tasks(files: DataFrame, path: str = "path", content: str = "text")
     keys = [c for c in files.columns if c not in (path, content)]
     xml = F.trim(F.regexp_replace(F.regexp_replace(F.col(content), "^﻿", ""), r"(?s)^<\?xml.*?\?>", ""))
     parsed = F.from_xml("_xml", TASK_SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt", "rowTag": "Task"})
-    rows = files.select(*keys, F.col(path).alias("_source_file"), xml.alias("_xml")).withColumn("_t", parsed)
+    rows = with_computed(files.select(*keys, F.col(path).alias("_source_file"), xml.alias("_xml")), "_t", parsed)
     info, settings = F.col("_t.RegistrationInfo"), F.col("_t.Settings")
     principal = F.get(F.col("_t.Principals.Principal"), F.lit(0))
 
