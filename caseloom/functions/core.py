@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,6 +57,5 @@ def lookup(pairs: dict[str, str], key: Column) -> Column:
 
 
 def inline_rows(spark: SparkSession, columns: list[str], rows: list[tuple]) -> DataFrame:
-    """A small fixed table as a literal in the plan."""
-    structs = [F.struct(*[F.lit(v).alias(c) for c, v in zip(columns, row)]) for row in rows]
-    return spark.range(1).select(F.inline(F.array(*structs)))
+    """A small fixed table as a local relation in the plan."""
+    return spark.createDataFrame(pa.table({c: [row[i] for row in rows] for i, c in enumerate(columns)}))

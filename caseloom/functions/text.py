@@ -117,18 +117,18 @@ def rot13(value: Column | str) -> Column:
 
 
 def human_bytes(value: Column | str) -> Column:
-    """Bytes with a binary unit: whole bytes, else one decimal."""
+    """Bytes with a binary unit: whole bytes, else one decimal, ties to even."""
     n = F.trim(col(value)).try_cast("bigint")
     size = n.cast("double")
     steps = [(1024.0**2, 1024.0, "KB"), (1024.0**3, 1024.0**2, "MB"), (1024.0**4, 1024.0**3, "GB")]
     shown = F.when(n < 0, F.lit(None).cast("string")).when(n < 1024, F.concat(n.cast("string"), F.lit(" B")))
     for below, unit, name in steps:
-        shown = shown.when(size < below, F.format_string(f"%.1f {name}", size / unit))
-    return shown.otherwise(F.when(n.isNotNull(), F.format_string("%.1f TB", size / 1024.0**4)))
+        shown = shown.when(size < below, F.format_string(f"%.1f {name}", F.bround(size / unit, 1)))
+    return shown.otherwise(F.when(n.isNotNull(), F.format_string("%.1f TB", F.bround(size / 1024.0**4, 1))))
 
 
 def listing_size(value: Column | str) -> Column:
-    """Sizes of the file listing: blank at zero, two decimals from gigabytes on."""
+    """Sizes of the file listing: blank at zero, two decimals from gigabytes on, ties up."""
     n = F.trim(col(value)).try_cast("double")
     return (
         F.when(~(n > 0), F.lit(None).cast("string"))

@@ -98,7 +98,7 @@ def _(spark, sf):
     return references.file_tags(located(spark, sf), refs, ("acct1", "acct2", "acct3")).select("entry", "account", "kind")
 
 
-@check("q16_files_with_references", "mfta links", PATH_SQL + "," + LINK_SQL + """ SELECT p.entry, p.path, count(DISTINCT l.account) AS accounts, CASE WHEN p.file_size <= 0 THEN NULL WHEN p.file_size < 1024 THEN p.file_size || ' B' WHEN p.file_size < 1048576 THEN printf('%.1f KB', p.file_size / 1024.0) ELSE printf('%.1f MB', p.file_size / 1048576.0) END AS shown_size
+@check("q16_files_with_references", "mfta links", PATH_SQL + "," + LINK_SQL + """ SELECT p.entry, p.path, count(DISTINCT l.account) AS accounts, CASE WHEN p.file_size <= 0 THEN NULL WHEN p.file_size < 1024 THEN p.file_size || ' B' WHEN p.file_size < 1048576 THEN printf('%.1f KB', floor(p.file_size / 102.4 + 0.5) / 10) ELSE printf('%.1f MB', floor(p.file_size / 104857.6 + 0.5) / 10) END AS shown_size
   FROM paths p LEFT JOIN lr l ON lower(p.path) = l.path GROUP BY p.entry, p.path, p.file_size""")
 def _(spark, sf):
     rows = located(spark, sf)

@@ -348,7 +348,7 @@ def render(sql: str, sf_dir: str | None) -> str:
     """The shape in Spark SQL for a folder, or in the oracle's dialect without one."""
     spark = sf_dir is not None
     sql = _parenthesised(sql, "@shape", lambda name: SHAPES[name])
-    table = (lambda t: f"parquet.`{sf_dir}/{t}.parquet`") if spark else (lambda t: t)
+    table = (lambda t: view_name(sf_dir, t)) if spark else (lambda t: t)
     sql = _parenthesised(sql, "@t", table)
     sql = _bracketed(sql, "@rot", lambda e: f"translate({e}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz', 'NOPQRSTUVWXYZABCDEFGHIJKLMnopqrstuvwxyzabcdefghijklm')")
     for width in (2, 4, 8):
@@ -371,12 +371,21 @@ def render(sql: str, sf_dir: str | None) -> str:
     return re.sub(r"@'", "r'" if spark else "'", sql)
 
 
-def shape(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.sql(render(SHAPES[name], sf_dir))
+def view_name(sf_dir: str, name: str) -> str:
+    return f"given_{re.sub('[^A-Za-z0-9]', '_', sf_dir)}_{name}"
+
 
+def register_tables(spark: SparkSession, sf_dir: str, names: set[str]) -> None:
+    """Views over the given tables, so that a plan with many branches reads each schema once."""
+    for name in names:
+        view = view_name(sf_dir, name)
+        if not spark.catalog.tableExists(view):
+            spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(view)
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+def shape(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    register_tables(spark, sf_dir, set(re.findall(r"@t\((\w+)\)", SHAPES[name])))
+    return spark.sql(render(SHAPES[name], sf_dir))
 
 
 # Macros of the oracle side -------------------------------------------------------------------------------------------

@@ -50,12 +50,16 @@ def browser_activity(cache: DataFrame, history_urls: DataFrame, downloads: DataF
 
 
 def summary(activity: DataFrame, where: ActivityFilter) -> DataFrame:
-    """Total, accounts and days in one pass over the data."""
+    """Total, accounts and days from one grouping pass; the total is the sum over accounts, 0 without rows."""
     rows = activity.filter(where.condition()).withColumn("day", F.substring("timestamp", 1, 10))
-    sets = rows.groupingSets([[], [F.col("account")], [F.col("day")]], F.col("account"), F.col("day"))
-    counted = sets.agg(F.count(F.lit(1)).alias("count"), F.grouping_id().alias("g"))
-    part = F.when(F.col("g") == 3, "total").when(F.col("g") == 1, "account").otherwise("day")
-    return counted.select(part.alias("part"), F.when(F.col("g") == 1, F.col("account")).when(F.col("g") == 2, F.col("day")).alias("value"), "count")
+    sets = rows.groupingSets([[F.col("account")], [F.col("day")]], F.col("account"), F.col("day"))
+    counted = sets.agg(F.count(F.lit(1)).alias("count"), F.grouping("day").alias("by_account"))
+    by_account = F.col("by_account") == 1
+    parts = counted.select(
+        F.when(by_account, "account").otherwise("day").alias("part"), F.when(by_account, F.col("account")).otherwise(F.col("day")).alias("value"), "count"
+    )
+    total = counted.filter(by_account).agg(F.coalesce(F.sum("count"), F.lit(0)).alias("count"))
+    return parts.unionByName(total.select(F.lit("total").alias("part"), F.lit(None).cast("string").alias("value"), "count"))
 
 
 def visited_domains(activity: DataFrame, account: str | None = None, start: str | None = None, end: str | None = None) -> DataFrame:

@@ -16,6 +16,8 @@ def build_session(app_name: str = "caseloom", master: str | None = None, **extra
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        # Call sites of every column expression cost more than building the plans of the larger histories.
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         **extra,
     }
     for key, value in settings.items():

@@ -60,18 +60,19 @@ def report_lines(text: Column) -> Column:
     parsed = F.transform(
         lines,
         lambda x: F.struct(
-            F.trim(F.regexp_extract(x, r"^([^=]*)=", 1)).alias("key"),
-            F.trim(F.regexp_extract(x, r"^[^=]*=([\s\S]*)$", 1)).alias("value"),
+            F.trim(F.substring_index(x, "=", 1)).alias("key"),
+            F.trim(F.substr(x, F.locate("=", x) + 1)).alias("value"),
         ),
     )
+    indexed = lambda p: p["key"].contains("[") & p["key"].rlike(REPORT_INDEX)
     valid = F.filter(parsed, lambda p: p["key"].rlike(REPORT_KEY))
     return F.transform(
         valid,
         lambda p: F.struct(
             p["key"].alias("key"), p["value"].alias("value"),
-            blank_to_null(F.regexp_extract(p["key"], REPORT_INDEX, 1)).alias("family"),
-            F.regexp_extract(p["key"], REPORT_INDEX, 2).try_cast("bigint").alias("index"),
-            blank_to_null(F.regexp_extract(p["key"], REPORT_INDEX, 3)).alias("member"),
+            F.when(indexed(p), F.substring_index(p["key"], "[", 1)).alias("family"),
+            F.when(indexed(p), F.substring_index(F.substring_index(p["key"], "]", 1), "[", -1).try_cast("bigint")).alias("index"),
+            F.when(indexed(p) & p["key"].contains("]."), F.substring_index(p["key"], "].", -1)).alias("member"),
         ),
     )
 
