@@ -43,9 +43,10 @@ def with_computed(df: DataFrame, name: str, value: Column) -> DataFrame:
     """Add an expensive value that is computed once per row.
 
     A plain projection would be folded into every later filter and expression that mentions it, so a parsed payload
-    would be parsed again for each. A one-element generator keeps the value where it is and stays inside codegen.
+    would be parsed again for each. The one-element generator on top of the projection keeps it from moving; the
+    projection itself is still compiled, which a generator over a lambda expression would not be.
     """
-    return df.select("*", F.explode(F.array(value)).alias(name))
+    return df.withColumn("_value", value).select(*df.columns, F.explode(F.array("_value")).alias(name))
 
 
 def literal_map(pairs: dict[str, str]) -> Column:

@@ -73,9 +73,8 @@ def flag_names(mask: Column, table: list[tuple[int, str]], separator: str) -> Co
     return F.array_join(F.transform(hit, lambda e: e["name"]), separator)
 
 
-def account_record(value: Column | str) -> Column:
-    """Fixed-offset account record as a struct, NULL when it is too short."""
-    h = clean_hex(value)
+def account_record(h: Column) -> Column:
+    """Fixed-offset account record of clean hex as a struct, NULL when it is too short."""
     acb = le_uint(h, 0x38, 2)
     record = F.struct(
         le_uint(h, 0x30, 4).cast("string").alias("rid"),
@@ -90,9 +89,8 @@ def account_record(value: Column | str) -> Column:
     return F.when(F.length(h) >= 2 * 0x44, record)
 
 
-def account_names(value: Column | str) -> Column:
+def account_names(h: Column) -> Column:
     """User name and full name: offset and length pairs into the text area that starts at 0xCC."""
-    h = clean_hex(value)
 
     def field(index: int) -> Column:
         start = le_uint(h, index * 12, 4) + F.lit(0xCC)

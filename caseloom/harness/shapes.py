@@ -371,6 +371,9 @@ def render(sql: str, sf_dir: str | None) -> str:
     return re.sub(r"@'", "r'" if spark else "'", sql)
 
 
+HEAVY_ROWS = {"wer"}
+
+
 def view_name(sf_dir: str, name: str) -> str:
     return f"given_{re.sub('[^A-Za-z0-9]', '_', sf_dir)}_{name}"
 
@@ -385,7 +388,14 @@ def register_tables(spark: SparkSession, sf_dir: str, names: set[str]) -> None:
 
 def shape(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     register_tables(spark, sf_dir, set(re.findall(r"@t\((\w+)\)", SHAPES[name])))
-    return spark.sql(render(SHAPES[name], sf_dir))
+    df = spark.sql(render(SHAPES[name], sf_dir))
+    return spread(df) if name in HEAVY_ROWS else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Documents cost much more to parse than to read: an input of fewer splits than cores is spread first."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 # Macros of the oracle side -------------------------------------------------------------------------------------------

@@ -42,14 +42,24 @@ class ScanOrder:
         return rows.join(summary, [*self.keys, SPAN], "left")
 
 
+def _same_rows(df: DataFrame) -> Column:
+    """An aggregate that touches every column.
+
+    The summary and the rows it goes back to come from the same input. With equal columns on both sides their shuffles
+    are equal too, and the second one reuses the first instead of computing the input again.
+    """
+    return F.max(F.xxhash64(*[F.col(c) for c in df.columns])).alias("_touched")
+
+
 def carry_last(df: DataFrame, order: ScanOrder, value: Column, name: str, include_current: bool = False) -> DataFrame:
     """Latest non-NULL ``value`` before each row (or up to it), over the whole scan of each key."""
     rows = order.cells(df).withColumn("_v", value)
     summary = (
         rows.groupBy(*order.keys, SPAN)
-        .agg(F.max_by("_v", F.when(F.col("_v").isNotNull(), order.key())).alias("_tail"))
+        .agg(F.max_by("_v", F.when(F.col("_v").isNotNull(), order.key())).alias("_tail"), _same_rows(df))
+        .filter(F.col("_touched").isNotNull())
         .withColumn("_carried", F.last("_tail", ignorenulls=True).over(order.over_spans()))
-        .drop("_tail")
+        .drop("_tail", "_touched")
     )
     upto = order.window().rowsBetween(Window.unboundedPreceding, 0 if include_current else -1)
     local = rows.withColumn("_local", F.last("_v", ignorenulls=True).over(upto))
@@ -129,7 +139,8 @@ def cluster_sessions(
         F.max("_break").alias("_broken"),
         F.max_by("_state", F.when(F.col("_state").isNotNull(), F.col("_key"))).alias("_tail"),
         F.max(F.when(F.col("_local_start"), F.col("_key"))).alias("_last_start"),
-    )
+        _same_rows(df),
+    ).filter(F.col("_touched").isNotNull())
     spans = Window.partitionBy(*order.keys).orderBy(SPAN)
     cells = (
         cells.withColumn("_before", F.lag("_last").over(spans))

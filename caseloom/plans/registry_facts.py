@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from caseloom.functions import hexbin, lookups, tags, times
 from caseloom.functions import text as tx
-from caseloom.functions.core import any_of, blank_to_null, first_present, text
+from caseloom.functions.core import any_of, blank_to_null, first_present, text, with_computed
 from caseloom.operators import ordered
 from caseloom.plans.common import HOST, overview_row, union_all
 from caseloom.sources.raw import SCAN_TIES, hive, live_hives, scan_seq
@@ -103,10 +103,13 @@ def accounts(registry: DataFrame, keys: list[str] = HOST) -> DataFrame:
     hidden = software.filter(low.endswith(HIDDEN_ACCOUNTS) & (text("value_name") != "")).withColumn("_name", F.lower("value_name"))
     hidden = hidden.groupBy(*keys, "_name").agg(F.max_by(F.trim(text("value_data")), scan_seq()).alias("special"))
 
+    for name, source in (("_fh", "f"), ("_vh", "v")):
+        users = with_computed(users, name, hexbin.clean_hex(source))
+    users = with_computed(users, "_f", hexbin.account_record(F.col("_fh")))
+    users = with_computed(users, "_n", hexbin.account_names(F.col("_vh")))
     rid = F.conv("_rid_hex", 16, 10)
     local = (
-        users.withColumn("rid", rid).withColumn("_f", hexbin.account_record("f")).withColumn("_n", hexbin.account_names("v"))
-        .withColumn("_name", F.lower("_n.username"))
+        users.withColumn("rid", rid).withColumn("_name", F.lower("_n.username"))
         .join(prefix, keys, "left")
         .withColumn("sid", F.concat_ws("-", "prefix", "rid"))
         .withColumn("sid", F.when(F.col("prefix").isNotNull(), F.col("sid")))

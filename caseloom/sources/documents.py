@@ -37,9 +37,10 @@ def console_history(files: DataFrame, path: str = "path", content: str = "text")
 
 
 def _quoted(value: Column) -> Column:
-    """A JSON string literal."""
+    """A JSON string literal; only text that needs escaping goes through the JSON writer."""
     encoded = F.to_json(F.struct(value.alias("v")))
-    return F.substr(encoded, F.lit(6), F.length(encoded) - 6)
+    escaped = F.substr(encoded, F.lit(6), F.length(encoded) - 6)
+    return F.when(value.rlike('[\\x00-\\x1f"\\\\]'), escaped).otherwise(F.concat(F.lit('"'), value, F.lit('"')))
 
 
 def _last_by_key(pairs: Column) -> Column:
