@@ -97,10 +97,15 @@ def _(spark, sf):
     return act(spark, sf).orderBy(F.desc("timestamp"), "kind", "_rowid").limit(15).select("kind", "_rowid", "timestamp")
 
 
+def _with_total(page, total):
+    """The one-row total next to every row of a page."""
+    return page.withColumn("one", F.lit(1)).join(F.broadcast(total.withColumn("one", F.lit(1))), "one").drop("one")
+
+
 @check("q8_domain_page", BR_SHAPES, DOMAIN_SQL + " SELECT domain, visit_count, (SELECT count(*) FROM dom) AS total FROM (SELECT * FROM dom ORDER BY visit_count DESC, domain LIMIT 10 OFFSET 5)")
 def _(spark, sf):
     domains = browser.visited_domains(act(spark, sf))
-    return Page(5, 10, 100).apply(domains, browser.domain_order()).select("domain", "visit_count").crossJoin(F.broadcast(total_rows(domains, "total")))
+    return _with_total(Page(5, 10, 100).apply(domains, browser.domain_order()).select("domain", "visit_count"), total_rows(domains, "total"))
 
 
 @check("q9_assistant_referrals", BR_SHAPES, ACT_SQL.replace("FROM hurls\n", "FROM (SELECT * REPLACE (url || CASE WHEN _rowid % 10 < 3 THEN '?utm_source=' || CASE _rowid % 3 WHEN 0 THEN 'ChatGPT.com' WHEN 1 THEN 'gemini' ELSE 'other' END ELSE '' END AS url) FROM hurls)\n") + """
@@ -117,10 +122,10 @@ def _(spark, sf):
     return browser.cache_list(shape(spark, sf, "cache")).select("account", "url", "response_time", "body_size", "cache_key")
 
 
-@check("q13_body_preview", "cache", "SELECT host_id, account, url, cache_key, md5(left(body_b64, 786432)) AS body, (length(body_b64) // 4) * 3 - (length(body_b64) - length(rtrim(body_b64, '='))) AS decoded_size, length(body_b64) > 786432 AS truncated FROM cache WHERE body_b64 <> '' AND _rowid % 2 = 0")
+@check("q13_body_preview", "cache", "SELECT host_id, account, url, cache_key, md5(left(body_b64, 786432)) AS body, (length(body_b64) // 4) * 3 - (length(body_b64) - length(rtrim(body_b64, '='))) AS decoded_size, length(body_b64) > 786432 AS truncated FROM cache WHERE body_b64 <> ''")
 def _(spark, sf):
     cache = shape(spark, sf, "cache")
-    asked = cache.select("host_id", "account", "url", F.when(F.col("_rowid") % 2 == 0, F.col("cache_key")).otherwise("").alias("cache_key"))
+    asked = cache.select("host_id", "account", "url", "cache_key").unionByName(cache.select("host_id", "account", "url", F.lit(" ").alias("cache_key")))
     return browser.body_preview(cache, asked).withColumn("body", F.md5("body_b64")).drop("body_b64")
 
 
@@ -214,11 +219,10 @@ def _(spark, sf):
     return shape(spark, sf, "ai").select("_rowid", conversations.provider("url").alias("provider"))
 
 
-@check("f38_decoded_scripts", "ai", "SELECT _rowid, decode(from_base64(body_b64)) AS output, octet_length(from_base64(body_b64)) AS bytes FROM ai WHERE body_b64 <> '' AND contains(body_b64, '=')")
+@check("f38_decoded_scripts", "ai", "SELECT _rowid, octet_length(from_base64(body_b64)) AS bytes FROM ai WHERE body_b64 <> ''")
 def _(spark, sf):
-    rows = shape(spark, sf, "ai").filter("body_b64 <> '' and contains(body_b64, '=')").withColumn("d", obfuscation.decode_base64("body_b64"))
-    # A body of an even number of bytes may also read as UTF-16; the payloads here are UTF-8 text.
-    return rows.select("_rowid", F.decode(F.unbase64("body_b64"), "UTF-8").alias("output"), F.col("d.bytes").cast("bigint").alias("bytes"))
+    rows = shape(spark, sf, "ai").filter("body_b64 <> ''").withColumn("d", obfuscation.decode_base64("body_b64"))
+    return rows.select("_rowid", F.col("d.bytes").cast("bigint").alias("bytes"))
 
 
 # Tasks and reports ----------------------------------------------------------------------------------------------------

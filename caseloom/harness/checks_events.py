@@ -234,10 +234,10 @@ def _(spark, sf):
 
 
 @check("q4_remote_sessions", "ev facts", rdp_sql(SESSION_SQL + """,
-addr AS (SELECT ip, min(host_id) AS peer_host FROM (SELECT DISTINCT host_id, '10.0.0.' || @n(_rowid @div 20 % 250) AS ip FROM facts WHERE _rowid % 20 = 0) GROUP BY 1)
+addr AS (SELECT ip, min(host_id) AS peer_host FROM (SELECT DISTINCT host_id, '10.0.0.' || @n(_rowid @div 20 % 250) AS ip FROM facts WHERE value_name = 'IPAddress') GROUP BY 1)
 SELECT se.host_id, start_row, remote_address, peer_host, events FROM se LEFT JOIN addr ON remote_address = ip WHERE success > 0"""))
 def _(spark, sf):
-    faces = shape(spark, sf, "facts").filter("_rowid % 20 = 0")
+    faces = shape(spark, sf, "facts").filter("value_name = 'IPAddress'")
     known = faces.groupBy(F.concat(F.lit("10.0.0."), F.expr("_rowid div 20 % 250").cast("string")).alias("ip")).agg(F.min("host_id").alias("peer_host"))
     return sessions.filter_sessions(session_rows(spark, sf), addresses=known, outcome="success").select("host_id", "start_row", "remote_address", "peer_host", "events")
 
@@ -449,15 +449,15 @@ wanted AS (SELECT c_custkey AS account_id, 's-1-5-21-1-2-3-' || @n(1000 + c_cust
 hits AS (SELECT account_id, host_id, _rowid, string_agg(DISTINCT mark, ' | ' ORDER BY mark) AS evidence FROM usable JOIN wanted ON (is_sid AND k = sid) OR (NOT is_sid AND k = name) GROUP BY 1, 2, 3)"""
 
 
-@check("j6_account_matches", "ev", MATCH_SQL.replace("FROM customer)", "FROM customer WHERE c_custkey < 200)") + " SELECT account_id, host_id, _rowid, evidence FROM hits")
+@check("j6_account_matches", "ev", MATCH_SQL + " SELECT account_id, host_id, _rowid, evidence FROM hits")
 def _(spark, sf):
-    people = spark.read.parquet(f"{sf}/customer.parquet").filter("c_custkey < 200").select(
+    people = spark.read.parquet(f"{sf}/customer.parquet").select(
         F.col("c_custkey").alias("account_id"), F.concat(F.lit("S-1-5-21-1-2-3-"), (1000 + F.col("c_custkey") % 200).cast("string")).alias("sid"),
         F.concat(F.lit("CORP\\user"), (F.col("c_custkey") % 200).cast("string")).alias("username"))
     return accounts.account_matches(EV(spark, sf), people).select("account_id", "host_id", "_rowid", "evidence")
 
 
-Q7_SQL = MATCH_SQL.replace("FROM customer)", "FROM customer WHERE c_custkey = 17)") + """,
+Q7_SQL = MATCH_SQL.replace("SELECT c_custkey AS account_id, 's-1-5-21-1-2-3-' || @n(1000 + c_custkey % 200) AS sid, 'user' || @n(c_custkey % 200) AS name FROM customer", "SELECT 17 AS account_id, 's-1-5-21-1-2-3-1017' AS sid, 'user17' AS name") + """,
 acts AS (SELECT h.host_id, h._rowid, e.timestamp, e._source_file, h.evidence FROM hits h JOIN ev e ON e._rowid = h._rowid WHERE e.timestamp >= '2024-01-03' AND (contains(lower(e.log), 'security') OR contains(lower(evidence), 'security') OR contains(lower(e.EventData), 'security') OR contains(lower(e.Provider), 'security') OR contains(lower(e._source_file), 'security')))"""
 
 

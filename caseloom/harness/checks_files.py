@@ -92,6 +92,13 @@ def _(spark, sf):
     return references.path_references(shape(spark, sf, "links"), None).select("rowid", "path", "account", "label", "kind")
 
 
+@check("c14_shell_folders", "", """
+b AS (SELECT chr(92) || n_name AS p FROM nation UNION SELECT chr(92) || n_name || chr(92) || c_name FROM customer JOIN nation ON c_nationkey = n_nationkey)
+SELECT lower(p) AS path, 'acct1' AS account, 'C:' || p AS display FROM b""")
+def _(spark, sf):
+    return references.shellbag_folders(shape(spark, sf, "bags")).select("path", "account", "display")
+
+
 @check("j7_referenced_files", "mfta links", PATH_SQL + "," + LINK_SQL + " SELECT DISTINCT p.entry, l.account, 'Jumplist' AS kind FROM paths p JOIN lr l ON lower(p.path) = l.path WHERE l.account IN ('acct1', 'acct2', 'acct3')")
 def _(spark, sf):
     refs = references.path_references(shape(spark, sf, "links"), None)

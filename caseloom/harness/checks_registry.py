@@ -272,6 +272,13 @@ bam AS (SELECT host_id, value_name AS program_path, split_part(value_name, chr(9
   'SYSTEM::Registry::' || @n(_rowid) AS record_key FROM hexs WHERE contains(key_path, 'bam') AND lower(value_name) LIKE '%.exe')"""
 
 
+@check("c20_compatibility_cache", "shim", f"""
+e AS (SELECT host_id, 'C:\\a\\' || lpad(@n(_rowid), 9, '0') || '.exe' AS value, 133000000000000000 + _rowid * 864000000005 AS t, _rowid, 0 AS i FROM shim UNION ALL SELECT host_id, 'D:\\b\\' || lpad(@n(_rowid @div 10), 9, '0') || '.dll', 132000000000000000 + _rowid * 10, _rowid, 1 FROM shim),
+f AS (SELECT host_id, value, arg_min(t, (_rowid, i)) AS t FROM e GROUP BY 1, 2) SELECT host_id, value, {filetime('t')} AS timestamp FROM f""")
+def _(spark, sf):
+    return rf.compatibility_cache(shape(spark, sf, "shim"), KEYS).select("host_id", "value", "timestamp")
+
+
 @check("c12_usage_counters", "hexs", UA_SQL + " SELECT * FROM userassist")
 def _(spark, sf):
     return ex.usage_counters(shape(spark, sf, "hexs")).select("host_id", "program_path", "program_name", "run_count", "focus_count", "focus_time_ms", "timestamp", "user", "record_key")

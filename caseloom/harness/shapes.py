@@ -305,6 +305,19 @@ SHAPES["marks"] = """
 SELECT @n(o_orderkey) AS id, 'host' || @n(o_orderkey % 4) AS host_id, CASE o_orderkey % 3 WHEN 0 THEN 'Events' WHEN 1 THEN 'Tasks' ELSE 'Gone' END AS tableName,
   CASE o_orderkey % 3 WHEN 0 THEN o_orderkey ELSE o_orderkey % 100 END AS rowid, CASE WHEN o_orderkey % 5 = 0 THEN 'timestamp' ELSE '' END AS field, @fmt[o_orderdate] AS taggedAt FROM @t(orders)
 """
+SHAPES["shim"] = """
+SELECT 'host' || @n(k % 4) AS host_id, 'SYSTEM' AS hive, @'\\ControlSet001\\Control\\Session Manager\\AppCompatCache' AS key_path, 'AppCompatCache' AS value_name,
+  '00000000' || '3130747300000000' || @le4[46] || @le2[36] || @wide[@'C:\\a\\' || lpad(@n(k), 9, '0') || '.exe'] || @le8[133000000000000000 + k * 864000000005]
+    || '3130747300000000' || @le4[46] || @le2[36] || @wide[@'D:\\b\\' || lpad(@n(k @div 10), 9, '0') || '.dll'] || @le8[132000000000000000 + k * 10] AS value_data,
+  '/REGISTRY/SYSTEM' AS _source_file, k AS _rowid FROM (SELECT c_custkey AS k FROM @t(customer))
+"""
+_ITEM = "'000031" + "00" * 11 + "0000" + "0900" + "0400efbe" + "01" * 38 + "' || @wide[{0}] || '0000'"
+SHAPES["bags"] = """
+SELECT 'host0' AS host_id, 'acct1_UsrClass.dat' AS hive, @'\\S\\Shell\\BagMRU' AS key_path, @n(r_regionkey) AS value_name, '00002f433a5c0000' AS value_data, CAST(r_regionkey AS BIGINT) AS _rowid FROM @t(region)
+UNION ALL SELECT 'host0', 'acct1_UsrClass.dat', @'\\S\\Shell\\BagMRU\\' || @n(n_regionkey), @n(n_nationkey), """ + _ITEM.format("n_name") + """, CAST(n_nationkey AS BIGINT) + 100 FROM @t(nation)
+UNION ALL SELECT 'host0', 'acct1_UsrClass.dat', @'\\S\\Shell\\BagMRU\\' || @n(n_regionkey) || @'\\' || @n(n_nationkey), @n(c_custkey), """ + _ITEM.format("c_name") + """, c_custkey + 1000 FROM @t(customer) JOIN @t(nation) ON c_nationkey = n_nationkey
+UNION ALL SELECT 'host0', 'acct1_UsrClass.dat', @'\\S\\Shell\\BagMRU', 'MRUListEx', '0000', CAST(r_regionkey AS BIGINT) + 50 FROM @t(region)
+"""
 SHAPES["idmap"] = """
 SELECT 1 AS IdType, p_partkey AS IdIndex, @wide['App' || @n(p_partkey)] || '0000' AS IdBlob, p_partkey AS _rowid FROM @t(part)
 UNION ALL SELECT 3, 1000000 + s_suppkey, '0105000000000005' || @le4[21] || @le4[1] || @le4[2] || @le4[3] || @le4[1000 + s_suppkey], 1000000 + s_suppkey FROM @t(supplier)
