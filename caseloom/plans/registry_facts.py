@@ -127,7 +127,10 @@ def accounts(registry: DataFrame, keys: list[str] = HOST) -> DataFrame:
         last_failed_login=f("last_failed_login"), login_count=f("login_count"), failed_login_count=f("failed_login_count"),
         disabled=f("disabled"), account_flags=f("account_flags"), special_account=special, timestamp=F.coalesce(f("last_login"), F.col("created")),
     )
-    orphans = prof.join(local.filter(F.col("sid").isNotNull()).select(*keys, "sid"), [*keys, "sid"], "left_anti")
+    # Only the numbers of the accounts decide which profiles are left over.
+    numbers = sam.filter((name_at == 0) & (rid_hex != "")).select(*keys, rid_hex.alias("_rid_hex")).distinct()
+    owned = numbers.join(prefix, keys).select(*keys, F.concat_ws("-", "prefix", rid).alias("sid"))
+    orphans = prof.join(owned, [*keys, "sid"], "left_anti")
     own_name = blank_to_null(tx.last_segment(F.regexp_replace("path", r"\\+$", "")))
     rest = overview_row(
         orphans, "TargetInfo", keys, category="Account", name=F.col("sid"), value=path, source_artifact="ProfileList",
