@@ -20,22 +20,34 @@ NAIVE_PATTERN = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(\.\d+)?$"
 NANO_RANGE_MICROS = 9_223_372_036_854_775
 
 
+def _origin() -> Column:
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+
+
+def _padded(text: Column) -> Column:
+    """Exactly three fraction digits; further digits are cut."""
+    return F.rpad(F.regexp_replace(text, r"^([^.]*)$", "$1."), 23, "0")
+
+
 def render_micros(micros: Column, offset_minutes: int = DISPLAY_OFFSET_MINUTES) -> Column:
-    """Epoch microseconds as evidence text, whatever the session time zone is."""
-    shifted = F.timestamp_micros(micros + F.lit(offset_minutes * 60_000_000))
-    return F.date_format(F.to_utc_timestamp(shifted, F.current_timezone()), EVIDENCE_FORMAT)
+    """Epoch microseconds as evidence text. Zone-free arithmetic, so no session zone and no clock change matters."""
+    shifted = micros + F.lit(offset_minutes * 60_000_000)
+    return _padded(F.timestamp_add("MICROSECOND", shifted, _origin()).cast("string"))
 
 
-def render_naive(ts: Column) -> Column:
-    return F.date_format(ts, EVIDENCE_FORMAT)
+def _wall_micros(text: Column) -> Column:
+    """Microseconds of ``yyyy-MM-dd HH:mm:ss[.f]`` text since 1970 on its own clock, NULL for an impossible time."""
+    days = F.unix_date(F.substring(text, 1, 10).try_cast("date")).cast("bigint")
+    hour, minute, second = [F.substring(text, at, 2).try_cast("bigint") for at in (12, 15, 18)]
+    fraction = F.rpad(F.regexp_extract(text, r"\.(\d{1,6})", 1), 6, "0").try_cast("bigint")
+    whole = ((days * 24 + hour) * 60 + minute) * 60 + second
+    return F.when((hour < 24) & (minute < 60) & (second < 60), whole * F.lit(1_000_000) + fraction)
 
 
 def epoch_millis(ts: Column | str) -> Column:
     """Milliseconds on the display clock, NULL when the text is not evidence time. Only differences carry meaning."""
     value = col(ts)
-    naive = F.substring(value, 1, 23).try_cast("timestamp_ntz")
-    origin = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-    return F.when(value.rlike(EVIDENCE_PATTERN), F.timestamp_diff("MILLISECOND", origin, naive))
+    return F.when(value.rlike(EVIDENCE_PATTERN), int_div(_wall_micros(F.substring(value, 1, 23)), 1000))
 
 
 def filetime(ticks: Column) -> Column:
@@ -74,38 +86,34 @@ def ole_days(value: Column | str) -> Column:
 
 
 def _instant_micros(value: Column) -> Column:
-    """Epoch microseconds of RFC 3339 text with a zone, computed without the session zone."""
-    origin = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-    wall = F.regexp_replace(F.substring(F.regexp_replace(value, r"([Zz]|[+-]\d{2}:\d{2})$", ""), 1, 29), "[Tt]", " ")
-    micros = F.timestamp_diff("MICROSECOND", origin, wall.try_cast("timestamp_ntz"))
+    """Epoch microseconds of RFC 3339 text with a zone."""
     sign = F.when(F.regexp_extract(value, r"([+-])\d{2}:\d{2}$", 1) == "-", -1).otherwise(1)
     hours = F.coalesce(F.regexp_extract(value, r"[+-](\d{2}):\d{2}$", 1).try_cast("int"), F.lit(0))
     minutes = F.coalesce(F.regexp_extract(value, r"[+-]\d{2}:(\d{2})$", 1).try_cast("int"), F.lit(0))
-    return micros - sign * (hours * 60 + minutes).cast("bigint") * F.lit(60_000_000)
+    return _wall_micros(value) - sign * (hours * 60 + minutes).cast("bigint") * F.lit(60_000_000)
+
+
+def _local_text(value: Column, pattern: str) -> Column:
+    """Stamp without a zone: already display time, only its form is made even."""
+    return F.when(value.rlike(pattern) & _wall_micros(value).isNotNull(), _padded(F.regexp_replace(value, "T", " ")))
 
 
 def zoned_or_local_time(value: Column | str) -> Column:
     """RFC 3339 honours its zone, a naive stamp is already display time, anything else stays as it is."""
     raw = F.trim(col(value))
-    naive = F.regexp_replace(raw, "T", " ").try_cast("timestamp_ntz")
     zoned = F.when(raw.rlike(RFC3339_PATTERN), render_micros(_instant_micros(raw)))
-    local = F.when(raw.rlike(NAIVE_PATTERN), F.date_format(naive, EVIDENCE_FORMAT))
-    return F.nullif(F.coalesce(zoned, local, raw), F.lit(""))
+    return F.nullif(F.coalesce(zoned, _local_text(raw, NAIVE_PATTERN), raw), F.lit(""))
 
 
 def payload_time(value: Column | str) -> Column:
     """Conversation payload time: local text, epoch seconds or milliseconds, ISO instant; else blank."""
     raw = F.trim(col(value))
     local_pattern = r"^\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}:\d{2}(\.\d{1,9})?$"
-    local = F.when(
-        raw.rlike(local_pattern),
-        F.date_format(F.substring(F.regexp_replace(raw, "T", " "), 1, 23).try_cast("timestamp_ntz"), EVIDENCE_FORMAT),
-    )
     number = F.when(raw.rlike(r"^\d+(\.\d+)?$"), raw.try_cast("double"))
     millis = F.round(F.when(number >= 1e12, number).otherwise(number * 1000.0))
     numeric = F.when((number > 1e9) & (millis < 8.64e15), render_micros(millis.try_cast("bigint") * F.lit(1000)))
     iso = F.when(raw.rlike(RFC3339_PATTERN), render_micros(_instant_micros(raw)))
-    return F.when(raw.rlike(local_pattern), local).otherwise(F.coalesce(numeric, iso))
+    return F.when(raw.rlike(local_pattern), _local_text(raw, local_pattern)).otherwise(F.coalesce(numeric, iso))
 
 
 def widen_bound(value: str | None, edge: str) -> str | None:
