@@ -50,7 +50,7 @@ def _sized(df: DataFrame) -> DataFrame:
 def item_index(items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(item_id, hash) of the bottom-k sketch of each item, ``k`` by the size partition of the item."""
     hashed = once(items.select("item_id", plain_words(F.col("text")).alias("_words")), "_h", F.array_sort(F.array_distinct(_hashes()))).filter(F.size("_h") > 0)
-    largest = F.pow(F.lit(2.0), F.ceil(F.log2(F.size("_h")))) # of the size partition
+    largest = F.pow(F.lit(2.0), F.ceil(F.log2(F.size("_h"))))  # largest size of the partition
     k = (F.floor(largest * (1 - threshold) + 1e-9) + 1).cast("int")
     return hashed.select("item_id", F.explode(F.slice("_h", F.lit(1), k)).alias("hash"))
 
@@ -86,8 +86,8 @@ def without_benchmark(docs: DataFrame, items: DataFrame, threshold: float = THRE
     return docs.join(hit, docs[id_column].eqNullSafe(F.col("_id")), "left_anti")
 
 
-_SQL_WORDS = r"list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), x -> x <> '')"
-_SQL_SHINGLES = "list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i+4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)"
+_SQL_WORDS = r"list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
+_SQL_SHINGLES = "list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)"
 ORACLE = f"""
 WITH d AS (SELECT doc_id, unnest({_SQL_SHINGLES}) AS s FROM (SELECT doc_id, {_SQL_WORDS} AS w FROM documents)),
 i AS (SELECT item_id, unnest({_SQL_SHINGLES}) AS s FROM (SELECT item_id, {_SQL_WORDS} AS w FROM benchmark)),
