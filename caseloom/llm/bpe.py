@@ -22,9 +22,12 @@ from pyspark.sql import DataFrame
 from caseloom.llm.common import small_batches
 
 #: The public split pattern of byte-level BPE; white space is Unicode's.
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"""
+PATTERN = r""" ?\p{L}++|'(?:[stmd]|re|ve|ll)| ?\p{N}++| ?[^\p{White_Space}\p{L}\p{N}]++|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"""
 #: Words and bytes of a word that a worker remembers at most; neither changes a result.
-REMEMBERED, REMEMBERED_BYTES = 400_000, 64
+REMEMBERED, REMEMBERED_BYTES = 800_000, 64
+
+#: Stands for a pair that no merge joins.
+NEVER = (1 << 62, -1)
 
 
 def byte_symbols() -> dict[str, int]:
@@ -50,7 +53,6 @@ class Vocabulary:
         for token, i in self.special.items():
             self.bytes[i] = token.encode()
         self.names = [str(i) for i in range(self.size)]
-        self.longest = max(map(len, self.ids))
         self.rank = np.full(self.size, -1, np.int64)
         self.left, self.right = np.zeros(self.size, np.int64), np.zeros(self.size, np.int64)
         self.merges: dict[tuple[int, int], tuple[int, int]] = {}
@@ -65,20 +67,27 @@ class Vocabulary:
         self.codes, self.code_rank = codes[order], ranks[order]
         self.split = regex.compile("|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True)) or r"(?!)")
         self.pattern = regex.compile(PATTERN)
-        # entries by their first two bytes: the longest that is worth trying
-        self.reach: dict[bytes, int] = {}
-        for token in self.ids:
-            self.reach[token[:2]] = max(self.reach.get(token[:2], 0), len(token))
+        # every beginning of an entry, with the entry's id or -1
+        self.prefixes: dict[bytes, int] = {}
+        for token, i in self.ids.items():
+            for end in range(1, len(token)):
+                self.prefixes.setdefault(token[:end], -1)
+            self.prefixes[token] = i
         self.known: dict[str, tuple[int, ...]] = {}
 
     def greedy(self, word: bytes) -> list[int]:
-        out, at, end, ids, reach = [], 0, len(word), self.ids, self.reach
+        whole = self.ids.get(word)
+        if whole is not None:
+            return [whole]
+        out, at, end, look = [], 0, len(word), self.prefixes.get
         while at < end:
-            stop = min(end, at + reach.get(word[at:at + 2], 1))
-            while (i := ids.get(word[at:stop])) is None:
-                stop -= 1
-            out.append(i)
-            at = stop
+            found, cut, stop = -1, at, at + 1
+            while stop <= end and (i := look(word[at:stop])) is not None:
+                if i >= 0:
+                    found, cut = i, stop
+                stop += 1
+            out.append(found)
+            at = cut
         return out
 
     def compatible(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
@@ -113,6 +122,24 @@ class Vocabulary:
 
     def merged(self, word: bytes) -> list[int]:
         """The merge procedure itself: always the lowest rank, then the leftmost place."""
+        return self._merged_short(word) if len(word) <= 48 else self._merged_long(word)
+
+    def _merged_short(self, word: bytes) -> list[int]:
+        """Looks through all pairs before each merge."""
+        ids, merges = [self.ids[word[i:i + 1]] for i in range(len(word))], self.merges
+        ranks = [merges.get(p, NEVER)[0] for p in zip(ids, ids[1:])]
+        while ranks and (lowest := min(ranks)) < NEVER[0]:
+            i = ranks.index(lowest)
+            ids[i:i + 2] = [merges[ids[i], ids[i + 1]][1]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = merges.get((ids[i - 1], ids[i]), NEVER)[0]
+            if i < len(ranks):
+                ranks[i] = merges.get((ids[i], ids[i + 1]), NEVER)[0]
+        return ids
+
+    def _merged_long(self, word: bytes) -> list[int]:
+        """Keeps the pairs in a queue: n log n for words of any length."""
         ids = [self.ids[word[i:i + 1]] for i in range(len(word))]
         after, before, merges = [*range(1, len(ids)), -1], [*range(-1, len(ids) - 1)], self.merges
         queue = [(merges[p][0], i, *p) for i, p in enumerate(zip(ids, ids[1:])) if p in merges]
@@ -156,27 +183,29 @@ class Vocabulary:
             text = text[at:]
         yield self.pattern.findall(text)
 
+    def _learned(self, words: list[str]) -> list[tuple[int, ...]]:
+        """The codes of words not all of which are remembered; new ones are, and a full table starts anew."""
+        different = set(words)
+        known = {w: c for w in different if (c := self.known.get(w)) is not None}
+        missing = list(different - known.keys())
+        fresh = dict(zip(missing, self.encode_words(missing)))
+        if len(self.known) + len(fresh) > REMEMBERED:
+            self.known.clear()
+        self.known.update((w, c) for w, c in fresh.items() if len(w) <= REMEMBERED_BYTES)
+        known.update(fresh)
+        return list(map(known.__getitem__, words))
+
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
         for words in self.pieces(text):
             if len(words) == 1 and words[0] in self.special:
                 out.append(self.special[words[0]])
                 continue
-            known = self.known
-            missing = list({w for w in words if w not in known})
-            fresh = dict(zip(missing, self.encode_words(missing))) if missing else {}
-            keep = {w: c for w, c in fresh.items() if len(w) <= REMEMBERED_BYTES}
-            if len(known) + len(keep) > REMEMBERED:
-                known.clear()
-                fresh |= dict(zip(again := list(set(words) - fresh.keys()), self.encode_words(again)))
-                look = fresh
-            elif len(keep) == len(fresh):
-                known.update(keep)
-                look = known
-            else:
-                known.update(keep)
-                look = {w: known[w] if w in known else fresh[w] for w in set(words)}
-            out.extend(chain.from_iterable(map(look.__getitem__, words)))
+            try:
+                codes = list(map(self.known.__getitem__, words))
+            except KeyError:
+                codes = self._learned(words)
+            out.extend(chain.from_iterable(codes))
         return out
 
     def decode(self, ids: Iterable[int]) -> str:
