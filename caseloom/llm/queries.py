@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from caseloom.llm import bpe, decontamination, exact_dedup
+from caseloom.llm import bpe, chat, decontamination, exact_dedup, warc
 from caseloom.llm.common import read_table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -16,10 +17,24 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write all pages, then read the committed archives; shards of 64 MB, so that small tables use several."""
+    folder = warc.archive_folder(spark)
+    manifest = warc.write_archives(read_table(spark, sf_dir, "pages"), folder, shard_bytes=64 << 20)
+    return warc.read_archives(manifest, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contained_items(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one whose texts are template marks."""
+    rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    marks = spark.range(2).select(F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
+    return chat.read_back(chat.examples(rows.unionByName(marks)))
+
+
 def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(read_table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -28,8 +43,10 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {q.__name__: q for q in (op4_benchmark_decontamination, op6_bpe_round_trip, op9_exact_dedup)}
+QUERIES = {q.__name__: q for q in (op2_warc_round_trip, op4_benchmark_decontamination, op5_chat_format, op6_bpe_round_trip, op9_exact_dedup)}
 ORACLES = {
+    "op2_warc_round_trip": warc.ORACLE,
+    "op5_chat_format": chat.ORACLE,
     "op4_benchmark_decontamination": decontamination.ORACLE,
     "op9_exact_dedup": exact_dedup.ORACLE,
 }
