@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseloom.llm import bpe, chat, decontamination, exact_dedup, warc
+from caseloom.llm import bpe, chat, decontamination, exact_dedup, setsketch, warc
 from caseloom.llm.common import read_table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -24,6 +24,10 @@ def op2_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(manifest, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op3_setsketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setsketch.near_duplicates(read_table(spark, sf_dir, "documents"), percent=85)
+
+
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contained_items(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
@@ -43,7 +47,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {q.__name__: q for q in (op2_warc_round_trip, op4_benchmark_decontamination, op5_chat_format, op6_bpe_round_trip, op9_exact_dedup)}
+QUERIES = {q.__name__: q for q in (op2_warc_round_trip, op3_setsketch_near_dedup, op4_benchmark_decontamination, op5_chat_format, op6_bpe_round_trip, op9_exact_dedup)}
 ORACLES = {
     "op2_warc_round_trip": warc.ORACLE,
     "op5_chat_format": chat.ORACLE,
