@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseloom.llm import anchors, bpe, chat, decontamination, exact_dedup, setsketch, warc
+from caseloom.llm import anchors, bpe, chat, decontamination, exact_dedup, setsketch, suffix_dedup, warc
 from caseloom.llm.common import read_table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -51,11 +51,16 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {q.__name__: q for q in (op2_warc_round_trip, op3_setsketch_near_dedup, op4_benchmark_decontamination, op5_chat_format, op6_bpe_round_trip, op7_anchor_substring_dedup, op9_exact_dedup)}
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.without_repeats(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {q.__name__: q for q in (op2_warc_round_trip, op3_setsketch_near_dedup, op4_benchmark_decontamination, op5_chat_format, op6_bpe_round_trip, op7_anchor_substring_dedup, op9_exact_dedup, op10_suffix_array_dedup)}
 ORACLES = {
     "op2_warc_round_trip": warc.ORACLE,
     "op5_chat_format": chat.ORACLE,
     "op4_benchmark_decontamination": decontamination.ORACLE,
     "op7_anchor_substring_dedup": anchors.oracle(),
     "op9_exact_dedup": exact_dedup.ORACLE,
+    "op10_suffix_array_dedup": suffix_dedup.oracle(),
 }
