@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseloom.llm import anchors, bpe, chat, decontamination, exact_dedup, setsketch, suffix_dedup, warc
+from caseloom.llm import anchors, bpe, chat, decontamination, exact_dedup, pitman_yor, setsketch, suffix_dedup, warc
 from caseloom.llm.common import read_table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -47,6 +47,10 @@ def op7_anchor_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return anchors.without_repeats(read_table(spark, sf_dir, "documents"))
 
 
+def op8_pitman_yor_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.score(read_table(spark, sf_dir, "documents"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(read_table(spark, sf_dir, "documents"))
 
@@ -55,7 +59,7 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.without_repeats(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {q.__name__: q for q in (op2_warc_round_trip, op3_setsketch_near_dedup, op4_benchmark_decontamination, op5_chat_format, op6_bpe_round_trip, op7_anchor_substring_dedup, op9_exact_dedup, op10_suffix_array_dedup)}
+QUERIES = {q.__name__: q for q in (op2_warc_round_trip, op3_setsketch_near_dedup, op4_benchmark_decontamination, op5_chat_format, op6_bpe_round_trip, op7_anchor_substring_dedup, op8_pitman_yor_scores, op9_exact_dedup, op10_suffix_array_dedup)}
 ORACLES = {
     "op2_warc_round_trip": warc.ORACLE,
     "op5_chat_format": chat.ORACLE,
