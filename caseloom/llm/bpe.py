@@ -237,6 +237,14 @@ def tokens(docs: DataFrame, tokenizer_path: str, id_column: str = "doc_id", text
     return _mapped(docs, tokenizer_path, id_column, text_column, lambda v, text, ids: {"ids": ids}, [("ids", pa.list_(pa.int32()))], "ids array<int>")
 
 
+def encoded(docs: DataFrame, tokenizer_path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """``doc_id``, ``n_tokens``, ``ids`` and ``decoded_sha256`` of the text made from the ids. Otherwise like ``tokens``."""
+    def row(v, text, ids):
+        return {"n_tokens": len(ids), "ids": ids, "decoded_sha256": hashlib.sha256(v.decode(ids).encode()).hexdigest()}
+    fields = [("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded_sha256", pa.string())]
+    return _mapped(docs, tokenizer_path, id_column, text_column, row, fields, "n_tokens bigint, ids array<int>, decoded_sha256 string")
+
+
 def token_digests(docs: DataFrame, tokenizer_path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``doc_id``, ``n_tokens``, ``ids_sha256`` (decimal ids joined by commas), ``decoded_sha256``, ``n_bytes``.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseloom.llm import anchors, bpe, chat, decontamination, exact_dedup, pitman_yor, setsketch, suffix_dedup, warc
+from caseloom.llm import anchors, bpe, chat, decontamination, exact_dedup, language_id, pitman_yor, setsketch, suffix_dedup, warc
 from caseloom.llm.common import read_table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -17,6 +17,10 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "pages"))
+
+
 def op2_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write all pages, then read the committed archives; shards of 64 MB, so that small tables use several."""
     folder = warc.archive_folder(spark)
@@ -59,7 +63,7 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.without_repeats(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {q.__name__: q for q in (op2_warc_round_trip, op3_setsketch_near_dedup, op4_benchmark_decontamination, op5_chat_format, op6_bpe_round_trip, op7_anchor_substring_dedup, op8_pitman_yor_scores, op9_exact_dedup, op10_suffix_array_dedup)}
+QUERIES = {q.__name__: q for q in (op1_language_id, op2_warc_round_trip, op3_setsketch_near_dedup, op4_benchmark_decontamination, op5_chat_format, op6_bpe_round_trip, op7_anchor_substring_dedup, op8_pitman_yor_scores, op9_exact_dedup, op10_suffix_array_dedup)}
 ORACLES = {
     "op2_warc_round_trip": warc.ORACLE,
     "op5_chat_format": chat.ORACLE,
