@@ -105,17 +105,53 @@ def _found_in(values: np.ndarray, table: np.ndarray) -> np.ndarray:
     return table[at] == values
 
 
-def _by_row(rows: np.ndarray, numbers: np.ndarray) -> pa.RecordBatch:
-    """One line per row id: its numbers in order, packed."""
-    order = np.lexsort((numbers, rows))
-    rows, numbers = rows[order], numbers[order].astype(np.int32)
-    first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]])) if len(rows) else np.zeros(0, np.int64)
-    ends = np.append(first[1:], len(rows))
-    return pa.RecordBatch.from_arrays([pa.array(rows[first], pa.int64()), pa.array([numbers[a:b].tobytes() for a, b in zip(first, ends)], pa.binary())], names=["row", "numbers"])
+PACKED = "home int, rows binary, runs binary, numbers binary"
 
 
-def _hits(probes: DataFrame) -> DataFrame:
-    """(row, numbers): reference blocks that occur again. One bucket per partition."""
+def _by_home(n: int, rows: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
+    """Answers for many texts, packed into one row per home, the partition of ``n`` that a text's answers meet in.
+
+    ``columns`` are numbers of 32 bits; those of a text stand together, column after column.
+    """
+    home = (rows.astype(np.uint64) % np.uint64(n)).astype(np.int64)
+    order = np.lexsort((rows, home))
+    rows, home = rows[order], home[order]
+    bounds = np.searchsorted(home, np.arange(n + 1))
+    packed: list[list] = [[], [], [], []]
+    for k in range(n):
+        a, b = bounds[k], bounds[k + 1]
+        if a == b:
+            continue
+        own = rows[a:b]
+        first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+        values = np.stack([c[order[a:b]] for c in columns]).astype(np.int32)
+        for c, v in zip(packed, (k, own[first].tobytes(), np.diff(np.append(first, b - a)).astype(np.int32).tobytes(), values.tobytes())):
+            c.append(v)
+    return pa.RecordBatch.from_arrays([pa.array(packed[0], pa.int32()), *[pa.array(c, pa.binary()) for c in packed[1:]]], names=["home", "rows", "runs", "numbers"])
+
+
+def _by_row(answers: DataFrame, n: int, columns: list[str]) -> DataFrame:
+    """(row, columns...): the answers of each text from all buckets, packed."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, values = [np.zeros(0, np.int64)], [np.zeros((len(columns), 0), np.int32)]
+        for batch in batches:
+            for r, k, v in zip(*(batch.column(c).to_pylist() for c in ("rows", "runs", "numbers"))):
+                rows.append(np.repeat(np.frombuffer(r, np.int64), np.frombuffer(k, np.int32)))
+                values.append(np.frombuffer(v, np.int32).reshape(len(columns), -1))
+        row, value = np.concatenate(rows), np.concatenate(values, axis=1)
+        order = np.lexsort((value[0], row))
+        row, value = row[order], value[:, order]
+        first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else np.zeros(0, np.int64)
+        ends = np.append(first[1:], len(row))
+        for at in range(0, len(first), 5000):
+            part = slice(at, at + 5000)
+            yield pa.RecordBatch.from_arrays([pa.array(row[first[part]], pa.int64()), *[pa.array([v[a:b].tobytes() for a, b in zip(first[part], ends[part])], pa.binary()) for v in value]], names=["row", *columns])
+
+    return answers.repartitionById(n, "home").mapInArrow(run, "row bigint, " + ", ".join(f"{c} binary" for c in columns))
+
+
+def _hits(probes: DataFrame, n: int) -> DataFrame:
+    """(row, hits): reference blocks that occur again. One bucket per partition."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[bytes]] = [[], [], [], []]
         for batch in batches:
@@ -124,14 +160,14 @@ def _hits(probes: DataFrame) -> DataFrame:
         again = _repeated(_joined(held[0], np.uint32))
         hit = _found_in(_joined(held[1], np.uint32), again)
         if hit.any():
-            yield _by_row(_joined(held[2], np.int64)[hit], _joined(held[3], np.int32)[hit])
+            yield _by_home(n, _joined(held[2], np.int64)[hit], _joined(held[3], np.int32)[hit])
 
-    return probes.mapInArrow(run, "row bigint, numbers binary")
+    return _by_row(probes.mapInArrow(run, PACKED), n, ["hits"])
 
 
 def _positions(column: pa.Array) -> list[np.ndarray]:
-    """The packed numbers of each line, all lists of a line together."""
-    return [np.frombuffer(b"".join(parts), np.int32) if parts else np.zeros(0, np.int32) for parts in column.to_pylist()]
+    """The packed numbers of each line."""
+    return [np.frombuffer(v, np.int32) if v else np.zeros(0, np.int32) for v in column.to_pylist()]
 
 
 def _covered(starts: np.ndarray, width: int, n: int) -> np.ndarray:
@@ -144,7 +180,7 @@ def _covered(starts: np.ndarray, width: int, n: int) -> np.ndarray:
 
 def _windows(batch: pa.RecordBatch, window: int, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Fingerprint, row id and word number of every window over a hit."""
-    words, count = _words(batch.column("text"))
+    words, count = _words(rolling.decompressed(batch.column("packed")))
     prints, ids, numbers = [], [], []
     rolled = rolling.window_hashes(words, window)
     for row, hits, a, b in zip(batch.column("row").to_pylist(), _positions(batch.column("hits")), count[:-1].tolist(), count[1:].tolist()):
@@ -182,8 +218,8 @@ def _fingerprints(candidates: DataFrame, n: int, window: int, block: int) -> Dat
     return candidates.mapInArrow(run, "bucket int, prints binary, rows binary, runs binary, numbers binary")
 
 
-def _confirmed(fingerprints: DataFrame) -> DataFrame:
-    """(row, numbers): windows whose fingerprint occurs twice or more. One bucket per partition."""
+def _confirmed(fingerprints: DataFrame, n: int) -> DataFrame:
+    """(row, repeats): windows whose fingerprint occurs twice or more. One bucket per partition."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[bytes]] = [[], [], [], []]
         for batch in batches:
@@ -193,9 +229,9 @@ def _confirmed(fingerprints: DataFrame) -> DataFrame:
         again = _found_in(prints, _repeated(prints))
         if again.any():
             rows = np.repeat(_joined(held[1], np.int64), _joined(held[2], np.int32))
-            yield _by_row(rows[again], _joined(held[3], np.int32)[again])
+            yield _by_home(n, rows[again], _joined(held[3], np.int32)[again])
 
-    return fingerprints.mapInArrow(run, "row bigint, numbers binary")
+    return _by_row(fingerprints.mapInArrow(run, PACKED), n, ["repeats"])
 
 
 RESULT = "n_words bigint, n_removed bigint, kept_sha256 string"
@@ -204,11 +240,11 @@ RESULT = "n_words bigint, n_removed bigint, kept_sha256 string"
 def _kept(rows: DataFrame, window: int, with_text: bool, carried: list[str]) -> DataFrame:
     """What is left of each text after removing the words under its repeated windows; without ``repeats``, the whole text."""
     marked = "repeats" in rows.columns
-    rows = rows.select(*carried, "text", *(["repeats"] if marked else []))
+    rows = rows.select(*carried, *(["packed", "repeats"] if marked else ["text"]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = rolling.text_bytes(batch.column("text"))
+            data, offsets = rolling.text_bytes(rolling.decompressed(batch.column("packed")) if marked else batch.column("text"))
             starts, ends, count = rolling.word_bounds(data, offsets)
             marks = _positions(batch.column("repeats")) if marked else [None] * batch.num_rows
             raw = data.tobytes()
@@ -230,15 +266,21 @@ def _kept(rows: DataFrame, window: int, with_text: bool, carried: list[str]) ->
     return rows.mapInArrow(run, f"{kinds}, {RESULT}" + (", kept_text string" if with_text else ""))
 
 
+def compressed_texts(docs: DataFrame) -> DataFrame:
+    """``row`` and ``packed``, the text compressed: for the one shuffle and the checkpoint of whole texts."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("row"), rolling.compressed(batch.column("text"))], names=["row", "packed"])
+
+    return docs.select("row", "text").mapInArrow(run, "row bigint, packed binary")
+
+
 def repeated_windows(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
-    """Texts (``row, text``, a checkpoint) with a hit, and their repeated windows (``row, repeats``: lists of packed word numbers)."""
-    spark = docs.sparkSession
-    n, block = _buckets(spark), (window + 1) // 2
-    probes = _probes(docs, n, window, block).repartitionById(n, "bucket")
-    hits = _hits(probes).groupBy("row").agg(F.collect_list("numbers").alias("hits"))
-    candidates = cut_lineage(docs.join(hits, "row").select("row", "text", "hits"))
-    repeats = _confirmed(_fingerprints(candidates, n, window, block).repartitionById(n, "bucket")).groupBy("row").agg(F.collect_list("numbers").alias("repeats"))
-    return candidates, repeats
+    """Texts (``row, packed, hits``, a checkpoint) with a hit, and their repeated windows (``row, repeats``: packed word numbers)."""
+    n, block = _buckets(docs.sparkSession), (window + 1) // 2
+    hits = _hits(_probes(docs, n, window, block).repartitionById(n, "bucket"), n)
+    candidates = cut_lineage(compressed_texts(docs).join(hits, "row").select("row", "packed", "hits"))
+    return candidates, _confirmed(_fingerprints(candidates, n, window, block).repartitionById(n, "bucket"), n)
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW, id_column: str = "doc_id", text_column: str = "text", with_text: bool = False) -> DataFrame:
@@ -256,7 +298,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, id_column: str = "doc
     named = named.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
     candidates, repeats = repeated_windows(named.select("row", "text"), window)
     names = ["n_words", "n_removed", "kept_sha256", *(["kept_text"] if with_text else [])]
-    changed = _kept(candidates.select("row", "text").join(repeats, "row"), window, with_text, ["row"]).dropDuplicates(["row"])
+    changed = _kept(candidates.select("row", "packed").join(repeats, "row"), window, with_text, ["row"]).dropDuplicates(["row"])
     changed = changed.select(F.col("row").alias("_row"), *[F.col(c).alias(f"_{c}") for c in names])
     # the results of whole texts need no shuffle of texts
     whole = _kept(named, window, with_text, ["doc_id", "row"])

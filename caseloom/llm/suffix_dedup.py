@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caseloom.llm import rolling
-from caseloom.llm.anchors import _bucket, _buckets, _dealt, _joined
+from caseloom.llm.anchors import PACKED, _bucket, _buckets, _by_home, _by_row, _dealt, _joined, compressed_texts
 from caseloom.llm.common import cut_lineage, small_batches
 
 WINDOW, GRAM = 400, 160
@@ -106,7 +106,7 @@ def _anchors(rows: DataFrame, n: int, window: int, gram: int) -> DataFrame:
     return rows.mapInArrow(run, "bucket int, hashes binary, rows binary, numbers binary, counts binary")
 
 
-def _hits(anchors: DataFrame) -> DataFrame:
+def _hits(anchors: DataFrame, n: int) -> DataFrame:
     """(row, numbers, counts): runs whose anchor has other places, with the number of places that the sender or bucket knows."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[bytes]] = [[], [], [], []]
@@ -116,38 +116,28 @@ def _hits(anchors: DataFrame) -> DataFrame:
                     for c, v in zip(held, part):
                         c.append(v)
                 else:
-                    yield _by_row(np.frombuffer(part[1], np.int64), np.frombuffer(part[2], np.int32), np.frombuffer(part[3], np.int32))
+                    yield _by_home(n, np.frombuffer(part[1], np.int64), np.frombuffer(part[2], np.int32), np.frombuffer(part[3], np.int32))
         hashes, rows, numbers, counts = (_joined(c, k) for c, k in zip(held, (np.uint32, np.int64, np.int32, np.int32)))
         _, back = np.unique(hashes, return_inverse=True)
         total = np.bincount(back, counts).astype(np.int64)[back] if len(hashes) else np.zeros(0, np.int64)
         hit = total > 1
         if hit.any():
-            yield _by_row(rows[hit], numbers[hit], np.minimum(total[hit], 2 ** 31 - 1).astype(np.int32))
+            yield _by_home(n, rows[hit], numbers[hit], np.minimum(total[hit], 2 ** 31 - 1).astype(np.int32))
 
-    return anchors.mapInArrow(run, "row bigint, numbers binary, counts binary")
-
-
-def _by_row(rows: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
-    order = np.argsort(rows, kind="stable")
-    rows = rows[order]
-    first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-    ends = np.append(first[1:], len(rows))
-    packed = [pa.array([c[order[a:b]].tobytes() for a, b in zip(first, ends)], pa.binary()) for c in columns]
-    return pa.RecordBatch.from_arrays([pa.array(rows[first], pa.int64()), *packed], names=["row", "numbers", "counts"][:1 + len(columns)])
+    return _by_row(anchors.mapInArrow(run, PACKED), n, ["numbers", "counts"])
 
 
 def _regions(candidates: DataFrame, window: int, gram: int) -> DataFrame:
     """(anchor, region, count, places): the hit runs' bytes; equal ones of a batch once, with all places packed."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            runs = Runs(batch.column("text"), window, gram)
+            runs = Runs(rolling.decompressed(batch.column("packed")), window, gram)
             ids = batch.column("row").to_numpy()
             first = np.searchsorted(runs.doc, np.arange(batch.num_rows))
             last = np.searchsorted(runs.doc, np.arange(batch.num_rows), "right")
             raw, found = runs.data.tobytes(), {}
-            for d, hits in enumerate(batch.column("hits").to_pylist()):
-                numbers = np.frombuffer(b"".join(h["numbers"] for h in hits), np.int32)
-                counts = np.frombuffer(b"".join(h["counts"] for h in hits), np.int32)
+            for d, (numbers, counts) in enumerate(zip(batch.column("numbers").to_pylist(), batch.column("counts").to_pylist())):
+                numbers, counts = np.frombuffer(numbers, np.int32), np.frombuffer(counts, np.int32)
                 ok = numbers < last[d] - first[d]
                 for k, places in zip((first[d] + numbers[ok]).tolist(), counts[ok].tolist()):
                     start, n = int(runs.start[k]), int(runs.windows[k])
@@ -363,11 +353,11 @@ def _merge(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
 def _kept(rows: DataFrame, window: int, carried: list[str], with_bytes: bool) -> DataFrame:
     """What is left of each text after removing the bytes under its repeated windows; without ``spans``, the whole text."""
     marked = "spans" in rows.columns
-    rows = rows.select(*carried, "text", *(["spans"] if marked else []))
+    rows = rows.select(*carried, *(["packed", "spans"] if marked else ["text"]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = rolling.text_bytes(batch.column("text"))
+            data, offsets = rolling.text_bytes(rolling.decompressed(batch.column("packed")) if marked else batch.column("text"))
             lists = batch.column("spans").to_pylist() if marked else [None] * batch.num_rows
             found = []
             for spans, a, b in zip(lists, offsets[:-1].tolist(), offsets[1:].tolist()):
@@ -412,8 +402,8 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_
     named = docs.select(F.col(id_column).alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
     named = named.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
     texts = named.select("row", "text")
-    hits = _hits(_anchors(texts, n, window, gram).repartitionById(n, "bucket")).groupBy("row").agg(F.collect_list(F.struct("numbers", "counts")).alias("hits"))
-    candidates = cut_lineage(texts.join(hits, "row").select("row", "text", "hits"))
+    hits = _hits(_anchors(texts, n, window, gram).repartitionById(n, "bucket"), n)
+    candidates = cut_lineage(compressed_texts(texts).join(hits, "row").select("row", "packed", "numbers", "counts"))
     regions = _regions(candidates, window, gram)
     # an anchor is common by the largest count that any of its places was told; rare ones are not in this small table
     common = cut_lineage(regions.filter(F.col("count") > together).groupBy("anchor").agg(F.ceil(F.max("count") / together).cast("int").alias("parts")))
@@ -423,7 +413,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_
     across = _across(shards.filter("anchor IS NOT NULL").select("anchor", "slice", "prints", "owners").repartition("anchor", "slice").sortWithinPartitions("anchor", "slice"))
     spans = shards.filter("row IS NOT NULL").select("row", "spans").union(across).groupBy("row").agg(F.collect_list("spans").alias("spans"))
     names = NAMES[:5 if with_bytes else 4]
-    changed = _kept(candidates.select("row", "text").join(spans, "row"), window, ["row"], with_bytes).dropDuplicates(["row"])
+    changed = _kept(candidates.select("row", "packed").join(spans, "row"), window, ["row"], with_bytes).dropDuplicates(["row"])
     changed = changed.select(F.col("row").alias("_row"), *[F.col(c).alias(f"_{c}") for c in names])
     # the results of whole texts need no shuffle of texts
     joined = _kept(named, window, ["doc_id", "row"], with_bytes).join(changed, F.col("row") == F.col("_row"), "left")
