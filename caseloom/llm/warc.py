@@ -152,7 +152,7 @@ class _Rolling:
 
     def __init__(self, fs, base: str, shard: int, number: int):
         self.row = {"shard": shard, "file": number, "temporary": f"{base}/{shard:06d}-{number:05d}-{uuid.uuid4().hex}.warc.gz"}
-        self.out, self.size, self.records, self.sha = fs.open_output_stream(self.row["temporary"]), 0, 0, hashlib.sha256()
+        self.out, self.size, self.records, self.sha = fs.open_output_stream(self.row["temporary"], compression=None), 0, 0, hashlib.sha256()
 
     def add(self, data: bytes) -> None:
         packed = gzip.compress(data, 6, mtime=0)
@@ -217,7 +217,7 @@ def read_archives(manifest: DataFrame, root: str) -> DataFrame:
         for batch in batches:
             for path in batch.column("path").to_pylist():
                 rows, size = [], 0
-                with fs.open_input_stream(path) as stream:
+                with fs.open_input_stream(path, compression=None) as stream:
                     for row in records(stream):
                         rows.append(row)
                         size += len(row[6] or b"") + 200
