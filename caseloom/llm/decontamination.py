@@ -83,7 +83,7 @@ def contained_items(docs: DataFrame, items: DataFrame, threshold: float = THRESH
 def without_benchmark(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The rows that contain no item, with all their columns. Rows that share an id with a row that does go with it."""
     hit = contained_items(docs.select(id_column, text_column), items, threshold, id_column, text_column).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(hit, docs[id_column].eqNullSafe(F.col("_id")), "left_anti")
+    return docs.join(hit, docs[id_column].eqNullSafe(hit["_id"]), "left_anti")
 
 
 _SQL_WORDS = r"list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '')"

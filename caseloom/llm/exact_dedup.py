@@ -56,7 +56,7 @@ def without_exact_copies(docs: DataFrame, id_column: str = "doc_id", text_column
     """
     found = exact_duplicates(docs.select(id_column, text_column), id_column, text_column)
     dropped = found.filter(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
-    same = docs[id_column].eqNullSafe(F.col("_id")) & (F.sha2(normalised(docs[text_column]), 256) == F.col("_sha"))
+    same = docs[id_column].eqNullSafe(dropped["_id"]) & (F.sha2(normalised(docs[text_column]), 256) == dropped["_sha"])
     return docs.join(dropped, same, "left_anti")
 
 

@@ -215,5 +215,5 @@ def in_known_language(documents: DataFrame) -> DataFrame:
     """The documents whose language is accepted, with all their columns. Rows are told apart by id and text."""
     marked = documents.select(F.struct("doc_id", F.xxhash64("text").alias("print")).alias("doc_id"), "text", "lang", "source")
     rejected = identify(marked).filter(~F.col("accepted")).select(F.col("doc_id.doc_id").alias("_id"), F.col("doc_id.print").alias("_print")).distinct()
-    same = documents["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(documents["text"]) == F.col("_print"))
+    same = documents["doc_id"].eqNullSafe(rejected["_id"]) & (F.xxhash64(documents["text"]) == rejected["_print"])
     return documents.join(rejected, same, "left_anti")
