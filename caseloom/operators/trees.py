@@ -7,43 +7,78 @@ from pyspark.sql import functions as F
 
 from caseloom.session import cut_lineage
 
+# Rounds (512 hops) before cycles are looked for; no result depends on it.
+PATIENCE = 9
 
-def climb(nodes: DataFrame, keys: list[str], max_rounds: int = 9) -> DataFrame:
-    """Join the names of all ancestors.
+
+def _advanced(moving: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
+    """One round: every moving chain takes over what the node at its top knows; ``_moved`` says whether there was such a node."""
+    upper = known.select(*keys, F.col("node").alias("top"), F.col("names").alias("_names"), F.col("top").alias("_top"), F.col("hops").alias("_hops"))
+    step = moving.join(upper, [*keys, "top"], "left")
+    moved = F.col("_hops").isNotNull()
+    return step.select(
+        *keys, "node",
+        F.when(moved, F.concat("_names", "names")).otherwise(F.col("names")).alias("names"),
+        F.when(moved, F.col("_top")).otherwise(F.col("top")).alias("top"),
+        (F.col("hops") + F.coalesce("_hops", F.lit(0))).alias("hops"),
+        moved.alias("_moved"),
+    )
+
+
+def endless(nodes: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, node) of the nodes whose chain never ends: those of cycles, and those that lead into one.
+
+    A chain that ends has fewer hops than there are nodes; hops double each round, so what still moves after that many is
+    endless. Only numbers are carried.
+    """
+    known = cut_lineage(nodes.select(*keys, "node", F.array().cast("array<string>").alias("names"), F.col("parent").alias("top"), F.lit(1).cast("bigint").alias("hops")))
+    moving, done, count, reach = known, [], known.count(), 1
+    while reach <= count:
+        step = cut_lineage(_advanced(moving, known, keys))
+        done.append(step.filter("NOT _moved").drop("_moved"))
+        moving = step.filter("_moved").drop("_moved")
+        if moving.isEmpty():
+            break
+        known = union_by_name([*done, moving])
+        reach *= 2
+    return moving.select(*keys, "node")
+
+
+def climb(nodes: DataFrame, keys: list[str]) -> DataFrame:
+    """Join the names of all ancestors, however deep.
 
     ``nodes`` has ``keys``, ``node``, ``parent`` and ``names`` (array, one element for the node itself). The result has
-    ``names`` root-most first, ``top`` (the first missing or terminal parent reached, NULL inside a cycle) and ``hops``.
-    Each round joins the table to itself, so a chain of depth d needs about log2(d) rounds; rounds stop as soon as no
-    chain moves. A chain still moving after ``max_rounds`` is a cycle (or deeper than 2^max_rounds).
+    ``names`` root-most first, ``top`` (the first missing or terminal parent reached) and ``hops``; both names and top are NULL
+    for a chain that ends in a cycle. A round joins the chains that still move, and a chain of depth d needs about log2(d)
+    rounds. Chains that ended are set aside. When chains still move after ``PATIENCE`` rounds, cycles are looked for once and
+    taken out, as their names would grow without end.
     """
-    state = nodes.select(*keys, "node", "names", F.col("parent").alias("top"), F.lit(1).cast("bigint").alias("hops"))
-    state = cut_lineage(state)
-    for _ in range(max_rounds):
-        upper = state.select(
-            *keys, F.col("node").alias("top"), F.col("names").alias("_names"), F.col("top").alias("_top"), F.col("hops").alias("_hops")
-        )
-        step = state.join(upper, [*keys, "top"], "left")
-        moved = F.col("_names").isNotNull()
-        state = cut_lineage(
-            step.select(
-                *keys, "node",
-                F.when(moved, F.concat("_names", "names")).otherwise(F.col("names")).alias("names"),
-                F.when(moved, F.col("_top")).otherwise(F.col("top")).alias("top"),
-                (F.col("hops") + F.coalesce("_hops", F.lit(0))).alias("hops"),
-                moved.alias("_moved"),
-            )
-        )
-        if state.filter("_moved").isEmpty():
+    known = cut_lineage(nodes.select(*keys, "node", "names", F.col("parent").alias("top"), F.lit(1).cast("bigint").alias("hops")))
+    moving, done, rounds = known, [], 0
+    while True:
+        step = cut_lineage(_advanced(moving, known, keys))
+        settled, moving = step.filter("NOT _moved").drop("_moved"), step.filter("_moved").drop("_moved")
+        done.append(settled)
+        if moving.isEmpty():
             break
-        state = state.drop("_moved")
-    else:
-        state = state.withColumn("_moved", F.lit(True))
-        # Still moving after 2^max_rounds hops: find which rows point at a node that exists.
-        alive = state.select(*keys, F.col("node").alias("top"), F.lit(True).alias("_alive"))
-        state = state.join(alive, [*keys, "top"], "left")
-        state = state.withColumn("names", F.when(F.col("_alive").isNull(), F.col("names")))
-        state = state.withColumn("top", F.when(F.col("_alive").isNull(), F.col("top"))).drop("_alive")
-    return state.drop("_moved")
+        rounds += 1
+        if rounds == PATIENCE:
+            cyclic = endless(nodes, keys)
+            lost = moving.join(cyclic, [*keys, "node"], "left_semi")
+            done.append(lost.withColumn("names", F.lit(None).cast("array<string>")).withColumn("top", F.lit(None).cast(lost.schema["top"].dataType)))
+            moving = cut_lineage(moving.join(cyclic, [*keys, "node"], "left_anti"))
+            if moving.isEmpty():
+                break
+        # what a node knows: its whole chain if that ended, else as far as it has come
+        known = union_by_name([*done, moving])
+    return union_by_name(done)
+
+
+def union_by_name(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for frame in frames[1:]:
+        out = out.unionByName(frame)
+    return out
 
 
 def path_text(names: Column) -> Column:

@@ -17,7 +17,6 @@ from caseloom.plans.common import HOST, union_all
 EXTENSION_MARK = bytes.fromhex("0400efbe")
 NAME_OFFSETS = [(9, 46), (8, 42), (0, 34)]
 SHORT_NAME_OFFSET = 14
-MAX_CLIMB = 64
 LINK_FIELDS = [
     "target_path", "app_id", "jumplist_type", "arguments", "working_directory", "machine_id", "timestamp",
     "created_time", "modified_time", "_source_file",
@@ -92,8 +91,7 @@ def shellbag_folders(registry: DataFrame, keys: list[str] | None = None) -> Data
     last = items.groupBy(*keys, "node", "parent").agg(F.max_by("raw", "_rowid").alias("raw"))
     named = last.select(*keys, "node", "parent", F.array(shell_items("raw")).alias("names"))
     chains = trees.climb(named, keys)
-    near = F.slice("names", F.greatest(F.size("names") - MAX_CLIMB + 1, F.lit(1)), MAX_CLIMB)
-    chain = chains.withColumn("_c", near)
+    chain = chains.withColumn("_c", F.col("names"))
     pick = lambda kind: F.transform(F.filter("_c", lambda n: n["kind"] == kind), lambda n: n["name"])
     parts = chain.withColumn("_dirs", pick("folder")).withColumn("_drive", F.get(F.reverse(pick("volume")), F.lit(0))).filter(F.size("_dirs") > 0)
     relative = F.concat(F.lit("\\"), F.array_join("_dirs", "\\"))

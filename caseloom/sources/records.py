@@ -47,10 +47,10 @@ def inventory_records(registry: DataFrame, keys: list[str]) -> tuple[DataFrame,
     )
     programs = records.filter(F.col("_kind") == "program").drop("_kind")
     get = lambda name: F.try_element_at("fields", F.lit(name))
-    strip = lambda c: F.when(F.length(c) > 4, F.substring(c, 5, 1_000_000)).otherwise(c)
-    file_id = F.when((get("file_id") != "0") & (F.length(get("file_id")) > 4), F.substring(get("file_id"), 5, 1_000_000)).otherwise(get("file_id"))
+    strip = lambda c: F.when(F.length(c) > 4, F.substr(c, F.lit(5))).otherwise(c)
+    file_id = F.when((get("file_id") != "0") & (F.length(get("file_id")) > 4), F.substr(get("file_id"), F.lit(5))).otherwise(get("file_id"))
     own_sha = F.when(
-        (F.length(get("sha1")) > 4) & ~get("sha1").eqNullSafe(file_id), F.substring(get("sha1"), 5, 1_000_000)
+        (F.length(get("sha1")) > 4) & ~get("sha1").eqNullSafe(file_id), F.substr(get("sha1"), F.lit(5))
     ).otherwise(get("sha1"))
     derived = F.when((get("file_id") != "0") & (F.length(get("file_id")) > 4), file_id)
     size = F.regexp_replace(get("size"), "^(0x)+", "")
@@ -100,7 +100,7 @@ def file_records(attributes: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def with_paths(records: DataFrame, keys: list[str], max_rounds: int = 9) -> DataFrame:
+def with_paths(records: DataFrame, keys: list[str]) -> DataFrame:
     """Add ``path``. Only records that are somebody's parent take part in the climb; the rest needs one join.
 
     Missing, self-referencing and cyclic parents resolve to ``\\$Orphan``.
@@ -114,7 +114,7 @@ def with_paths(records: DataFrame, keys: list[str], max_rounds: int = 9) -> Data
         *keys, "node", F.array("file_name").alias("names"),
         F.when(F.col("parent") == F.col("node"), F.lit(-2)).otherwise(F.col("parent")).alias("parent"),
     )
-    climbed = trees.climb(folders, keys, max_rounds)
+    climbed = trees.climb(folders, keys)
     base = F.when(F.col("top") == ROOT_ENTRY, "").otherwise(orphan)
     resolved = climbed.select(
         *keys, F.col("node").alias("parent_entry"),

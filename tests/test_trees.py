@@ -45,6 +45,18 @@ def test_paths(spark):
     assert got[329].count("\\") == 230
 
 
+def test_deep_paths(spark):
+    """2,000 folders in each other, a long cycle, and chains that lead into it: depth has no limit, cycles are orphans."""
+    entries = {i: (f"d{i}", i - 1 if i > 100 else 5) for i in range(100, 2100)}
+    entries |= {i: (f"c{i}", i + 1 if i < 3699 else 3000) for i in range(3000, 3700)} | {i: (f"t{i}", i - 1 if i > 4000 else 3100) for i in range(4000, 4600)}
+    rows = [("h", e, n, p) for e, (n, p) in entries.items()] + [("h", 5, ".", 5)]
+    df = spark.createDataFrame(rows, "host_id string, entry long, file_name string, parent_entry long")
+    got = {r["entry"]: r["path"] for r in records.with_paths(df, ["host_id"]).collect()}
+    assert got.pop(5) == "\\"
+    assert got == model(entries)
+    assert got[2099].count("\\") == 2000
+
+
 def wide(text):
     return text.encode("utf-16-le")
 
@@ -85,6 +97,7 @@ def test_fragments_from_a_small_grid(spark):
     placed = tiles.components(tiles.both_ways(tiles.adjacency(df, keys), keys), keys)
     fragment = tiles.fragments(placed, keys).collect()
     assert [(r["fragment_index"], r["tile_count"], r["cols"], r["rows"], r["width"]) for r in fragment] == [(1, 3, 2, 2, 128)]
+    assert [r["oversized"] for r in fragment] == [False]
     assert [(r["tile_index"], r["count"]) for r in tiles.single_tiles(df, placed, keys).collect()] == [(4, 2)]
 
 
