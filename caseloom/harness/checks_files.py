@@ -20,7 +20,7 @@ def files(spark, sf):
 
 @check("s8_file_discovery", "files", """
 SELECT 'name' AS rule, path, doc_id FROM files WHERE lower(split_part(path, '/', -1)) IN ('system', 'sam') UNION ALL SELECT 'extension', path, doc_id FROM files WHERE lower(path) LIKE '%.wer'
-UNION ALL SELECT 'suffix', path, doc_id FROM files WHERE lower(split_part(path, '/', -1)) LIKE '%ntuser.dat' UNION ALL SELECT 'content', path, doc_id FROM files WHERE contains(hex(encode(text))[1:8192], hex(encode('ation')))""".strip())
+UNION ALL SELECT 'suffix', path, doc_id FROM files WHERE lower(split_part(path, '/', -1)) LIKE '%ntuser.dat' UNION ALL SELECT 'content', path, doc_id FROM files WHERE contains(text, 'ation')""".strip())
 def _(spark, sf):
     df = files(spark, sf)
     found = lambda rule, condition: df.filter(condition).select(F.lit(rule).alias("rule"), "path", "doc_id")
@@ -31,7 +31,7 @@ def _(spark, sf):
 
 
 @check("s9_content_dedupe", "files", """
-SELECT length, min(path) AS path FROM (SELECT path, octet_length(encode(text)) AS length, CASE WHEN octet_length(encode(text)) <= 131072 THEN md5(text) ELSE md5(hex(encode(text))[1:131072] || hex(encode(text))[-131072:]) END AS d FROM files) GROUP BY length, d""")
+SELECT length, min(path) AS path FROM (SELECT path, octet_length(encode(text)) AS length, md5(text) AS d FROM files) GROUP BY length, d""")
 def _(spark, sf):
     return inventory.dedupe_by_content(files(spark, sf)).select("length", "path")
 

@@ -9,10 +9,6 @@ from caseloom.functions.core import any_of
 from caseloom.functions.text import last_segment
 from caseloom.operators.ordered import first_per_key
 
-# Bytes of content looked at.
-HEAD_BYTES = 4096
-EDGE_BYTES = 65536
-
 
 def list_files(spark: SparkSession, root: str) -> DataFrame:
     """Files below a folder. Content is only read where a later column needs it."""
@@ -33,19 +29,14 @@ def with_suffix(suffixes: list[str], path: str = "path") -> Column:
 
 
 def with_marker(marker: str, content: str = "content") -> Column:
-    """Marker in the first 4 KB, as UTF-8 or UTF-16LE. Hex text keeps byte positions, so matches must start on a byte."""
-    head = F.hex(F.substring(content, 1, HEAD_BYTES))
-    pairs = F.regexp_replace(head, "(..)", "$1 ")
-    spaced = lambda raw: " ".join(f"{b:02X}" for b in raw) + " "
-    return F.contains(pairs, F.lit(spaced(marker.encode("utf-8")))) | F.contains(
-        pairs, F.lit(spaced(marker.encode("utf-16-le"))))
-
-
-def content_digest(content: str = "content", length: str = "length") -> Column:
-    """Digest of the whole content up to 128 KB, else of the first and the last 64 KB."""
-    c, n = F.col(content), F.col(length)
-    edges = F.concat(F.substring(c, 1, EDGE_BYTES), F.substr(c, (n - EDGE_BYTES + 1).cast("int"), F.lit(EDGE_BYTES)))
-    return F.sha2(F.when(n <= 2 * EDGE_BYTES, c).otherwise(edges), 256)
+    """Marker anywhere in the content, as UTF-8 or UTF-16LE. One character per byte keeps matches on byte positions."""
+    whole = F.decode(F.col(content), "ISO-8859-1")
+    return F.contains(whole, F.lit(marker.encode("utf-8").decode("latin-1"))) | F.contains(whole, F.lit(marker.encode("utf-16-le").decode("latin-1")))
+
+
+def content_digest(content: str = "content") -> Column:
+    """Digest of the whole content: files that differ anywhere are different."""
+    return F.sha2(F.col(content), 256)
 
 
 def dedupe_by_content(files: DataFrame, keys: list[str] | None = None) -> DataFrame:

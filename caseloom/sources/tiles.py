@@ -92,7 +92,7 @@ def components(links: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def fragments(placed: DataFrame, keys: list[str]) -> DataFrame:
-    """Picture fragments of at least two tiles, numbered by size within their file; oversized grids are left out."""
+    """Picture fragments of at least two tiles, numbered by size within their file; an oversized grid says so in ``oversized``."""
     sized = placed.groupBy(*keys, "component").agg(
         F.count(F.lit(1)).alias("tile_count"),
         (F.max("x") - F.min("x") + 1).alias("cols"),
@@ -101,10 +101,10 @@ def fragments(placed: DataFrame, keys: list[str]) -> DataFrame:
     order = Window.partitionBy(*keys).orderBy(F.desc("tile_count"), "component")
     return (
         sized.withColumn("fragment_index", F.row_number().over(order))
-        .filter((F.col("cols") <= MAX_GRID) & (F.col("rows") <= MAX_GRID))
         .select(
             *keys, F.lit("fragment").alias("kind"), "fragment_index", "tile_count", "cols", "rows",
             (F.col("cols") * TILE_PIXELS).alias("width"), (F.col("rows") * TILE_PIXELS).alias("height"),
+            ((F.col("cols") > MAX_GRID) | (F.col("rows") > MAX_GRID)).alias("oversized"),
         )
     )
 
