@@ -27,8 +27,11 @@ def nested_first(parsed: Column, under: str, name: str) -> Column:
     return F.when(parsed[under].isNotNull(), blank_to_null(parsed[under][name])).otherwise(blank_to_null(parsed[name]))
 
 
-def flattened(raw: Column | str, depth: int = 8) -> Column:
-    """Array of (path, field, value) for every leaf of nested payload objects; arrays are joined with commas."""
+def flattened(raw: Column | str, depth: int = 24) -> Column:
+    """Array of (path, field, value) for every leaf of nested payload objects; arrays are joined with commas.
+
+    ``depth`` is how deep objects may be nested in each other; one that lies deeper is a leaf with its JSON text.
+    """
     variant_map = "map<string,variant>"
 
     def entries(prefix: Column | None, value: Column) -> Column:
