@@ -10,16 +10,15 @@ from caseloom.operators import ordered
 from caseloom.operators.filters import any_column_contains
 from caseloom.plans.common import HOST, union_all
 
-# Shortest query, hits per table and in total.
+# Fixed value: shortest query.
 MIN_QUERY = 2
-PER_TABLE = 50
-TOTAL = 600
 
 
-def table_hits(df: DataFrame, table: str, query: str, keys: list[str] = HOST, per_table: int | None = PER_TABLE) -> DataFrame:
+def table_hits(df: DataFrame, table: str, query: str, keys: list[str] = HOST, per_table: int | None = None) -> DataFrame:
     """Rows with the text in any column, the first such column, and the row as JSON.
 
-    The row number cap is pruned inside each input partition, and rows are only turned into JSON once they passed it.
+    All of them, or the first ``per_table`` per host; that rank is pruned inside each input partition, and rows are only
+    turned into JSON once they passed it.
     """
     columns = [c for c in df.columns if c not in (*keys, "_rowid")]
     found = df.filter(any_column_contains(columns, query))
@@ -29,8 +28,11 @@ def table_hits(df: DataFrame, table: str, query: str, keys: list[str] = HOST, pe
     return found.select(*keys, F.lit(table).alias("table_name"), "_rowid", match.alias("match_column"), F.to_json(F.struct(*columns)).alias("row"))
 
 
-def case_search(tables: dict[str, DataFrame], query: str, keys: list[str] = HOST, per_table: int | None = PER_TABLE, total: int | None = TOTAL) -> DataFrame | None:
-    """Hits over all tables and hosts; nothing for a query under two characters."""
+def case_search(tables: dict[str, DataFrame], query: str, keys: list[str] = HOST, per_table: int | None = None, total: int | None = None) -> DataFrame | None:
+    """Hits over all tables and hosts, the first ``total`` of them if that is given; nothing for a query under two characters.
+
+    ``hit_groups`` of the hits without limits says how many there are.
+    """
     needle = query.strip()
     if len(needle) < MIN_QUERY:
         return None
@@ -66,5 +68,8 @@ def raw_event_of(overview: DataFrame, events: DataFrame, keys: list[str] = HOST)
         *keys, F.col("_record_key").alias("_raw_key"), F.col("Provider").alias("raw_provider"), F.col("EventID").alias("raw_event_id"),
         F.col("timestamp").alias("raw_timestamp"), F.col("_rowid").alias("raw_rowid"),
     )
+    # only events that a row links to are grouped
+    wanted = overview.select(*keys, gate.alias("_raw_key")).filter(F.col("_raw_key").isNotNull()).distinct()
+    raw = raw.join(wanted, [*keys, "_raw_key"], "left_semi")
     raw = raw.groupBy(*keys, "_raw_key").agg(F.min_by(F.struct("raw_provider", "raw_event_id", "raw_timestamp", "raw_rowid"), "raw_rowid").alias("r"))
     return overview.withColumn("_raw_key", gate).join(raw, [*keys, "_raw_key"], "left").select(*overview.columns, "r.*")
