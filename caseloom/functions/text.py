@@ -37,10 +37,11 @@ def exe_from_host(host: Column | str) -> Column:
     return F.coalesce(blank_to_null(last_segment(path)), blank_to_null(path))
 
 
-def first_line(value: Column | str, limit: int) -> Column:
-    """First non-blank trimmed line, cut to ``limit`` characters."""
+def first_line(value: Column | str, limit: int | None = None) -> Column:
+    """First non-blank trimmed line, cut to ``limit`` characters if that is given."""
     lines = F.transform(F.split(col(value), r"\r?\n"), lambda x: F.trim(F.regexp_replace(x, r"^\s+|\s+$", "")))
-    return blank_to_null(F.left(F.get(F.filter(lines, lambda x: x != ""), F.lit(0)), F.lit(limit)))
+    first = F.get(F.filter(lines, lambda x: x != ""), F.lit(0))
+    return blank_to_null(first if limit is None else F.left(first, F.lit(limit)))
 
 
 def labelled_value(context: Column | str, tokens: list[str]) -> Column:

@@ -117,7 +117,7 @@ def _(spark, sf):
     return browser.assistant_referrals(rows).select("_rowid", "url")
 
 
-@check("q12_cache_list", "cache", "SELECT account, url, response_time, body_size, cache_key FROM cache WHERE body_b64 <> '' ORDER BY _source_file, _rowid LIMIT 20000")
+@check("q12_cache_list", "cache", "SELECT account, url, response_time, body_size, cache_key FROM cache WHERE body_b64 <> ''")
 def _(spark, sf):
     return browser.cache_list(shape(spark, sf, "cache")).select("account", "url", "response_time", "body_size", "cache_key")
 
@@ -403,12 +403,12 @@ def search_hits(spark, sf):
     return search.case_search({"events": read("events", "event_id").select("host_id", "_rowid", "event_type", "props"), "part": read("part", "p_partkey").select("host_id", "_rowid", "p_name"), "documents": docs}, " URC ")
 
 
-@check("q14_case_search", "", SEARCH_SQL.strip() + " SELECT table_name, _rowid, match_column FROM h WHERE rn <= 50")
+@check("q14_case_search", "", SEARCH_SQL.strip() + " SELECT table_name, _rowid, match_column FROM h")
 def _(spark, sf):
     return search_hits(spark, sf).select("table_name", "_rowid", "match_column")
 
 
-@check("a15_hit_groups", "", SEARCH_SQL.strip() + " SELECT 'host0' AS host_id, table_name, count(*) AS hits, true AS is_current FROM h WHERE rn <= 50 GROUP BY 2")
+@check("a15_hit_groups", "", SEARCH_SQL.strip() + " SELECT 'host0' AS host_id, table_name, count(*) AS hits, true AS is_current FROM h GROUP BY 2")
 def _(spark, sf):
     return search.hit_groups(search_hits(spark, sf), "host0")
 
@@ -452,7 +452,7 @@ def steps(spark, sf):
 @check("q21_participants", "ev tasks marks facts", cr.NET_SQL + "," + MARK_SQL + """,
 addr AS (SELECT replace(value, '10.1.', '10.0.') AS ip, min(host_id) AS peer_host FROM faces1 GROUP BY 1),
 steps AS (SELECT mk.*, nullif(trim(remote_address), '') AS peer, peer_host FROM mk LEFT JOIN addr ON ip = trim(remote_address)),
-u AS (SELECT peer AS name, min((event_time IS NULL, coalesce(event_time, ''), taggedAt)) AS f FROM steps WHERE peer IS NOT NULL AND peer_host IS NULL GROUP BY 1 ORDER BY f, 1 LIMIT 10)
+u AS (SELECT peer AS name, min((event_time IS NULL, coalesce(event_time, ''), taggedAt)) AS f FROM steps WHERE peer IS NOT NULL AND peer_host IS NULL GROUP BY 1)
 SELECT 'host' AS kind, name FROM (SELECT host_id AS name FROM steps UNION SELECT peer_host FROM steps WHERE peer_host IS NOT NULL) UNION ALL SELECT 'peer', name FROM u""")
 def _(spark, sf):
     return bm.participants(steps(spark, sf)).select("kind", "name")

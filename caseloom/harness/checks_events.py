@@ -427,7 +427,7 @@ def _(spark, sf):
 
 
 @check("q5_script_evidence", "sb acct", PS_SQL + """
-SELECT record_key, CASE WHEN length(line) > 220 THEN left(line, 220) || '…' ELSE line END AS evidence FROM (
+SELECT record_key, line AS evidence FROM (
   SELECT record_key, coalesce(list_filter(list_transform(string_split_regex(script_block, '\\r?\\n'), lambda x: trim(x)), lambda x: x <> '')[1], command, host_application) AS line FROM ps)""")
 def _(spark, sf):
     return ps(spark, sf).select("record_key", powershell.evidence_text().alias("evidence"))

@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 from caseloom.functions.core import blank_to_null, first_present, text
 from caseloom.plans.common import HOST, union_all
 
-# Fixed value: unknown peers shown as their own lifeline.
-MAX_PEERS = 10
-
 
 def bookmark_source(df: DataFrame, table: str, fields: list[str], time_field: str = "timestamp", keys: list[str] = HOST) -> DataFrame:
     """A table as bookmark targets: only the fields a bookmark may name, as a map."""
@@ -49,12 +46,14 @@ def sequence(entries: DataFrame, addresses: DataFrame, keys: list[str] = HOST) -
     return entries.withColumn("peer", peer).join(addresses.withColumnRenamed("ip", "peer"), "peer", "left")
 
 
-def participants(steps: DataFrame, max_peers: int = MAX_PEERS) -> DataFrame:
-    """Lifelines: every host (own or peer) in first-appearance order, then the first unknown peers."""
+def participants(steps: DataFrame, max_peers: int | None = None) -> DataFrame:
+    """Lifelines: every host (own or peer) in first-appearance order, then unknown peers (the first ``max_peers``, if given)."""
     order = F.struct(F.col("event_time").isNull().alias("late"), text("event_time").alias("at"), F.col("taggedAt").alias("tag"))
     hosts = steps.select(F.col("host_id").alias("name"), order.alias("o")).unionByName(
         steps.filter(F.col("peer_host").isNotNull()).select(F.col("peer_host").alias("name"), order.alias("o"))
     ).groupBy("name").agg(F.min("o").alias("first")).withColumn("kind", F.lit("host"))
     unknown = steps.filter(F.col("peer").isNotNull() & F.col("peer_host").isNull())
-    peers = unknown.groupBy(F.col("peer").alias("name")).agg(F.min(order).alias("first")).orderBy("first", "name").limit(max_peers)
+    peers = unknown.groupBy(F.col("peer").alias("name")).agg(F.min(order).alias("first"))
+    if max_peers is not None:
+        peers = peers.orderBy("first", "name").limit(max_peers)
     return hosts.unionByName(peers.withColumn("kind", F.lit("peer")))

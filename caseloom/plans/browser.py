@@ -15,7 +15,6 @@ from caseloom.sources.raw import SCAN_TIES
 # Rows shown in the insight cards, the preview size, referral markers.
 TOP_ROWS = 8
 PREVIEW_BASE64 = 768 * 1024
-CACHE_LIST_CAP = 20_000
 REFERRAL_MARKERS = ["utm_source=chatgpt.com", "utm_source=gemini", "utm_source=claude"]
 
 
@@ -106,11 +105,11 @@ def assistant_referrals(activity: DataFrame, start: str | None = None, end: str
     return activity.filter(where & hit)
 
 
-def cache_list(cache: DataFrame, limit: int = CACHE_LIST_CAP) -> DataFrame:
-    """Cache entries with a stored body, without the body."""
+def cache_list(cache: DataFrame, limit: int | None = None) -> DataFrame:
+    """Cache entries with a stored body, without the body; the first ``limit`` in scan order if that is given."""
     columns = ["account", "url", "content_type", "status", "response_time", "body_size", "cache_key"]
     stored = cache.filter(text("body_b64") != "")
-    return stored.orderBy(*SCAN_TIES).limit(limit).select(*columns)
+    return (stored if limit is None else stored.orderBy(*SCAN_TIES).limit(limit)).select(*columns)
 
 
 def body_preview(cache: DataFrame, wanted: DataFrame, keys: list[str] = HOST) -> DataFrame:

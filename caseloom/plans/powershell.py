@@ -18,8 +18,6 @@ from caseloom.sources.raw import SCAN_TIES, live_hives, scan_seq
 HOST_LABELS = ["Host Application", "호스트 응용"]
 USER_LABELS = ["User", "사용자"]
 COMMAND_LABELS = ["Command Name", "명령 이름"]
-COMMAND_WIDTH = 400
-EVIDENCE_WIDTH = 220
 SESSION_GAP_MS = 30 * 60 * 1000
 
 
@@ -77,9 +75,9 @@ def powershell_history(events: DataFrame, registry: DataFrame, keys: list[str] =
         overview_row(single, "PowerShellHistory", extra, **base, account=F.col("_account"), process="powershell.exe",
                      script_block=blank_to_null(d["ScriptBlockText"]), kind="script block", script_path=blank_to_null(d["Path"])),
         overview_row(pipeline, "PowerShellHistory", extra, **base, account=F.coalesce(tx.labelled_value(context, USER_LABELS), F.col("_account")),
-                     process=process(p_host), command=tx.first_line(p_command, COMMAND_WIDTH), host_application=p_host, kind="pipeline"),
+                     process=process(p_host), command=tx.first_line(p_command), host_application=p_host, kind="pipeline"),
         overview_row(old, "PowerShellHistory", extra, **base, account=F.coalesce(tx.after_token("_blob", "UserId="), F.col("_account")),
-                     process=process(F.col("_host")), command=tx.first_line("_command", COMMAND_WIDTH), host_application=F.col("_host"), kind="command"),
+                     process=process(F.col("_host")), command=tx.first_line("_command"), host_application=F.col("_host"), kind="command"),
         overview_row(blocks, "PowerShellHistory", extra, timestamp=F.col("timestamp"), process_id=F.col("ProcessID"),
                      event_id=F.lit("4104"), provider=F.lit(lk.POWERSHELL), record_key=F.col("_record_key"), account=F.col("_account"),
                      process="powershell.exe", script_block=F.col("script_block"), kind="script block", script_path=F.col("path")),
@@ -122,12 +120,8 @@ def all_text(raw: Column | str) -> Column:
 
 
 def evidence_text() -> Column:
-    """Script, else command, else host application, cut to the display width."""
-    def shown(value: Column) -> Column:
-        line = tx.first_line(value, 1_000_000)
-        return F.when(F.length(line) > EVIDENCE_WIDTH, F.concat(F.left(line, F.lit(EVIDENCE_WIDTH)), F.lit("…"))).otherwise(line)
-
-    return F.coalesce(*[shown(F.col(c)) for c in ("script_block", "command", "host_application")], F.lit("(no text recorded)"))
+    """First line of the script, else of the command, else of the host application; a view cuts it to its width."""
+    return F.coalesce(*[tx.first_line(F.col(c)) for c in ("script_block", "command", "host_application")], F.lit("(no text recorded)"))
 
 
 def script_sessions(history: DataFrame, keys: list[str] = HOST, gap_ms: int = SESSION_GAP_MS,

@@ -243,7 +243,7 @@ def share_path(value: Column | str) -> Column:
     raw = text(value)
     items = F.when(raw.startswith("["), F.coalesce(F.from_json(raw, "array<string>"), F.array(raw))).otherwise(F.array(raw))
     hit = F.filter(items, lambda x: F.lower(x).startswith("path="))
-    return F.substring(F.get(hit, F.lit(0)), 6, 1_000_000)
+    return F.substr(F.get(hit, F.lit(0)), F.lit(6))
 
 
 def shares(system: DataFrame, picks: DataFrame, keys: list[str]) -> DataFrame:
@@ -269,7 +269,7 @@ def shares(system: DataFrame, picks: DataFrame, keys: list[str]) -> DataFrame:
     own = ordered.first_per_key(own, [*keys, "value_name"], scan_seq())
     user_shares = overview_row(
         own, "RegistryFindings", keys, category="shares", name=F.col("value_name"),
-        value=F.coalesce(blank_to_null(share_path("value_data")), blank_to_null(F.left("value_data", F.lit(80)))), status="caution",
+        value=F.coalesce(blank_to_null(share_path("value_data")), blank_to_null("value_data")), status="caution",
         detail="user-defined share; check exposure and permissions", key_path=F.col("key_path"), source="SYSTEM", timestamp=F.col("last_write"),
     )
     return union_all([service, *automatic, user_shares])

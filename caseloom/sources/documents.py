@@ -17,8 +17,8 @@ REPORT_INDEX = r"^([A-Za-z0-9_.]+)\[([0-9]+)\](?:\.([A-Za-z0-9_.]+))?$"
 
 def history_user(path: Column | str) -> Column:
     """First folder above the file that is not part of the standard layout."""
-    folders = F.slice(F.reverse(F.split(col(path), r"[\\/]")), 2, 1000)
-    named = F.filter(folders, lambda f: (f != "") & ~F.lower(f).isin(*SKIPPED_FOLDERS))
+    parts = F.reverse(F.split(col(path), r"[\\/]"))
+    named = F.filter(parts, lambda f, i: (i > 0) & (f != "") & ~F.lower(f).isin(*SKIPPED_FOLDERS))
     return F.get(named, F.lit(0))
 
 
