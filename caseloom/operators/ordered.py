@@ -54,15 +54,16 @@ def _same_rows(df: DataFrame) -> Column:
 def carry_last(df: DataFrame, order: ScanOrder, value: Column, name: str, include_current: bool = False) -> DataFrame:
     """Latest non-NULL ``value`` before each row (or up to it), over the whole scan of each key."""
     rows = order.cells(df).withColumn("_v", value)
+    upto = order.window().rowsBetween(Window.unboundedPreceding, 0 if include_current else -1)
+    local = rows.withColumn("_local", F.last("_v", ignorenulls=True).over(upto))
+    # Summed up after the window, so that both uses need the rows dealt alike and the second takes the first's shuffle.
     summary = (
-        rows.groupBy(*order.keys, SPAN)
-        .agg(F.max_by("_v", F.when(F.col("_v").isNotNull(), order.key())).alias("_tail"), _same_rows(df))
+        local.groupBy(*order.keys, SPAN)
+        .agg(F.max_by("_v", F.when(F.col("_v").isNotNull(), order.key())).alias("_tail"), F.max(F.col("_local").isNotNull()).alias("_seen"), _same_rows(df))
         .filter(F.col("_touched").isNotNull())
         .withColumn("_carried", F.last("_tail", ignorenulls=True).over(order.over_spans()))
-        .drop("_tail", "_touched")
+        .drop("_tail", "_touched", "_seen")
     )
-    upto = order.window().rowsBetween(Window.unboundedPreceding, 0 if include_current else -1)
-    local = rows.withColumn("_local", F.last("_v", ignorenulls=True).over(upto))
     joined = order.attach(local, summary)
     return joined.withColumn(name, F.coalesce("_local", "_carried")).drop("_v", "_local", "_carried", SPAN)
 
@@ -99,13 +100,16 @@ def carry_within(
 
 
 def cluster_sessions(
-    df: DataFrame, order: ScanOrder, gap_ms: int, direction: str | None = None, address: str | None = None
+    df: DataFrame, order: ScanOrder, gap_ms: int, direction: str | None = None, address: str | None = None, measured: str | None = None
 ) -> DataFrame:
     """Add ``session_start`` (struct of time and tie-breaks) to every row.
 
     A session ends when the direction changes, when the gap to the previous row exceeds ``gap_ms``, or when a row
     carries an address other than the address the session already has. A gap of exactly ``gap_ms`` stays inside.
+    ``measured`` names the time that gaps are measured by, where it is not the time of the order; a gap next to a row
+    without it ends nothing.
     """
+    clock = F.col(measured or order.time)
     d = F.col(direction) if direction else F.lit("")
     a = F.nullif(F.col(address), F.lit("")) if address else F.lit(None).cast("string")
     w = order.window()
@@ -116,11 +120,11 @@ def cluster_sessions(
     rows = (
         order.cells(df)
         .withColumn("_key", order.key()).withColumn("_d", d).withColumn("_a", a)
-        .withColumn("_prev", F.lag(F.struct(F.col(order.time).alias("t"), F.col("_d").alias("d"))).over(w))
+        .withColumn("_prev", F.lag(F.struct(clock.alias("t"), F.col("_d").alias("d"))).over(w))
         .withColumn(
             "_break",
             F.col("_prev").isNotNull()
-            & (~F.col("_prev.d").eqNullSafe(F.col("_d")) | (F.col(order.time) - F.col("_prev.t") > F.lit(gap_ms))),
+            & (~F.col("_prev.d").eqNullSafe(F.col("_d")) | F.coalesce(clock - F.col("_prev.t") > F.lit(gap_ms), F.lit(False))),
         )
         .withColumn("_state", F.when(F.col("_break") | F.col("_a").isNotNull(), F.struct(F.col("_a").alias("a"))))
         .withColumn("_known", F.last("_state", ignorenulls=True).over(before))
@@ -132,8 +136,8 @@ def cluster_sessions(
 
     # Across cells: one row per cell decides how its first rows relate to what came before.
     cells = rows.groupBy(*order.keys, SPAN).agg(
-        F.min_by(F.struct(F.col(order.time).alias("t"), F.col("_d").alias("d")), "_key").alias("_first"),
-        F.max_by(F.struct(F.col(order.time).alias("t"), F.col("_d").alias("d")), "_key").alias("_last"),
+        F.min_by(F.struct(clock.alias("t"), F.col("_d").alias("d")), "_key").alias("_first"),
+        F.max_by(F.struct(clock.alias("t"), F.col("_d").alias("d")), "_key").alias("_last"),
         F.min("_key").alias("_first_key"),
         F.max(F.when(F.col("_first_address"), F.struct(F.col("_key").alias("k"), F.col("_a").alias("a")))).alias("_lead"),
         F.max("_break").alias("_broken"),
@@ -148,7 +152,7 @@ def cluster_sessions(
             "_lead_break",
             F.col("_before").isNull()
             | ~F.col("_before.d").eqNullSafe(F.col("_first.d"))
-            | (F.col("_first.t") - F.col("_before.t") > F.lit(gap_ms)),
+            | F.coalesce(F.col("_first.t") - F.col("_before.t") > F.lit(gap_ms), F.lit(False)),
         )
         .withColumn(
             "_out",

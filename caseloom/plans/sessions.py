@@ -14,15 +14,21 @@ from caseloom.plans.registry_facts import with_peer_host
 from caseloom.sources.raw import SCAN_TIES
 
 SESSION_GAP_MS = 10 * 60 * 1000
+# Place of rows without a readable time: after the year 9999.
+UNREADABLE_MS = 253_402_300_800_000
 
 
 def remote_sessions(history: DataFrame, keys: list[str] = HOST, gap_ms: int = SESSION_GAP_MS,
                     start: str | None = None, end: str | None = None) -> DataFrame:
-    """History rows with their session. Works on every history with a direction and a remote address."""
+    """History rows with their session. Works on every history with a direction and a remote address.
+
+    A row whose time cannot be read follows the others of its host, by its text; it neither opens nor closes a gap.
+    """
     rows = history.filter(F.col("timestamp").isNotNull() & times.in_range("timestamp", start, end))
-    rows = rows.withColumn("account", bare_account("account")).withColumn("_t", times.epoch_millis("timestamp"))
-    order = ordered.ScanOrder(tuple(keys), "_t", SCAN_TIES)
-    return ordered.cluster_sessions(rows.filter(F.col("_t").isNotNull()), order, gap_ms, "direction", "remote_address")
+    rows = rows.withColumn("account", bare_account("account")).withColumn("_at", times.epoch_millis("timestamp"))
+    rows = rows.withColumn("_t", F.coalesce("_at", F.lit(UNREADABLE_MS))).withColumn("_late", F.when(F.col("_at").isNull(), F.col("timestamp")).otherwise(""))
+    order = ordered.ScanOrder(tuple(keys), "_t", ("_late", *SCAN_TIES))
+    return ordered.cluster_sessions(rows, order, gap_ms, "direction", "remote_address", measured="_at").drop("_at", "_late")
 
 
 def session_table(sessions: DataFrame, keys: list[str] = HOST) -> DataFrame:

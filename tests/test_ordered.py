@@ -68,6 +68,15 @@ def test_session_gap_boundary(spark):
     assert got == [(stamp(0), 2, 1, 1, "u"), (stamp(2 * gap + 1), 1, 1, 0, None)]
 
 
+def test_sessions_keep_unreadable_times(spark):
+    """Such rows follow their host's others by text, in the last session as far as direction and address allow."""
+    rows = [("h", stamp(0), "inbound", "a", None, "info", "f", 0), ("h", stamp(10 ** 7), "inbound", "a", None, "info", "f", 1),
+            ("h", "yesterday", "inbound", None, None, "info", "f", 2), ("h", "later", "inbound", "a", None, "info", "f", 3), ("h", "zz", "outbound", None, None, "info", "f", 4),
+            ("g", "bad", "inbound", "b", None, "info", "f", 5), ("g", None, "inbound", "b", None, "info", "f", 6)]
+    found = sessions.remote_sessions(spark.createDataFrame(rows, SCHEMA)).select("_rowid", F.col("session_start._rowid").alias("start"))
+    assert {r["_rowid"]: r["start"] for r in found.collect()} == {0: 0, 1: 1, 2: 1, 3: 1, 4: 4, 5: 5}
+
+
 @pytest.mark.parametrize("seed,step", [(4, 100_000), (5, 300_000)])
 def test_carry_forward_equals_sequential_scan(spark, seed, step):
     rows = random_rows(seed, 1200, step)
