@@ -148,9 +148,8 @@ def scans(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 def _latest(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Row with the greatest time, the first in scan order among equals."""
-    top = rows.groupBy(*keys).agg(F.max(text("timestamp")).alias("_top"))
-    same = rows.join(top, keys).filter(text("timestamp") == F.col("_top")).drop("_top")
-    return ordered.first_per_key(same, keys, scan_seq())
+    first = ordered.first_per_key(rows.withColumn("_at", text("timestamp")), [*keys, "_at"], scan_seq())
+    return ordered.first_per_key(first, keys, F.col("_at"), last=True).drop("_at")
 
 
 def signatures(rows: DataFrame, keys: list[str]) -> DataFrame:
