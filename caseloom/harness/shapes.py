@@ -205,18 +205,18 @@ SHAPES["cache"] = """
 SELECT 'host' || @n(page_id % 4) AS host_id, 'acct' || @n(page_id % 5) AS account, url, CASE WHEN page_id % 12 = 0 THEN '' ELSE @at[page_id * 60] END AS response_time,
   '' AS request_time, CASE WHEN page_id % 24 = 0 THEN '' ELSE @at[page_id * 60 + 1] END AS creation_time, '200 OK' AS status, 'text/html' AS content_type, CASE WHEN page_id % 2 = 0 THEN @n(length(html)) ELSE '' END AS content_length,
   @n(length(html) + 1) AS body_size, '1/0/' || url AS cache_key, CASE WHEN page_id % 9 = 0 THEN '' ELSE @b64[html] END AS body_b64,
-  '/BROWSER/acct' || @n(page_id % 5) || '_Chrome_Cache' AS _source_file, page_id AS _rowid FROM @t(pages) WHERE page_id % 3 = 0
+  '/BROWSER/acct' || @n(page_id % 5) || '_Chrome_Cache' AS _source_file, page_id AS _rowid FROM @t(pages)
 """
 SHAPES["hurls"] = """
 SELECT 'host' || @n(page_id % 4) AS host_id, 'acct' || @n(page_id % 5) AS account, CASE WHEN page_id % 15 = 1 THEN 'https://User:pw' || chr(64) || upper(substr(url, locate_at, 400)) ELSE url || CASE WHEN page_id % 6 = 1 THEN '%20a+b%zz' ELSE '' END END AS url,
   'title ' || @n(page_id) AS title, @n(page_id % 9) AS visit_count, @n(page_id % 4) AS typed_count, @n(13348540800000000 + page_id * 60000000 + 7) AS last_visit_time,
-  '/BROWSER/acct' || @n(page_id % 5) || '_Chrome_History' AS _source_file, page_id AS _rowid FROM (SELECT *, CASE WHEN url LIKE 'https%' THEN 9 ELSE 8 END AS locate_at FROM @t(pages)) WHERE page_id % 3 = 1
+  '/BROWSER/acct' || @n(page_id % 5) || '_Chrome_History' AS _source_file, page_id AS _rowid FROM (SELECT *, CASE WHEN url LIKE 'https%' THEN 9 ELSE 8 END AS locate_at FROM @t(pages))
 """
 SHAPES["hdown"] = """
 SELECT 'host' || @n(page_id % 4) AS host_id, 'acct' || @n(page_id % 5) AS account, CASE WHEN page_id % 4 = 0 THEN '' ELSE @'C:\\Users\\a\\Downloads\\f%20' || @n(page_id) || '.exe' END AS target_path,
   @'C:\\Temp\\cur' || @n(page_id) || '.tmp' AS current_path, CASE WHEN page_id % 5 = 0 THEN '' ELSE url END AS tab_url, 'https://ref.example.com/' AS referrer, '' AS site_url,
   @n(13348540800000000 + page_id * 60000000) AS start_time, CASE WHEN page_id % 7 = 0 THEN '' ELSE @n(length(html) * (1 + page_id)) END AS total_bytes, @n(length(html)) AS received_bytes,
-  'application/octet-stream' AS mime_type, @n(page_id % 10) AS danger_type, '/BROWSER/acct' || @n(page_id % 5) || '_Chrome_History' AS _source_file, page_id AS _rowid FROM @t(pages) WHERE page_id % 3 = 2
+  'application/octet-stream' AS mime_type, @n(page_id % 10) AS danger_type, '/BROWSER/acct' || @n(page_id % 5) || '_Chrome_History' AS _source_file, page_id AS _rowid FROM @t(pages)
 """
 
 SHAPES["ai"] = """
