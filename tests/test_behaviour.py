@@ -208,3 +208,29 @@ def test_inventory_prefixes(spark):
     f = files.collect()[0]
     assert (f["file_id"], f["SHA1"], f["program_id"], f["size"]) == ("abcd", "abcd", "prog", "16")
     assert [p["fields"]["Name"] for p in programs.collect()] == ["Old name"]
+
+
+def test_content_is_compared_and_searched_as_a_whole(spark):
+    edge = b"e" * 65_536
+    big = [edge + middle + edge for middle in (b"one" * 9000, b"two" * 9000)]
+    late = b"x" * 70_001 + "<Task".encode("utf-16-le")
+    rows = [("a", big[0]), ("b", big[1]), ("c", big[0]), ("d", late), ("e", b"\x3c\x54\x61\x73"), ("f", None)]
+    files = spark.createDataFrame([(p, c, None if c is None else len(c)) for p, c in rows], "path string, content binary, length long")
+    assert sorted(r["path"] for r in inventory.dedupe_by_content(files).collect()) == ["a", "b", "d", "e", "f"]
+    assert [r["path"] for r in files.filter(inventory.with_marker("<Task")).collect()] == ["d"]
+
+
+def test_identity_in_deep_payload(spark):
+    sid = "S-1-5-21-1-2-3-1001"
+    data = {"TargetUserSid": sid}
+    for k in range(12):
+        data = {f"level{k}": data}
+    path = ".".join(f"level{k}" for k in reversed(range(12)))
+    assert evidence(spark, json.dumps(data), sid, "") == [f"[sid] target · {path}.TargetUserSid = {sid}"]
+
+
+def test_search_is_complete_by_default(spark):
+    rows = spark.createDataFrame([("h", i, f"needle {i}") for i in range(800)], "host_id string, _rowid long, text string")
+    hits = search.case_search({"t": rows}, "NEEDLE", ["host_id"])
+    assert hits.count() == 800 and search.hit_groups(hits, "h", ["host_id"]).collect()[0]["hits"] == 800
+    assert search.case_search({"t": rows}, "needle", ["host_id"], per_table=50).count() == 50
