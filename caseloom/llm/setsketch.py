@@ -9,7 +9,7 @@ is verified on the full sets.
 Documents with the same shingle set are one class and are represented by their smallest id. A band bucket is not paired out:
 all members are first compared with the member of smallest id. Most buckets then lie within one connected component. In the
 others, only pairs from different components are left to look at; they are compared in blocks, where the estimate decides which
-pairs leave the block. No partner is dropped and no bucket is cut.
+sets are intersected, and only links that join components leave the block. No partner is dropped and no bucket is cut.
 """
 
 from __future__ import annotations
@@ -200,35 +200,69 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return nodes.select("node").join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("component"))
 
 
-def _cross_pairs(members: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) of different components in a bucket whose estimate may reach the threshold.
-
-    ``members``: key, node, component, n_shingles, sketch. A bucket is dealt into blocks of about ``BLOCK`` members, and each
-    two blocks meet in one group; arrays compare one member with all of the group at a time.
+def _overlaps(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """Sizes of all intersections of some sets: products of 0/1 matrices, over slices of the elements that two sets share."""
+    flat = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, index, count = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = np.cumsum(count > 1) - 1
+    pick = count[index] > 1
+    column, owner = shared[index[pick]], owner[pick]
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    total = np.zeros((len(sets), len(sets)), np.float32)
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, columns):
+        i, j = np.searchsorted(column, [low, low + columns])
+        part = np.zeros((len(sets), columns), np.float32)
+        part[owner[i:j], column[i:j] - low] = 1
+        total += part @ part.T
+    return total.astype(np.int64)
+
+
+def _cross_links(members: DataFrame, threshold: float, percent: int, n: int) -> DataFrame:
+    """Links (a, b) between different components of a bucket, as many as join what is linked, verified on the full sets.
+
+    ``members``: key, node, component, n_shingles, sketch, text. A bucket is dealt into blocks of about ``BLOCK`` members, fewer
+    if they are long, and each two blocks meet in one group. There the estimate tells which members have a possible partner in
+    another component; their sets are intersected, and a link is returned only if it joins two components of the group.
     """
-    sizes = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_blocks"))
+    size = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n_shingles") / (BLOCK * 4000))).cast("int")
+    sizes = members.groupBy("key").agg(size.alias("_blocks"))
     dealt = members.join(sizes, "key").withColumn("_own", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
     dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_other"))
-    dealt = dealt.select("key", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), F.col("_own").alias("own"), "node", "component", "n_shingles", "sketch")
+    dealt = dealt.select("key", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), "node", "component", "n_shingles", "sketch", "text")
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
-        node, part, own, n = (frame[c].to_numpy() for c in ("node", "component", "own", "n_shingles"))
+        frame = frame.sort_values("node", ignore_index=True)
+        node, part, size = (frame[c].to_numpy() for c in ("node", "component", "n_shingles"))
         sketch = _matrix(frame["sketch"])
-        same_block = frame["i"].iloc[0] == frame["j"].iloc[0]
-        found = []
+        possible = np.zeros((len(node), len(node)), bool)
         for k in range(len(node)):
-            # inside one block every two members, between two blocks one of each, once
-            other = (node > node[k]) & (part != part[k])
-            if not same_block:
-                other &= own != own[k]
-            other = np.flatnonzero(other)
+            other = k + 1 + np.flatnonzero(part[k + 1:] != part[k])
             if len(other):
-                near = may_reach(sketch[other], np.broadcast_to(sketch[k], (len(other), sketch.shape[1])), n[other], np.broadcast_to(n[k], len(other)), threshold)
-                found.append(np.stack([np.full(int(near.sum()), node[k]), node[other[near]]], axis=1))
-        rows = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
-        return pd.DataFrame({"a": rows[:, 0], "b": rows[:, 1]})
-
-    return dealt.groupBy("key", "i", "j").applyInPandas(compare, "a bigint, b bigint").distinct()
+                possible[k, other] = may_reach(sketch[other], np.broadcast_to(sketch[k], (len(other), sketch.shape[1])), size[other], np.broadcast_to(size[k], len(other)), threshold)
+        chosen = np.flatnonzero(possible.any(axis=0) | possible.any(axis=1))
+        links = []
+        if len(chosen):
+            both = _overlaps(shingle_sets(pa.array(frame["text"].iloc[chosen], pa.string())))
+            sizes_ = size[chosen]
+            linked = possible[np.ix_(chosen, chosen)] & (100 * both >= percent * (sizes_[:, None] + sizes_[None, :] - both))
+            label = {p: p for p in part.tolist()}
+
+            def root(x):
+                while label[x] != x:
+                    label[x] = label[label[x]]
+                    x = label[x]
+                return x
+
+            for x, y in zip(*np.nonzero(linked)):
+                p, q = root(part[chosen[x]]), root(part[chosen[y]])
+                if p != q:
+                    label[max(p, q)] = min(p, q)
+                    links.append((node[chosen[x]], node[chosen[y]]))
+        return pd.DataFrame({"a": [x for x, _ in links], "b": [y for _, y in links]}, dtype="int64")
+
+    return dealt.repartition(n, "key", "i", "j").groupBy("key", "i", "j").applyInPandas(compare, "a bigint, b bigint").distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -256,8 +290,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_column: str = "doc_id
     known = cut_lineage(components(nodes, first))
     labelled = members.select("key", "node").join(known, "node")
     mixed = labelled.groupBy("key").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).filter("_low <> _high").select("key")
-    open_ = labelled.join(mixed, "key").join(nodes.select("node", "n_shingles", "sketch"), "node")
-    second = cut_lineage(_verified(cut_lineage(_cross_pairs(open_, threshold)), texts, percent).distinct())
+    open_ = labelled.join(mixed, "key").join(nodes.select("node", "n_shingles", "sketch"), "node").join(texts, "node")
+    second = cut_lineage(_cross_links(open_, threshold, percent, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     final = components(nodes, first.union(second))
     classes = nodes.select("set_id", "node").join(final, "node").select(F.col("set_id").alias("_set"), "component")
     joined = base.select("doc_id", "n_shingles", "set_id").join(classes, F.col("set_id") == F.col("_set"), "left")
@@ -268,4 +302,4 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_column: str = "doc_id
 def without_near_copies(docs: DataFrame, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The rows that stand for their group of near-duplicates, with all their columns."""
     dropped = near_duplicates(docs.select(id_column, text_column), percent, id_column, text_column).filter(~F.col("kept")).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(dropped, docs[id_column].eqNullSafe(F.col("_id")), "left_anti")
+    return docs.join(dropped, docs[id_column].eqNullSafe(dropped["_id"]), "left_anti")
