@@ -72,19 +72,19 @@ SHAPES["sb"] = """
 SELECT 'host' || @n(conv_id % 4) AS host_id, @at[conv_id * 3600 + turn * 60] AS timestamp, 'Microsoft-Windows-PowerShell' AS Provider,
   '4104' AS EventID, @n(100 + conv_id % 9) AS ProcessID, 'S-1-5-21-1-2-3-' || @n(1000 + conv_id % 50) AS UserID,
   '{"ScriptBlockId":"b' || @n(conv_id) || '","MessageNumber":' || @n(turn + 1) || ',"MessageTotal":' || @n(parts) || ',"Path":"' || role || '.ps1","ScriptBlockText":"' || @json[text] || '"}' AS EventData,
-  'PowerShell' AS log, '/EVENTLOG/PowerShell.evtx' AS _source_file, 'PowerShell.evtx::' || @n(conv_id * 1000 + turn) AS _record_key, conv_id * 1000 + turn AS _rowid
+  'PowerShell' AS log, '/EVENTLOG/PowerShell.evtx' AS _source_file, 'PowerShell.evtx::' || @n(conv_id * 10000 + turn) AS _record_key, conv_id * 10000 + turn AS _rowid
 FROM (SELECT *, count(*) OVER (PARTITION BY conv_id) AS parts FROM @t(conversations))
 UNION ALL
-SELECT 'host' || @n(conv_id % 4), @at[conv_id * 3600 + 30], 'Microsoft-Windows-PowerShell', '4103', @n(100 + conv_id % 9), 'S-1-5-21-1-2-3-' || @n(1000 + conv_id % 50),
+SELECT 'host' || @n(conv_id % 4), @at[conv_id * 3600 + turn * 60 + 30], 'Microsoft-Windows-PowerShell', '4103', @n(100 + conv_id % 9), 'S-1-5-21-1-2-3-' || @n(1000 + conv_id % 50),
   @'{"ContextInfo":"        Severity = Informational\\n        Host Application = \\"C:\\\\Windows\\\\posh' || @n(conv_id % 3) || @'.exe\\" -nop\\n        Command Name = Get-Item' || @n(conv_id)
     || CASE WHEN conv_id % 2 = 0 THEN @'\\n        User = CORP\\\\user' || @n(conv_id) ELSE '' END || '","Payload":"' || CASE WHEN conv_id % 3 = 0 THEN 'run ' || @n(conv_id) || @'\\nnext' ELSE '' END || '"}',
-  'PowerShell', '/EVENTLOG/PowerShell.evtx', 'PowerShell.evtx::' || @n(conv_id * 1000 + 500), conv_id * 1000 + 500
-FROM @t(conversations) WHERE turn = 0
+  'PowerShell', '/EVENTLOG/PowerShell.evtx', 'PowerShell.evtx::' || @n(conv_id * 10000 + 1000 + turn), conv_id * 10000 + 1000 + turn
+FROM @t(conversations)
 UNION ALL
-SELECT 'host' || @n(conv_id % 4), @at[conv_id * 3600 + 40], 'PowerShell', '800', '', '',
+SELECT 'host' || @n(conv_id % 4), @at[conv_id * 3600 + turn * 60 + 40], 'PowerShell', '800', '', '',
   @'{"Data":["Details","HostApplication=powershell.exe -File x' || @n(conv_id) || @'.ps1\\r\\nUserId=CORP\\\\user' || @n(conv_id % 5) || CASE WHEN conv_id % 2 = 0 THEN @'\\nCommandLine=Get-Date ' || @n(conv_id) ELSE '' END || '"]}',
-  'Windows PowerShell', '/EVENTLOG/Windows PowerShell.evtx', 'Windows PowerShell.evtx::' || @n(conv_id * 1000 + 600), conv_id * 1000 + 600
-FROM @t(conversations) WHERE turn = 0
+  'Windows PowerShell', '/EVENTLOG/Windows PowerShell.evtx', 'Windows PowerShell.evtx::' || @n(conv_id * 10000 + 2000 + turn), conv_id * 10000 + 2000 + turn
+FROM @t(conversations)
 """
 
 SHAPES["reg"] = """
