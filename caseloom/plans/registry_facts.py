@@ -11,6 +11,7 @@ from caseloom.functions import text as tx
 from caseloom.functions.core import any_of, blank_to_null, first_present, text, with_computed
 from caseloom.operators import ordered
 from caseloom.plans.common import HOST, overview_row, union_all
+from caseloom.session import cut_lineage
 from caseloom.sources.raw import SCAN_TIES, hive, live_hives, scan_seq
 
 # Value names and key endings of the facts.
@@ -182,7 +183,21 @@ def network_interfaces(registry: DataFrame, keys: list[str] = HOST) -> DataFrame
     )
 
 
+def _of_interest(registry: DataFrame, keys: list[str], parts: list[str], more: Column) -> DataFrame:
+    """The rows that any branch can use, read once and kept in the shared folder: a small share of a registry.
+
+    ``parts`` are key fragments in lower case. The branches test again what they need exactly.
+    """
+    low = _low_key()
+    columns = [*keys, *[c for c in registry.columns if c not in keys]]
+    return cut_lineage(registry.filter(any_of([low.contains(p) for p in parts]) | more).select(*columns))
+
+
 def target_info(registry: DataFrame, keys: list[str] = HOST) -> DataFrame:
+    """Facts of each host: system, accounts, networks, interfaces."""
+    parts = [CURRENT_VERSION, "\\profilelist\\s-", "\\sam\\domains\\account\\users\\", "\\networklist\\profiles\\{", INTERFACES_KEY]
+    picked = any_of([_low_key().endswith(suffix) & (F.col("value_name") == name) for _, suffix, name in SYSTEM_PICKS[5:]])
+    registry = _of_interest(registry, keys, parts, picked | _low_key().rlike(r"\\users\\[0-9a-f]{8}$"))
     return union_all([system_facts(registry, keys), accounts(registry, keys), networks(registry, keys), network_interfaces(registry, keys)])
 
 
@@ -375,8 +390,11 @@ def compatibility_cache(system: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def registry_findings(registry: DataFrame, keys: list[str] = HOST) -> DataFrame:
-    system, software, every = hive(registry, "SYSTEM"), hive(registry, "SOFTWARE"), live_hives(registry)
     hosts = registry.select(*keys).distinct()
+    parts = ["\\lanmanserver\\shares", "microsoft sql server", *AUTORUN_KEYS, "\\explorer\\runmru", "\\explorer\\typedpaths"]
+    picked = any_of([_low_key().endswith(suffix) & (F.col("value_name") == name) for _, suffix, name in SYSTEM_PICKS[:5]])
+    registry = _of_interest(registry, keys, parts, picked | (F.col("value_name") == "AppCompatCache"))
+    system, software, every = hive(registry, "SYSTEM"), hive(registry, "SOFTWARE"), live_hives(registry)
     # A host without any of the values still gets its credential findings.
     picks = hosts.join(registry_picks(system, SYSTEM_PICKS[:5], keys), keys, "left")
     return union_all([
