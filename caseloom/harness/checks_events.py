@@ -12,7 +12,7 @@ from caseloom.harness.registry import check
 from caseloom.harness.shapes import shape
 from caseloom.operators import compare, ordered, rollups
 from caseloom.operators.filters import Page, any_column_contains, column_filter, total_rows
-from caseloom.plans import accounts, defender, powershell, remote_access, search, sessions
+from caseloom.plans import accounts, defender, powershell, remote_access, search, sessions, timeline
 from caseloom.plans import registry_facts as rf
 from caseloom.sources import raw
 
@@ -106,17 +106,28 @@ def _(spark, sf):
     return df.select("_rowid", ed.field(d, "LogonType").alias("logon_type"), ed.field(d, "SessionID", under="EventXML").alias("session_id"), ed.field(d, "Detection ID").alias("detection"))
 
 
-@check("f26_event_catalog", "ev", f"""
-SELECT host_id, EventID, event_category, event_label, count(*) AS rows FROM ev JOIN (VALUES
-  ({SEC}, '4624', 'logon', 'logon succeeded'), ({SEC}, '4625', 'logon', 'logon failed'), ({LSM}, '21', 'remote desktop', 'session logon'),
+EVENT_LABELS = f"""({SEC}, '4624', 'logon', 'logon succeeded'), ({SEC}, '4625', 'logon', 'logon failed'), ({LSM}, '21', 'remote desktop', 'session logon'),
   ({LSM}, '23', 'remote desktop', 'session logoff'), ({LSM}, '24', 'remote desktop', 'session disconnected'), ({LSM}, '25', 'remote desktop', 'session reconnected'),
   ({DEF}, '1116', 'detection', 'malware detected'), ({DEF}, '1117', 'detection', 'malware action completed'), ({DEF}, '5001', 'detection', 'realtime protection off'),
-  ({DEF}, '5007', 'detection', 'configuration changed')) AS c(p, e, event_category, event_label) ON Provider = p AND EventID = e GROUP BY 1, 2, 3, 4""")
+  ({DEF}, '5007', 'detection', 'configuration changed')"""
+
+
+@check("f26_event_catalog", "ev", f"""
+SELECT host_id, EventID, event_category, event_label, count(*) AS rows FROM ev JOIN (VALUES {EVENT_LABELS}) AS c(p, e, event_category, event_label) ON Provider = p AND EventID = e GROUP BY 1, 2, 3, 4""")
 def _(spark, sf):
     known = lookups.with_catalog(EV(spark, sf)).filter(F.col("event_label").isNotNull())
     return known.groupBy("host_id", "EventID", "event_category", "event_label").agg(F.count(F.lit(1)).alias("rows"))
 
 
+@check("q1_event_titles", "ev", f"""
+SELECT _rowid, 'Event ' || coalesce(EventID, '') || coalesce(' · ' || event_label, '') || CASE WHEN EventID IN ('4624', '4625', '4648') AND lt IS NOT NULL
+    THEN ' · ' || CASE lt WHEN '2' THEN 'interactive (type 2)' WHEN '3' THEN 'network (type 3)' WHEN '10' THEN 'remote desktop (type 10)' ELSE 'type ' || lt END ELSE '' END AS title
+FROM (SELECT *, {jx('LogonType')} AS lt FROM ev) LEFT JOIN (VALUES {EVENT_LABELS}) AS c(p, e, event_category, event_label) ON Provider = p AND EventID = e
+WHERE trim(coalesce(EventID, '')) <> '0' AND trim(coalesce(timestamp, '')) <> ''""")
+def _(spark, sf):
+    return timeline.event_entries(EV(spark, sf)).select("_rowid", "title")
+
+
 @check("f25_quick_fields", "ev", f"""
 SELECT _rowid, CASE {jx('LogonType')} WHEN '2' THEN 'interactive' WHEN '3' THEN 'network' WHEN '10' THEN 'remote desktop' END AS "ed_LogonType",
   {jx('TargetUserName')} AS "ed_TargetUserName", {jx('IpAddress')} AS "ed_IpAddress" FROM ev""")
