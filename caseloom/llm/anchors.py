@@ -56,7 +56,11 @@ def _at_most_twice(values: np.ndarray) -> np.ndarray:
 
 
 def _probes(rows: DataFrame, n: int, window: int, block: int) -> DataFrame:
-    """One row per batch and bucket: cut hashes of the rolling windows, and of the reference blocks with their places."""
+    """One row per batch and bucket: cut hashes of the rolling windows, and of the reference blocks with their places.
+
+    A block that the batch itself repeats is known to be a hit: its places go to a bucket of the batch, without a hash, so that a
+    very common block does not gather its places in one task.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words, count = _words(batch.column("text"))
@@ -72,17 +76,26 @@ def _probes(rows: DataFrame, n: int, window: int, block: int) -> DataFrame:
             order, bounds = _dealt(_bucket(probes, n), n)
             blocks, block_row, block_number = rolled[fixed], ids[doc[fixed]] if len(place) else np.zeros(0, np.int64), number[fixed] // block
             border, bbounds = _dealt(_bucket(blocks, n), n)
-            packed = [[], [], [], [], []]
+            packed, known = [[], [], [], [], []], []
+
+            def put(*values):
+                for column, v in zip(packed, values):
+                    column.append(v)
+
             for k in range(n):
                 p = probes[order[bounds[k]:bounds[k + 1]]] & CUT
                 if not len(p):
                     continue
+                p = _at_most_twice(p)
                 b = border[bbounds[k]:bbounds[k + 1]]
-                packed[0].append(k)
-                packed[1].append(_at_most_twice(p).astype(np.uint32).tobytes())
-                packed[2].append((blocks[b] & CUT).astype(np.uint32).tobytes())
-                packed[3].append(block_row[b].astype(np.int64).tobytes())
-                packed[4].append(block_number[b].astype(np.int32).tobytes())
+                own = blocks[b] & CUT
+                twice = np.searchsorted(p, own, "right") - np.searchsorted(p, own, "left") > 1
+                known.append(b[twice])
+                b, own = b[~twice], own[~twice]
+                put(k, p.astype(np.uint32).tobytes(), own.astype(np.uint32).tobytes(), block_row[b].astype(np.int64).tobytes(), block_number[b].astype(np.int32).tobytes())
+            known = np.concatenate(known) if known else np.zeros(0, np.int64)
+            if len(known):
+                put(int(ids[0]) % n, b"", b"", block_row[known].astype(np.int64).tobytes(), block_number[known].astype(np.int32).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(packed[0], pa.int32()), *[pa.array(c, pa.binary()) for c in packed[1:]]], names=["bucket", "probes", "blocks", "rows", "numbers"])
 
     return rows.mapInArrow(run, "bucket int, probes binary, blocks binary, rows binary, numbers binary")
@@ -155,8 +168,12 @@ def _hits(probes: DataFrame, n: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[bytes]] = [[], [], [], []]
         for batch in batches:
-            for k, name in enumerate(("probes", "blocks", "rows", "numbers")):
-                held[k].extend(batch.column(name).to_pylist())
+            for part in zip(*(batch.column(c).to_pylist() for c in ("probes", "blocks", "rows", "numbers"))):
+                if part[0]:
+                    for column, v in zip(held, part):
+                        column.append(v)
+                else:
+                    yield _by_home(n, np.frombuffer(part[2], np.int64), np.frombuffer(part[3], np.int32))
         again = _repeated(_joined(held[0], np.uint32))
         hit = _found_in(_joined(held[1], np.uint32), again)
         if hit.any():
@@ -199,34 +216,52 @@ def _windows(batch: pa.RecordBatch, window: int, block: int) -> tuple[np.ndarray
 
 
 def _fingerprints(candidates: DataFrame, n: int, window: int, block: int) -> DataFrame:
-    """One row per batch and bucket: fingerprints with row ids (as runs) and word numbers."""
+    """One row per batch and bucket: fingerprints with row ids (as runs) and word numbers.
+
+    Windows that the batch itself repeats are known to be repeated: their places go to a bucket of the batch, without
+    fingerprints, and each fingerprint once, as ``seen``, to its own bucket.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints, ids, numbers = _windows(batch, window, block)
-            order, bounds = _dealt(_bucket(prints, n), n)
-            packed = [[], [], [], [], []]
-            for k in range(n):
-                o = order[bounds[k]:bounds[k + 1]]
-                if not len(o):
-                    continue
-                row = ids[o]
-                first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
-                for c, v in zip(packed, (k, prints[o].tobytes(), row[first].tobytes(), np.diff(np.append(first, len(row))).astype(np.int32).tobytes(), numbers[o].astype(np.int32).tobytes())):
+            different, back, count = np.unique(prints, return_inverse=True, return_counts=True)
+            twice = count[back] > 1
+            seen = different[count > 1]
+            packed = [[], [], [], [], [], []]
+
+            def put(k, sent, of, witnesses):
+                row = ids[of]
+                first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else np.zeros(0, np.int64)
+                for c, v in zip(packed, (k, sent.tobytes(), row[first].tobytes(), np.diff(np.append(first, len(row))).astype(np.int32).tobytes(), numbers[of].astype(np.int32).tobytes(), witnesses.tobytes())):
                     c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(packed[0], pa.int32()), *[pa.array(c, pa.binary()) for c in packed[1:]]], names=["bucket", "prints", "rows", "runs", "numbers"])
 
-    return candidates.mapInArrow(run, "bucket int, prints binary, rows binary, runs binary, numbers binary")
+            if twice.any():
+                put(int(ids[0]) % n, seen[:0], np.flatnonzero(twice), seen[:0])
+            single = np.flatnonzero(~twice)
+            order, bounds = _dealt(_bucket(prints[single], n), n)
+            sorder, sbounds = _dealt(_bucket(seen, n), n)
+            for k in range(n):
+                of, witnesses = single[order[bounds[k]:bounds[k + 1]]], seen[sorder[sbounds[k]:sbounds[k + 1]]]
+                if len(of) or len(witnesses):
+                    put(k, prints[of], of, witnesses)
+            yield pa.RecordBatch.from_arrays([pa.array(packed[0], pa.int32()), *[pa.array(c, pa.binary()) for c in packed[1:]]], names=["bucket", "prints", "rows", "runs", "numbers", "seen"])
+
+    return candidates.mapInArrow(run, "bucket int, prints binary, rows binary, runs binary, numbers binary, seen binary")
 
 
 def _confirmed(fingerprints: DataFrame, n: int) -> DataFrame:
     """(row, repeats): windows whose fingerprint occurs twice or more. One bucket per partition."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[bytes]] = [[], [], [], []]
+        held: list[list[bytes]] = [[], [], [], [], []]
         for batch in batches:
-            for k, name in enumerate(("prints", "rows", "runs", "numbers")):
-                held[k].extend(batch.column(name).to_pylist())
+            for part in zip(*(batch.column(c).to_pylist() for c in ("prints", "rows", "runs", "numbers", "seen"))):
+                if part[0] or part[4]:
+                    for column, v in zip(held, part):
+                        column.append(v)
+                else:
+                    yield _by_home(n, np.repeat(np.frombuffer(part[1], np.int64), np.frombuffer(part[2], np.int32)), np.frombuffer(part[3], np.int32))
         prints = _joined(held[0], np.uint64)
-        again = _found_in(prints, _repeated(prints))
+        again = _found_in(prints, _repeated(np.concatenate([prints, _joined(held[4], np.uint64)])))
         if again.any():
             rows = np.repeat(_joined(held[1], np.int64), _joined(held[2], np.int32))
             yield _by_home(n, rows[again], _joined(held[3], np.int32)[again])

@@ -66,6 +66,7 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {q.__name__: q for q in (op1_language_id, op2_warc_round_trip, op3_setsketch_near_dedup, op4_benchmark_decontamination, op5_chat_format, op6_bpe_round_trip, op7_anchor_substring_dedup, op8_pitman_yor_scores, op9_exact_dedup, op10_suffix_array_dedup)}
 ORACLES = {
     "op2_warc_round_trip": warc.ORACLE,
+    "op3_setsketch_near_dedup": setsketch.oracle(85),
     "op5_chat_format": chat.ORACLE,
     "op4_benchmark_decontamination": decontamination.ORACLE,
     "op7_anchor_substring_dedup": anchors.oracle(),

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caseloom.llm import rolling
-from caseloom.llm.common import cut_lineage, small_batches
+from caseloom.llm.common import LOWER, UPPER, cut_lineage, small_batches
 
 WIDTH = 5
 #: Register base, and the value of a register whose smallest point is 1.
@@ -303,3 +303,16 @@ def without_near_copies(docs: DataFrame, percent: int = 80, id_column: str = "do
     """The rows that stand for their group of near-duplicates, with all their columns."""
     dropped = near_duplicates(docs.select(id_column, text_column), percent, id_column, text_column).filter(~F.col("kept")).select(F.col("doc_id").alias("_id")).distinct()
     return docs.join(dropped, docs[id_column].eqNullSafe(dropped["_id"]), "left_anti")
+
+
+def oracle(percent: int) -> str:
+    """Links by counting shared shingles, components by their transitive closure."""
+    return rf"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+l AS (SELECT doc_id, list_distinct(CASE WHEN len(w) >= {WIDTH} THEN list_transform(range(1, len(w) - {WIDTH - 2}), lambda i: array_to_string(w[i:i + {WIDTH - 1}], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS l FROM w),
+s AS (SELECT doc_id, unnest(l) AS s FROM l), n AS (SELECT doc_id, CAST(len(l) AS BIGINT) AS n FROM l),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * k >= {percent} * (a.n + b.n - k)),
+r AS (SELECT x, y FROM e UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x),
+c AS (SELECT x AS doc_id, min(y) AS c FROM r GROUP BY 1)
+SELECT n.doc_id, n.n AS n_shingles, least(n.doc_id, coalesce(c, n.doc_id)) AS component_id, n.doc_id <= coalesce(c, n.doc_id) AS kept FROM n LEFT JOIN c USING (doc_id)"""
