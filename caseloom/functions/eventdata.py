@@ -27,6 +27,10 @@ def nested_first(parsed: Column, under: str, name: str) -> Column:
     return F.when(parsed[under].isNotNull(), blank_to_null(parsed[under][name])).otherwise(blank_to_null(parsed[name]))
 
 
+# Levels that are opened for every payload; no result depends on it.
+USUAL_DEPTH = 3
+
+
 def flattened(raw: Column | str, depth: int = 24) -> Column:
     """Array of (path, field, value) for every leaf of nested payload objects; arrays are joined with commas.
 
@@ -47,16 +51,22 @@ def flattened(raw: Column | str, depth: int = 24) -> Column:
 
     top = F.try_variant_get(F.try_parse_json(col(raw)), "$", variant_map)
     level = entries(None, top)
-    for _ in range(depth):
-        level = F.flatten(
-            F.transform(
-                level,
-                lambda e: F.when(
-                    F.schema_of_variant(e["value"]).startswith("OBJECT"),
-                    entries(e["path"], F.try_variant_get(e["value"], "$", variant_map)),
-                ).otherwise(F.array(e)),
-            )
-        )
+    is_object = lambda e: F.schema_of_variant(e["value"]).startswith("OBJECT")
+
+    def opened(entries_: Column) -> Column:
+        return F.flatten(F.transform(
+            entries_, lambda e: F.when(is_object(e), entries(e["path"], F.try_variant_get(e["value"], "$", variant_map))).otherwise(F.array(e))))
+
+    def deeper(entries_: Column) -> Column:
+        """The levels that few payloads have; passed over where no object is left."""
+        out = entries_
+        for _ in range(max(depth - USUAL_DEPTH, 0)):
+            out = opened(out)
+        return F.when(F.exists(entries_, is_object), out).otherwise(entries_)
+
+    for _ in range(min(depth, USUAL_DEPTH)):
+        level = opened(level)
+    level = F.get(F.transform(F.array(level), deeper), F.lit(0))
 
     def leaf_text(value: Column) -> Column:
         items = F.try_variant_get(value, "$", "array<string>")
