@@ -75,11 +75,29 @@ class Page:
     max_limit: int = 200
 
     def apply(self, df: DataFrame, order_by: list[Column]) -> DataFrame:
-        """One page by order. Deep pages should pass the last key seen as a filter instead of a large offset."""
+        """One page by order. Deep pages should filter with ``beyond`` instead of a large offset."""
         start = max(self.offset, 0)
         size = min(max(self.limit, 1), self.max_limit)
         return df.orderBy(*order_by).offset(start).limit(size)
 
 
+def beyond(keys: dict[str, bool], last: dict[str, object]) -> Column:
+    """Rows that come after the last row of a page: a filter in place of a large offset.
+
+    ``keys`` are the columns of the order, True where it descends; ``last`` has their values in that row. NULLs come first in
+    ascending and last in descending order, as in Spark. The keys together should tell rows apart.
+    """
+    after, same = F.lit(False), F.lit(True)
+    for name, descending in keys.items():
+        value, given = F.col(name), last[name]
+        if given is None:
+            later = F.lit(False) if descending else value.isNotNull()
+        else:
+            later = (value < F.lit(given)) | value.isNull() if descending else value > F.lit(given)
+        after = after | (same & F.coalesce(later, F.lit(False)))
+        same = same & value.eqNullSafe(F.lit(given))
+    return after
+
+
 def total_rows(df: DataFrame, name: str = "row_count") -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias(name))

@@ -5,7 +5,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from caseloom.operators.filters import ActivityFilter
+from caseloom.operators.filters import ActivityFilter, Page, beyond
 from caseloom.plans import accounts, browser, conversations, defender, powershell, remote_access, search
 from caseloom.schemas import raw_schema
 from caseloom.sources import documents, inventory, raw, records
@@ -234,3 +234,18 @@ def test_search_is_complete_by_default(spark):
     hits = search.case_search({"t": rows}, "NEEDLE", ["host_id"])
     assert hits.count() == 800 and search.hit_groups(hits, "h", ["host_id"]).collect()[0]["hits"] == 800
     assert search.case_search({"t": rows}, "needle", ["host_id"], per_table=50).count() == 50
+
+
+def test_pages_by_key_equal_pages_by_offset(spark):
+    rows = spark.createDataFrame([(i, None if i % 5 == 0 else i % 4) for i in range(60)], "id long, rank long")
+    for descending in (False, True):
+        order = [F.desc("rank") if descending else F.asc("rank"), F.asc("id")]
+        last, seen = None, []
+        while True:
+            left = rows if last is None else rows.filter(beyond({"rank": descending, "id": False}, last))
+            page = [r.asDict() for r in Page(0, 7).apply(left, order).collect()]
+            if not page:
+                break
+            seen += [r["id"] for r in page]
+            last = page[-1]
+        assert seen == [r["id"] for r in rows.orderBy(*order).collect()]
