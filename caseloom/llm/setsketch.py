@@ -163,8 +163,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """
     schema = "a bigint, b bigint"
     size = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("_parts"))
-    centres = size.join(docs.select(F.col("node").alias("a"), "text"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("part"), F.lit(None).cast("bigint").alias("b"), "text")
-    members = pairs.join(size, "a").join(docs.select(F.col("node").alias("b"), "text"), "b").select("a", F.pmod(F.xxhash64("b"), F.col("_parts")).cast("int").alias("part"), "b", "text")
+    centres = size.select(F.col("a").alias("node"), "a", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("part"), F.lit(None).cast("bigint").alias("b"))
+    members = pairs.join(size, "a").select(F.col("b").alias("node"), "a", F.pmod(F.xxhash64("b"), F.col("_parts")).cast("int").alias("part"), "b")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, centre = None, None
@@ -180,7 +180,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
                     found.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], pa.int64()), pa.array([p[1] for p in found], pa.int64())], names=["a", "b"])
 
-    rows = centres.unionByName(members).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
+    # one join brings the texts of centres and partners alike
+    rows = centres.unionByName(members).join(docs.select("node", "text"), "node").select("a", "part", "b", "text").repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
     return rows.mapInArrow(compare, schema)
 
 
