@@ -328,7 +328,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, id_column: str = "doc
     of id and text: rows repeated with both are occurrences of each other and lose all their windows. Null ids are ids like any
     other. Other columns are not read; an empty table gives an empty result.
     """
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, "2m")
     named = docs.select(F.col(id_column).alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
     named = named.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
     candidates, repeats = repeated_windows(named.select("row", "text"), window)
