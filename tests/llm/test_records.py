@@ -132,7 +132,7 @@ def test_model_is_proper():
         assert (tables >= 1).all() and (tables <= seating.count).all() and (own <= customers).all()
     every = np.append(kinds, np.uint64(12345))
     for c in np.unique(context)[:5].tolist() + [3]:
-        p, n = pitman_yor.probabilities(seat(), samples, every, np.full(len(every), c))
+        p, n = pitman_yor.probabilities(seat(), samples, list(seat().samples()), every, np.full(len(every), c))
         assert p.min() > 0 and p.sum() == pytest.approx(1) and n[:-1].tolist() == counts.tolist() and n[-1] == 0
 
 
