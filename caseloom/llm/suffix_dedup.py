@@ -66,7 +66,8 @@ class Runs:
         first[1:] &= (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])
         self.start = np.flatnonzero(first)
         self.doc = doc[self.start]
-        self.hash = hashes[anchor[self.start]]
+        # the upper bits of an anchor are the smallest around it, so near zero: mixed again, for buckets of even size
+        self.hash = rolling.mixed(hashes[anchor[self.start]])
         ends = np.minimum(np.append(self.start[1:], len(anchor)), offsets[self.doc + 1] - window + 1)
         self.windows = ends - self.start
         # number of each run within its text

@@ -4,6 +4,8 @@ import hashlib
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from caseloom.llm import anchors, bpe, decontamination, exact_dedup, queries, rolling, setsketch, suffix_dedup
@@ -147,6 +149,18 @@ def test_repeated_bytes(spark, options):
         assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256, bytes(got[i].kept)) == (len(b), sum(g), spans, sha(kept), kept), i
 
 
+@pytest.mark.parametrize("n", [16, 200])
+def test_anchors_are_dealt_evenly(n):
+    rng = np.random.default_rng(7)
+    texts = pa.array([bytes(rng.integers(97, 123, 40_000, dtype=np.uint8)).decode() for _ in range(30)], pa.string())
+    hashes = np.unique(suffix_dedup.Runs(texts, 400, 160).hash)
+    sizes = np.bincount(anchors._bucket(hashes, n).astype(np.int64), minlength=n)
+    mean = len(hashes) / n
+    assert mean > 40 and sizes.min() > mean - 6 * mean ** 0.5 and sizes.max() < mean + 6 * mean ** 0.5
+    # the 32 bits that are compared within a bucket are spread, too
+    assert len(np.unique(hashes & suffix_dedup.LOW)) > 0.999 * len(hashes)
+
+
 def test_suffix_arrays():
     import random
     r = random.Random(5)
