@@ -9,6 +9,10 @@ For each row the log-probabilities of the languages add up from
 
 Counts of declarations, suffixes and hosts are sums of the text's posteriors over all rows, by grouped aggregation; evidence that
 a row doesn't have adds nothing. Only the trigram table is fitted on labelled rows, of which ``TRAINING_ROWS`` are drawn at most.
+
+The posterior only compares the fitted languages with each other. Whether a text is in any of them is told by its mean
+log-likelihood per trigram: labelled rows, each judged by a table without it, say how low that may be for a text of that length.
+A text that fits none is not accepted and is no evidence for others.
 """
 
 from __future__ import annotations
@@ -33,8 +37,10 @@ TRAINING_ROWS, BINS = 4000, 1 << 15
 TEMPER = 3.0
 #: Rows that a smoothed prior or share counts its parent for.
 WEIGHT = 10.0
-#: Posterior from which a row with letters is accepted. Low, so that short texts that fit several languages stay.
+#: Posterior from which a row with letters is accepted, if it fits its language. Low, so that short texts that fit several languages stay.
 ACCEPT = 0.3
+#: Standard deviations below the labelled rows' mean at which a text doesn't fit a language; rows that a spread of 0.5 counts for.
+BOUND, SPREAD = 6.0, 0.5
 
 #: Letters outside ASCII are bytes from 0x80 on in UTF-8.
 _LETTER = np.zeros(256, bool)
@@ -61,6 +67,15 @@ def _trigrams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 class TextModel:
     languages: list[str]
     table: np.ndarray  # languages x bins, log-probabilities
+    mean: np.ndarray  # per language, of the labelled rows' log-likelihoods per trigram
+    row_variance: np.ndarray  # between rows
+    trigram_variance: np.ndarray  # between trigrams
+
+    def fits(self, values: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Whether tempered log-likelihoods of ``n`` trigrams are as high as those of labelled rows; a text without trigrams fits."""
+        n = np.maximum(n, 1)[:, None]
+        low = self.mean - BOUND * np.sqrt(self.row_variance + TEMPER * self.trigram_variance / n)
+        return (values * TEMPER / n >= low) | (values == 0)
 
     def log_likelihoods(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Tempered log-likelihoods (rows x languages), and the numbers of trigrams and of letter bytes of each row."""
@@ -104,8 +119,31 @@ def fit_text_model(labelled: DataFrame, text_column: str = "text", language_colu
     found = sorted(sample.mapInArrow(count, schema).repartition("lang").mapInArrow(add, schema).collect())
     if not found:
         return None
-    counts = np.stack([np.frombuffer(r.sums, np.int64) for r in found]) + 0.5
-    return TextModel([r.lang for r in found], np.log(counts / counts.sum(axis=1, keepdims=True)))
+    names, counts = [r.lang for r in found], np.stack([np.frombuffer(r.sums, np.int64) for r in found]) + 0.5
+    shared = labelled.sparkSession.sparkContext.broadcast((names, counts))
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, counts = shared.value
+        total, sums = counts.sum(axis=1), np.zeros((len(names), 6))
+        for batch in batches:
+            bins, row = _trigrams(batch.column("text"))
+            number = np.array([names.index(n) for n in batch.column("lang").to_pylist()], np.int64)
+            n = np.bincount(row, minlength=batch.num_rows)
+            _, back, own = np.unique(row * BINS + bins, return_inverse=True, return_counts=True)
+            label = number[row]
+            value = np.log((counts[label, bins] - own[back]) / (total[label] - n[row]))
+            some = n > 0
+            means = np.bincount(row, value, batch.num_rows)[some] / n[some]
+            for c, (of, v) in enumerate([(number[some], np.ones(len(means))), (number[some], means), (number[some], means ** 2), (label, np.ones(len(value))), (label, value), (label, value ** 2)]):
+                sums[:, c] += np.bincount(of, v, len(names))
+        yield pa.RecordBatch.from_arrays([pa.array(names), *[pa.array(v) for v in sums.T]], names=["lang", *"abcdef"])
+
+    judged = sample.mapInArrow(judge, "lang string, " + ", ".join(f"{c} double" for c in "abcdef")).groupBy("lang").agg(*[F.sum(c).alias(c) for c in "abcdef"]).collect()
+    rows_, x, xx, trigrams, v, vv = np.array([list(r)[1:] for r in sorted(judged)]).T
+    mean = np.where(rows_ > 0, x / np.maximum(rows_, 1), -math.log(BINS))
+    row_variance = (np.maximum(xx - rows_ * mean ** 2, 0) + WEIGHT * SPREAD ** 2) / (rows_ + WEIGHT)
+    trigram_variance = np.maximum(vv / np.maximum(trigrams, 1) - (v / np.maximum(trigrams, 1)) ** 2, 0)
+    return TextModel(names, np.log(counts / counts.sum(axis=1, keepdims=True)), mean, row_variance, trigram_variance)
 
 
 def visible_text(page: str) -> str:
@@ -123,7 +161,8 @@ def page_evidence(pages: DataFrame) -> DataFrame:
 
 
 def _text_evidence(rows: DataFrame, model: TextModel, markup: bool) -> DataFrame:
-    """``key``, ``declared``, ``suffix``, ``host``, ``domain``, ``trigrams``, ``letters``, ``likelihood`` (one log-likelihood per language)."""
+    """``key``, ``declared``, ``suffix``, ``host``, ``domain``, ``trigrams``, ``letters``, ``likelihood`` and
+    ``fits`` (one log-likelihood per language, and whether the text fits it)."""
     small_batches(rows.sparkSession)
     shared = rows.sparkSession.sparkContext.broadcast(model)
     carried = ["key", "declared", "suffix", "host", "domain"]
@@ -134,11 +173,11 @@ def _text_evidence(rows: DataFrame, model: TextModel, markup: bool) -> DataFrame
             if markup:
                 text = pa.array([visible_text(t or "") for t in text.to_pylist()], pa.string())
             values, n, letters = shared.value.log_likelihoods(text)
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in carried], pa.array(n.astype(np.int64)), pa.array(letters.astype(np.int64)), pa.array(values.tolist(), pa.list_(pa.float64()))],
-                                             names=[*carried, "trigrams", "letters", "likelihood"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in carried], pa.array(n.astype(np.int64)), pa.array(letters.astype(np.int64)), pa.array(values.tolist(), pa.list_(pa.float64())), pa.array(shared.value.fits(values, n).tolist(), pa.list_(pa.bool_()))],
+                                             names=[*carried, "trigrams", "letters", "likelihood", "fits"])
 
     kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in carried)
-    return rows.select(*carried, "text").mapInArrow(run, f"{kinds}, trigrams bigint, letters bigint, likelihood array<double>")
+    return rows.select(*carried, "text").mapInArrow(run, f"{kinds}, trigrams bigint, letters bigint, likelihood array<double>, fits array<boolean>")
 
 
 def _softmax(values: Column) -> Column:
@@ -152,10 +191,10 @@ def fuse(evidence: DataFrame, model: TextModel, accept: float = ACCEPT) -> DataF
 
     Sums over a frequent host or suffix are pre-aggregated in each task; hosts are joined back by an ordinary join, whose skew
     the adaptive join splits. A row without trigrams has no text evidence: ``lang`` then says what the rest makes likely. A row
-    without letters isn't accepted.
+    without letters, or whose text doesn't fit that language, isn't accepted. Texts that fit no language are left out of all sums.
     """
     names = range(len(model.languages))
-    seen = evidence.filter("trigrams > 0").withColumn("_p", _softmax(F.col("likelihood"))).select("declared", "suffix", "host", "domain", *[F.col("_p")[k].alias(f"r{k}") for k in names])
+    seen = evidence.filter("trigrams > 0 AND exists(fits, f -> f)").withColumn("_p", _softmax(F.col("likelihood"))).select("declared", "suffix", "host", "domain", *[F.col("_p")[k].alias(f"r{k}") for k in names])
     sums = [F.sum(f"r{k}").alias(f"s{k}") for k in names]
     total = seen.agg(*[F.coalesce(F.sum(f"r{k}"), F.lit(0.0)).alias(f"s{k}") for k in names]).first()
     n = sum(total)
@@ -184,7 +223,7 @@ def fuse(evidence: DataFrame, model: TextModel, accept: float = ACCEPT) -> DataF
     values = F.array(*[F.col("likelihood")[k] + F.coalesce(F.col("_prior")[k], F.log(overall[k])) + F.coalesce(F.col("_suffix")[k], F.lit(0.0)) + F.when(F.col("declared").isNull(), 0.0).otherwise(declared[k]) for k in names])
     scored = joined.withColumn("_post", _softmax(values))
     label = lambda column: F.element_at(F.array(*[F.lit(x) for x in model.languages]), F.array_position(column, F.array_max(column)).cast("int"))
-    return scored.select("key", label(F.col("_post")).alias("lang"), F.array_max("_post").alias("confidence"), ((F.array_max("_post") >= accept) & (F.col("letters") > 0)).alias("accepted"),
+    return scored.select("key", label(F.col("_post")).alias("lang"), F.array_max("_post").alias("confidence"), ((F.array_max("_post") >= accept) & (F.col("letters") > 0) & F.element_at("fits", F.array_position("_post", F.array_max("_post")).cast("int"))).alias("accepted"),
                          F.when(F.col("trigrams") > 0, label(F.col("likelihood"))).alias("text_lang"), "declared", "suffix", "host")
 
 
@@ -194,7 +233,7 @@ def identify(documents: DataFrame, pages: DataFrame | None = None, model: TextMo
     A document's source is its host; its ``lang`` is only a label to fit on. Pages bring declaration, suffix, host and domain; in
     the result a page has ``doc_id = -1 - page_id``. Result: ``doc_id, lang, confidence, accepted, text_lang, declared, suffix, host``.
 
-    Nulls are missing evidence. Null, empty and letterless texts are not accepted. Ties go to the first language by name. Repeated
+    Nulls are missing evidence. Null, empty and letterless texts are not accepted, nor are texts in none of the labelled languages. Ties go to the first language by name. Repeated
     rows count and are answered each; null ids stay null. Without any labelled document ``lang`` is null and all rows are accepted,
     as there is nothing to tell them apart. Other columns are not read; empty tables give an empty result.
     """

@@ -181,6 +181,29 @@ def test_language_odd_rows(docs):
     assert all(r.accepted and r.lang is None for r in unlabelled.collect())
 
 
+FOREIGN = [
+    "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью и должны поступать в отношении друг друга в духе братства.",
+    "Tutti gli esseri umani nascono liberi ed eguali in dignità e diritti. Essi sono dotati di ragione e di coscienza e devono agire gli uni verso gli altri in spirito di fratellanza.",
+    base64.b64encode(np.random.default_rng(5).bytes(300)).decode(),
+    " ".join("".join(map(chr, w)) for w in np.random.default_rng(6).integers(97, 123, (60, 6)))]
+
+
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01"])
+def test_foreign_texts_are_not_accepted(spark, size):
+    """None of the labelled languages: not accepted as a document, a page or in the pipeline. Short own texts are."""
+    documents = spark.read.parquet(f"/root/testdata/{size}/documents.parquet").select("doc_id", "text", "lang", "source")
+    model = language_id.fit_text_model(documents)
+    own = ["the and of", "der die das", "hello"]
+    odd = spark.createDataFrame([(i, t, None, None) for i, t in enumerate(FOREIGN + own)], documents.schema)
+    pages = spark.createDataFrame([(i, "http://a.example.de/", f"<html lang='de'><body>{t}</body></html>") for i, t in enumerate(FOREIGN)], "page_id bigint, url string, html string")
+    accepted = {r.doc_id: r.accepted for r in language_id.identify(odd, pages, model).collect()}
+    assert accepted == {**{i: i >= len(FOREIGN) for i in range(len(FOREIGN + own))}, **{-1 - i: False for i in range(len(FOREIGN))}}
+    assert all(r.accepted for r in language_id.identify(documents, None, model).collect())
+    shifted = odd.selectExpr("-10 - doc_id AS doc_id", "text", "lang", "source")
+    kept = language_id.in_known_language(documents.unionByName(shifted))
+    assert {r.doc_id for r in kept.filter("doc_id < 0").collect()} == {-10 - i for i in range(len(FOREIGN), len(FOREIGN + own))}
+
+
 def test_pipeline(spark):
     from tokenizers import Tokenizer
     data = "/root/testdata/sf0.001"
