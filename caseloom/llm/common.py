@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from caseloom.session import cut_lineage, ensure_checkpoint_dir
 
-__all__ = ["SPACE", "cut_lineage", "ensure_checkpoint_dir", "lower_ascii", "once", "read_table", "small_batches", "words"]
+__all__ = ["SPACE", "cut_lineage", "ensure_checkpoint_dir", "in_order", "lower_ascii", "once", "read_table", "small_batches", "words"]
 
 #: The six white-space characters that separate words.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -37,3 +37,25 @@ def lower_ascii(text: Column) -> Column:
 def words(text: Column) -> Column:
     """The words between white space; none for null or blank text."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
+
+
+def in_order(rows: DataFrame, name: str, *order: Column) -> tuple[DataFrame, int]:
+    """Number all rows from 0 in the given order, and count them. ``rows`` must be stored (read from files or a checkpoint).
+
+    A range sort deals any number of equal keys over the tasks (each row has a number of its own as last key), and only the
+    row counts of its partitions pass through the driver.
+    """
+    spark = rows.sparkSession
+    columns = [F.col(f"`{c}`") for c in rows.columns]
+    keyed = rows.select(*columns, F.monotonically_increasing_id().alias("_row"))
+    ordered = cut_lineage(keyed.repartitionByRange(*order, F.col("_row")).sortWithinPartitions(*order, F.col("_row")).drop("_row"))
+    # The number holds the partition in its upper bits and the row inside it in the lower 33.
+    counted = ordered.select(*columns, F.monotonically_increasing_id().alias("_at")).withColumn("_part", F.shiftright("_at", 33))
+    sizes = sorted((r["_part"], r["n"]) for r in counted.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect())
+    before, total = [], 0
+    for part, n in sizes:
+        before.append((part, total))
+        total += n
+    starts = spark.createDataFrame(before, "_part bigint, _before bigint")
+    placed = counted.join(F.broadcast(starts), "_part")
+    return placed.select(*columns, (F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).alias(name)), total

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseloom.llm import anchors, bpe, chat, decontamination, exact_dedup, language_id, pitman_yor, setsketch, suffix_dedup, warc
+from caseloom.llm import anchors, bpe, chat, clustering, decontamination, exact_dedup, importance, language_id, packing, pitman_yor, setsketch, suffix_dedup, warc
 from caseloom.llm.common import read_table
 
 TOKENIZER = "byte_bpe_50k.json"
+PACKED_TOKENIZER = "word_bpe_49k.json"
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -63,7 +64,22 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.without_repeats(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {q.__name__: q for q in (op1_language_id, op2_warc_round_trip, op3_setsketch_near_dedup, op4_benchmark_decontamination, op5_chat_format, op6_bpe_round_trip, op7_anchor_substring_dedup, op8_pitman_yor_scores, op9_exact_dedup, op10_suffix_array_dedup)}
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = importance.resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return rows.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster_digests(read_table(spark, sf_dir, "embeddings"))
+
+
+def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = packing.packed(read_table(spark, sf_dir, "documents"), tokenizer_path(PACKED_TOKENIZER))
+    return rows.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+QUERIES = {q.__name__: q for q in (op1_language_id, op2_warc_round_trip, op3_setsketch_near_dedup, op4_benchmark_decontamination, op5_chat_format, op6_bpe_round_trip, op7_anchor_substring_dedup, op8_pitman_yor_scores, op9_exact_dedup, op10_suffix_array_dedup,
+                                op11_importance_resampling, op12_centroid_clustering, op13_best_fit_packing)}
 ORACLES = {
     "op2_warc_round_trip": warc.ORACLE,
     "op3_setsketch_near_dedup": setsketch.oracle(85),
@@ -72,4 +88,6 @@ ORACLES = {
     "op7_anchor_substring_dedup": anchors.oracle(),
     "op9_exact_dedup": exact_dedup.ORACLE,
     "op10_suffix_array_dedup": suffix_dedup.oracle(),
+    "op11_importance_resampling": importance.oracle(),
+    "op12_centroid_clustering": clustering.oracle(),
 }
