@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +30,10 @@ CAPACITY, END = 2048, 0
 SHARES = (1 / 4, 1 / 3, 1 / 2, 1 / 6)
 #: Groups of equal cardinality.
 GROUPS = 64
+#: The public split pattern of the word tokenizer. Characters below the second value have the same class, lower case and composed
+#: form in every version of Unicode, so chunks of them alone may be split here; others go through the library as they are.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+"
+SIMPLE = "\u0130"
 #: Chunks of text and bytes of a chunk that a worker remembers at most; neither changes a result.
 REMEMBERED, REMEMBERED_BYTES = 400_000, 40
 
@@ -38,38 +43,69 @@ Class = tuple[int, tuple[tuple[int, int], ...]]
 # --- tokens ----------------------------------------------------------------------------------------------------------
 
 class Encoder:
-    """Token ids as little-endian bytes. The tokenizer drops white space, so every chunk between ASCII blanks is encoded alone."""
+    """Token ids as little-endian bytes. The tokenizer drops white space, so every chunk between ASCII blanks is encoded alone.
+
+    Chunks and their words are remembered in tables of a bounded size, which start anew when they are full.
+    """
 
     def __init__(self, content: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.library = Tokenizer.from_buffer(content)
         self.library.no_truncation()
         self.library.no_padding()
-        self.marks = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
+        # The same merges alone, for words that are already normalised and split.
+        self.merges = Tokenizer.from_buffer(content)
+        self.merges.normalizer = normalizers.Sequence([])
+        self.merges.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.pattern = regex.compile(PATTERN)
         self.known: dict[bytes, bytes] = {}
+        self.known_words: dict[str, bytes] = {}
 
     def encode(self, text: bytes) -> bytes:
         # All letters of ASCII text are lower-cased by the tokenizer anyway; marks are found before that.
         if text.isascii() and b"<" not in text:
             text = text.lower()
         chunks = text.split()
-        try:
-            return b"".join(map(self.known.__getitem__, chunks))
-        except KeyError:
-            return b"".join(map(self._learned(set(chunks)).__getitem__, chunks))
-
-    def _learned(self, chunks: set[bytes]) -> dict[bytes, bytes]:
-        """The codes of chunks not all of which are remembered; new ones are, and a full table starts anew."""
-        found = {c: code for c in chunks if (code := self.known.get(c)) is not None}
-        missing = list(chunks - found.keys())
-        coded = self.library.encode_batch_fast([c.decode("utf-8", "replace") for c in missing], add_special_tokens=False)
-        fresh = {c: np.array(e.ids, "<u4").tobytes() for c, e in zip(missing, coded)}
-        if len(self.known) + len(fresh) > REMEMBERED:
-            self.known.clear()
-        self.known.update((c, code) for c, code in fresh.items() if len(c) <= REMEMBERED_BYTES)
-        return found | fresh
+        codes = list(map(self.known.get, chunks))
+        if None in codes:
+            at = [i for i, code in enumerate(codes) if code is None]
+            fresh = self._codes_of({chunks[i] for i in at})
+            if len(self.known) + len(fresh) > REMEMBERED:
+                self.known.clear()
+            self.known.update((c, code) for c, code in fresh.items() if len(c) <= REMEMBERED_BYTES)
+            for i in at:
+                codes[i] = fresh[chunks[i]]
+        return b"".join(codes)
+
+    def _codes_of(self, chunks: set[bytes]) -> dict[bytes, bytes]:
+        simple: dict[bytes, list[str]] = {}
+        other = []
+        for chunk in chunks:
+            text = chunk.decode("utf-8", "replace")
+            if (text.isascii() or max(text) < SIMPLE) and "<" not in text:
+                core = text.rstrip(".,")
+                simple[chunk] = [core.lower(), text[len(core):]] if core.isalpha() else self.pattern.findall(text.lower())
+            else:
+                other.append((chunk, text))
+        code_of = self._words({w for words in simple.values() for w in words})
+        found = {chunk: b"".join(map(code_of.__getitem__, words)) for chunk, words in simple.items()}
+        found.update(zip((c for c, _ in other), _codes(self.library, [t for _, t in other])))
+        return found
+
+    def _words(self, words: set[str]) -> dict[str, bytes]:
+        missing = list(words.difference(self.known_words))
+        fresh = dict(zip(missing, _codes(self.merges, missing)))
+        found = fresh | {w: self.known_words[w] for w in words.difference(fresh)}
+        if len(self.known_words) + len(fresh) > REMEMBERED:
+            self.known_words.clear()
+        self.known_words.update((w, code) for w, code in fresh.items() if len(w) <= REMEMBERED_BYTES)
+        return found
+
+
+def _codes(tokenizer, texts: list[str]) -> list[bytes]:
+    return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
 _LOADED: dict[str, Encoder] = {}

@@ -328,6 +328,7 @@ def test_forgetful_chunks(monkeypatch):
     monkeypatch.setattr(packing, "REMEMBERED", 50)
     monkeypatch.setattr(packing, "REMEMBERED_BYTES", 4)
     own.known.clear()
+    own.known_words.clear()
     assert own.encode(text) == want
 
 
