@@ -27,14 +27,32 @@ def nested_first(parsed: Column, under: str, name: str) -> Column:
     return F.when(parsed[under].isNotNull(), blank_to_null(parsed[under][name])).otherwise(blank_to_null(parsed[name]))
 
 
-# Levels that are opened for every payload; no result depends on it.
-USUAL_DEPTH = 3
+#: Objects inside each other that are opened in place; deeper payloads go through the table function of ``operators.payloads``.
+LEVELS = 4
+LEAF = "struct<path:string,field:string,value:string>"
 
 
-def flattened(raw: Column | str, depth: int = 24) -> Column:
-    """Array of (path, field, value) for every leaf of nested payload objects; arrays are joined with commas.
+def leaf_text(value: Column) -> Column:
+    """Text of a payload value that is no object; the elements of an array are joined with commas, nulls left out."""
+    items = F.try_variant_get(value, "$", "array<string>")
+    joined = F.array_join(F.filter(items, lambda x: x.isNotNull()), ", ")
+    return F.when(F.schema_of_variant(value).startswith("ARRAY"), joined).otherwise(F.try_variant_get(value, "$", "string"))
 
-    ``depth`` is how deep objects may be nested in each other; one that lies deeper is a leaf with its JSON text.
+
+def deeply_nested(raw: Column | str) -> Column:
+    """Whether objects are nested in each other more than ``LEVELS`` deep. Most payloads are settled by counting braces."""
+    raw = col(raw)
+    braces = F.length(raw) - F.length(F.replace(raw, F.lit("{")))
+    left = F.regexp_replace(raw, r'"(?:[^"\\]|\\.)*"', "")
+    for _ in range(LEVELS):
+        left = F.regexp_replace(left, r"\{[^{}]*\}", "")
+    return F.coalesce(F.when(braces > LEVELS, F.contains(left, F.lit("{"))), F.lit(False))
+
+
+def flattened(raw: Column | str) -> Column:
+    """Array of (path, field, value) for every leaf of a payload that is not deeply nested; arrays are joined with commas.
+
+    An object below ``LEVELS`` levels would stay JSON text here; ``payloads.with_leaves`` opens all of them.
     """
     variant_map = "map<string,variant>"
 
@@ -49,31 +67,15 @@ def flattened(raw: Column | str, depth: int = 24) -> Column:
             ),
         )
 
-    top = F.try_variant_get(F.try_parse_json(col(raw)), "$", variant_map)
-    level = entries(None, top)
+    level = entries(None, F.try_variant_get(F.try_parse_json(col(raw)), "$", variant_map))
     is_object = lambda e: F.schema_of_variant(e["value"]).startswith("OBJECT")
 
     def opened(entries_: Column) -> Column:
         return F.flatten(F.transform(
             entries_, lambda e: F.when(is_object(e), entries(e["path"], F.try_variant_get(e["value"], "$", variant_map))).otherwise(F.array(e))))
 
-    def deeper(entries_: Column) -> Column:
-        """The levels that few payloads have; passed over where no object is left."""
-        out = entries_
-        for _ in range(max(depth - USUAL_DEPTH, 0)):
-            out = opened(out)
-        return F.when(F.exists(entries_, is_object), out).otherwise(entries_)
-
-    for _ in range(min(depth, USUAL_DEPTH)):
+    for _ in range(LEVELS - 1):
         level = opened(level)
-    level = F.get(F.transform(F.array(level), deeper), F.lit(0))
-
-    def leaf_text(value: Column) -> Column:
-        items = F.try_variant_get(value, "$", "array<string>")
-        is_array = F.schema_of_variant(value).startswith("ARRAY")
-        joined = F.array_join(F.filter(items, lambda x: x.isNotNull()), ", ")
-        return F.when(is_array, joined).otherwise(F.try_variant_get(value, "$", "string"))
-
     leaves = F.transform(
         level, lambda e: F.struct(e["path"].alias("path"), e["field"].alias("field"), leaf_text(e["value"]).alias("value"))
     )

@@ -10,7 +10,7 @@ from caseloom.functions import text as tx
 from caseloom.functions.core import text, with_computed
 from caseloom.harness.registry import check
 from caseloom.harness.shapes import shape
-from caseloom.operators import compare, ordered, rollups
+from caseloom.operators import compare, ordered, payloads, rollups
 from caseloom.operators.filters import Page, any_column_contains, column_filter, total_rows
 from caseloom.plans import accounts, defender, powershell, remote_access, search, sessions, timeline
 from caseloom.plans import registry_facts as rf
@@ -155,7 +155,19 @@ SELECT _rowid, 'EventData.ClientName' AS path, 'ClientName' AS field, json_extra
 UNION ALL SELECT _rowid, 'EventData.UserName', 'UserName', json_extract_string(EventData, '$.EventData.UserName') FROM ev WHERE Provider = 'Microsoft-Windows-SMBServer'""".replace("SELECT _rowid, 'EventData.C", "SELECT _rowid, 'EventData.C", 1).strip())
 def _(spark, sf):
     smb = EV(spark, sf).filter(F.col("Provider") == lookups.SMB_SERVER)
-    return smb.select("_rowid", F.explode(ed.flattened("EventData")).alias("e")).select("_rowid", "e.*")
+    return payloads.leaf_rows(smb, "EventData", ["_rowid"])
+
+
+DEEP_SQL = """
+parts AS (SELECT *, repeat('N.', CAST(_rowid % 200 AS INT)) AS below, nullif(regexp_extract(EventData, '"TargetUserSid":"([^"]*)"', 1), '') AS sid,
+  'CORP' || chr(92) || regexp_extract(EventData, '(user[0-9]+)"', 1) AS name FROM deep)"""
+
+
+@check("f23_deep_payload", "deep", DEEP_SQL + """
+SELECT _rowid, below || 'TargetUserSid' AS path, 'TargetUserSid' AS field, sid AS value FROM parts WHERE sid IS NOT NULL
+UNION ALL SELECT _rowid, below || 'TargetUserName', 'TargetUserName', name FROM parts UNION ALL SELECT _rowid, below || 'Note', 'Note', '}, ' || @n(_rowid) || ', a{' FROM parts""")
+def _(spark, sf):
+    return payloads.leaf_rows(shape(spark, sf, "deep"), "EventData", ["_rowid"])
 
 
 # Remote desktop -------------------------------------------------------------------------------------------------------
@@ -455,17 +467,40 @@ ent AS (SELECT host_id, _rowid, timestamp, log, 'event principal' AS role, true
   UNION ALL SELECT host_id, _rowid, timestamp, log, 'session user', false, 'EventXML.User', {jx('EventXML.User')} FROM ev WHERE Provider = {LSM} AND {jx('EventXML.User')} IS NOT NULL
   UNION ALL SELECT host_id, _rowid, timestamp, log, 'account', false, 'EventXML.User', NULL FROM ev WHERE false),
 usable AS (SELECT *, CASE WHEN is_sid THEN '[sid] ' ELSE '[name] ' END || role || ' · ' || path || ' = ' || value AS mark,
-    CASE WHEN is_sid THEN lower(value) ELSE lower({bare('value')}) END AS k FROM ent e WHERE is_sid OR NOT EXISTS (SELECT 1 FROM ent s WHERE s._rowid = e._rowid AND s.role = e.role AND s.is_sid)),
-wanted AS (SELECT c_custkey AS account_id, 's-1-5-21-1-2-3-' || @n(1000 + c_custkey % 200) AS sid, 'user' || @n(c_custkey % 200) AS name FROM customer),
-hits AS (SELECT account_id, host_id, _rowid, string_agg(DISTINCT mark, ' | ' ORDER BY mark) AS evidence FROM usable JOIN wanted ON (is_sid AND k = sid) OR (NOT is_sid AND k = name) GROUP BY 1, 2, 3)"""
+    CASE WHEN is_sid THEN lower(value) ELSE lower({bare('value')}) END AS k
+  FROM (SELECT *, bool_or(is_sid) OVER (PARTITION BY _rowid, role) AS has_sid FROM ent) WHERE is_sid OR NOT has_sid),
+people AS (SELECT c_custkey AS account_id, 's-1-5-21-1-2-3-' || @n(1000 + c_custkey % 200) AS sid, 'user' || @n(c_custkey % 200) AS name FROM customer),
+wanted AS (SELECT account_id, true AS is_sid, sid AS k FROM people UNION ALL SELECT account_id, false, name FROM people),
+hits AS (SELECT account_id, host_id, _rowid, string_agg(DISTINCT mark, ' | ' ORDER BY mark) AS evidence FROM usable JOIN wanted USING (is_sid, k) GROUP BY 1, 2, 3)"""
 
 
 @check("j6_account_matches", "ev", MATCH_SQL + " SELECT account_id, host_id, _rowid, evidence FROM hits")
 def _(spark, sf):
-    people = spark.read.parquet(f"{sf}/customer.parquet").select(
+    return accounts.account_matches(EV(spark, sf), _people(spark, sf)).select("account_id", "host_id", "_rowid", "evidence")
+
+
+def _people(spark, sf):
+    return spark.read.parquet(f"{sf}/customer.parquet").select(
         F.col("c_custkey").alias("account_id"), F.concat(F.lit("S-1-5-21-1-2-3-"), (1000 + F.col("c_custkey") % 200).cast("string")).alias("sid"),
         F.concat(F.lit("CORP\\user"), (F.col("c_custkey") % 200).cast("string")).alias("username"))
-    return accounts.account_matches(EV(spark, sf), people).select("account_id", "host_id", "_rowid", "evidence")
+
+
+DEEP_MATCH_SQL = DEEP_SQL + """,
+marked AS (SELECT host_id, _rowid, timestamp, sid IS NOT NULL AS is_sid, lower(coalesce(sid, regexp_extract(name, 'user[0-9]+'))) AS k,
+  CASE WHEN sid IS NULL THEN '[name] target · ' || below || 'TargetUserName = ' || name ELSE '[sid] target · ' || below || 'TargetUserSid = ' || sid END AS evidence FROM parts)"""
+
+
+@check("j6_deep_account_matches", "deep", DEEP_MATCH_SQL + """
+SELECT c_custkey AS account_id, host_id, _rowid, evidence FROM marked JOIN customer
+  ON k = CASE WHEN is_sid THEN 's-1-5-21-1-2-3-' || @n(1000 + c_custkey % 200) ELSE 'user' || @n(c_custkey % 200) END""")
+def _(spark, sf):
+    return accounts.account_matches(shape(spark, sf, "deep"), _people(spark, sf)).select("account_id", "host_id", "_rowid", "evidence")
+
+
+@check("q7_deep_account_activity", "deep", DEEP_MATCH_SQL + " SELECT host_id, _rowid, timestamp, evidence FROM marked WHERE k IN ('s-1-5-21-1-2-3-1017', 'user17')")
+def _(spark, sf):
+    found = accounts.account_events(shape(spark, sf, "deep"), "S-1-5-21-1-2-3-1017", "CORP\\user17")
+    return found.select("host_id", "_rowid", "timestamp", "evidence")
 
 
 Q7_SQL = MATCH_SQL.replace("SELECT c_custkey AS account_id, 's-1-5-21-1-2-3-' || @n(1000 + c_custkey % 200) AS sid, 'user' || @n(c_custkey % 200) AS name FROM customer", "SELECT 17 AS account_id, 's-1-5-21-1-2-3-1017' AS sid, 'user17' AS name") + """,

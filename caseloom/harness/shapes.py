@@ -68,6 +68,15 @@ def _branch(parts: dict[str, str]) -> str:
 
 SHAPES["ev"] = "UNION ALL".join(_branch(b) for b in _BRANCHES)
 
+# Payloads whose objects are nested up to 200 deep, with braces inside texts.
+SHAPES["deep"] = """
+SELECT 'host' || @n(user_id % 4) AS host_id, @fmt[ts] AS timestamp, 'Vendor-Audit' AS Provider, '7' AS EventID, '' AS UserID,
+  repeat('{"N":', CAST(event_id % 200 AS INT)) || CASE WHEN event_id % 4 = 0 THEN '{"TargetUserSid":"S-1-5-21-1-2-3-' || @n(1000 + user_id % 200) || '",' ELSE '{' END
+    || @'"TargetUserName":"CORP\\\\user' || @n(user_id % 200) || '","Note":["}",' || @n(event_id) || ',null,"a{"]}' || repeat('}', CAST(event_id % 200 AS INT)) AS EventData,
+  'Vendor' AS log, '/EVENTLOG/Vendor.evtx' AS _source_file, 'Vendor.evtx::' || @n(event_id) AS _record_key, event_id AS _rowid
+FROM @t(events) WHERE event_type = 'error'
+"""
+
 SHAPES["sb"] = """
 SELECT 'host' || @n(conv_id % 4) AS host_id, @at[conv_id * 3600 + turn * 60] AS timestamp, 'Microsoft-Windows-PowerShell' AS Provider,
   '4104' AS EventID, @n(100 + conv_id % 9) AS ProcessID, 'S-1-5-21-1-2-3-' || @n(1000 + conv_id % 50) AS UserID,
@@ -384,7 +393,7 @@ def render(sql: str, sf_dir: str | None) -> str:
     return re.sub(r"@'", "r'" if spark else "'", sql)
 
 
-HEAVY_ROWS = {"wer"}
+HEAVY_ROWS = {"deep", "wer"}
 
 
 def view_name(sf_dir: str, name: str) -> str:

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from caseloom.functions import hexbin, lookups, tags, times
 from caseloom.functions import text as tx
 from caseloom.functions.core import any_of, blank_to_null, first_present, text, with_computed
-from caseloom.operators import ordered
+from caseloom.operators import ordered, payloads
 from caseloom.plans.common import HOST, overview_row, union_all
 from caseloom.session import cut_lineage
 from caseloom.sources.raw import SCAN_TIES, hive, live_hives, scan_seq
@@ -347,42 +346,12 @@ def execution_traces(rows: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-ENTRY_SCHEMA = T.ArrayType(T.StructType([T.StructField("path", T.StringType()), T.StructField("ticks", T.LongType())]))
-
-
-def cache_entries(raw: bytes) -> list[dict[str, object]]:
-    """(path, FILETIME) entries of an application-compatibility blob: tagged records of path length, path, time."""
-    tag = b"10ts"
-    number = lambda at, width: int.from_bytes(raw[at:at + width], "little")
-    header = number(0, 4) if len(raw) >= 4 else 0
-    at = header if 0 < header < len(raw) and raw[header:header + 4] == tag else raw.find(tag)
-    found = []
-    while at >= 0 and at + 12 <= len(raw) and raw[at:at + 4] == tag:
-        size = number(at + 8, 4)
-        body = raw[at + 12:at + 12 + size]
-        length = int.from_bytes(body[:2], "little")
-        if len(body) >= 2 and 2 + length + 8 <= len(body):
-            path = body[2:2 + length - length % 2].decode("utf-16-le", "replace")
-            ticks = int.from_bytes(body[2 + length:10 + length], "little", signed=True)
-            if path and ("\\" in path or ":" in path):
-                found.append({"path": path, "ticks": ticks})
-        at += 12 + size
-    return found
-
-
-@F.udf(ENTRY_SCHEMA, useArrow=True)
-def compatibility_entries(hex_text: str):
-    try:
-        return cache_entries(bytes.fromhex(hex_text or ""))
-    except ValueError:
-        return []
-
-
 def compatibility_cache(system: DataFrame, keys: list[str]) -> DataFrame:
     """Programs of the compatibility cache; the first entry of a path is kept."""
     blobs = system.filter(F.col("value_name") == "AppCompatCache")
-    entries = blobs.select(*keys, *SCAN_TIES, F.posexplode(compatibility_entries(hexbin.clean_hex("value_data"))).alias("_at", "e"))
-    first = entries.groupBy(*keys, F.col("e.path").alias("path")).agg(F.min_by("e.ticks", F.struct(*SCAN_TIES, "_at")).alias("ticks"))
+    hexed = blobs.select(*keys, *SCAN_TIES, hexbin.clean_hex("value_data").alias("_blob"))
+    entries = hexed.lateralJoin(payloads.ShimcacheEntries(F.col("_blob").outer()))
+    first = entries.groupBy(*keys, "path").agg(F.min_by("ticks", F.struct(*SCAN_TIES, "at")).alias("ticks"))
     return overview_row(
         first, "RegistryFindings", keys, category="other", subtype="ShimCache", name="ShimCache (AppcompatCache)", value=F.col("path"),
         status="info", timestamp=times.filetime(F.col("ticks")), key_path="…\\Control\\Session Manager\\AppCompatCache", source="SYSTEM",

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from caseloom.functions import eventdata, hexbin, lookups, obfuscation, tags, times, urls
 from caseloom.functions import text as tx
+from caseloom.operators import payloads
 from caseloom.plans import registry_facts as rf
 from caseloom.sources.records import usage_table_name
 
@@ -100,9 +101,9 @@ def test_compatibility_entries():
 
     head = struct.pack("<I", 52).ljust(52, b"\0")
     blob = head + record("C:\\a.exe", 7) + record("noslash", 8) + record("C:\\b.exe", 9)
-    assert rf.cache_entries(blob) == [{"path": "C:\\a.exe", "ticks": 7}, {"path": "C:\\b.exe", "ticks": 9}]
-    assert rf.cache_entries(b"xx" + record("D:\\c", 1)) == [{"path": "D:\\c", "ticks": 1}]
-    assert rf.cache_entries(b"") == []
+    assert list(payloads.cache_entries(blob)) == [("C:\\a.exe", 7), ("C:\\b.exe", 9)]
+    assert list(payloads.cache_entries(b"xx" + record("D:\\c", 1))) == [("D:\\c", 1)]
+    assert list(payloads.cache_entries(b"")) == []
 
 
 def test_compatibility_cache(spark):
