@@ -1,9 +1,11 @@
 """Ordered scans that never put one host into one task.
 
-A plain window over ``partitionBy(host)`` would sort a whole host in one task. Here every scan works in two levels:
-rows are windowed inside (key, time span) cells, each cell leaves one summary row, a window over the summaries carries
-state from span to span, and the carried state is joined back. Cells spread over the cluster however hot a host is, and
-the summaries are bounded by the number of spans (105,120 five-minute spans in a year).
+A plain window over ``partitionBy(host)`` would sort a whole host in one task. Here every scan works in two levels. The rows
+are dealt by ranges of (key, time, ties) whose bounds Spark samples from the data, and are stored with the number of their
+range: a cell is what one key has in one range. Rows are windowed inside cells, each cell leaves one summary row, a window
+over the summaries carries state from range to range, and the carried state is joined back. A burst inside one instant, or any
+number of rows without a time, is split by its ties like everything else, and a quiet year is one cell. A key has at most as
+many summaries as there are ranges.
 """
 
 from __future__ import annotations
@@ -13,23 +15,30 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from caseloom.session import cut_lineage
+
 SPAN = "_span"
 
 
 @dataclass(frozen=True)
 class ScanOrder:
-    """Keys that isolate a scan, a millisecond time column, and the tie-break columns of the scan order."""
+    """Keys that isolate a scan, its time column, and the tie-break columns of the scan order. Rows without a time come first."""
 
     keys: tuple[str, ...]
     time: str
     ties: tuple[str, ...]
-    span_ms: int = 300_000
 
     def key(self) -> Column:
         return F.struct(F.col(self.time), *[F.col(c) for c in self.ties])
 
     def cells(self, df: DataFrame) -> DataFrame:
-        return df.withColumn(SPAN, F.floor(F.col(self.time) / F.lit(self.span_ms)))
+        """The rows with the number of their range, stored once.
+
+        Both the rows and their summaries are made from the stored table: bounds that were sampled twice could deal a row to two
+        ranges, and the input would be computed again for each use.
+        """
+        ranged = df.repartitionByRange(*[F.col(c) for c in (*self.keys, self.time, *self.ties)])
+        return cut_lineage(ranged.withColumn(SPAN, F.spark_partition_id()))
 
     def window(self):
         return Window.partitionBy(*self.keys, SPAN).orderBy(self.time, *self.ties)
@@ -38,31 +47,20 @@ class ScanOrder:
         return Window.partitionBy(*self.keys).orderBy(SPAN).rowsBetween(Window.unboundedPreceding, -1)
 
     def attach(self, rows: DataFrame, summary: DataFrame) -> DataFrame:
-        """Join the per-span state back; the rows are already partitioned by exactly these columns."""
+        """Join the state of each cell back; the rows are already partitioned by exactly these columns."""
         return rows.join(summary, [*self.keys, SPAN], "left")
 
 
-def _same_rows(df: DataFrame) -> Column:
-    """An aggregate that touches every column.
-
-    The summary and the rows it goes back to come from the same input. With equal columns on both sides their shuffles
-    are equal too, and the second one reuses the first instead of computing the input again.
-    """
-    return F.max(F.xxhash64(*[F.col(c) for c in df.columns])).alias("_touched")
-
-
 def carry_last(df: DataFrame, order: ScanOrder, value: Column, name: str, include_current: bool = False) -> DataFrame:
     """Latest non-NULL ``value`` before each row (or up to it), over the whole scan of each key."""
-    rows = order.cells(df).withColumn("_v", value)
+    rows = order.cells(df.withColumn("_v", value))
     upto = order.window().rowsBetween(Window.unboundedPreceding, 0 if include_current else -1)
     local = rows.withColumn("_local", F.last("_v", ignorenulls=True).over(upto))
-    # Summed up after the window, so that both uses need the rows dealt alike and the second takes the first's shuffle.
     summary = (
-        local.groupBy(*order.keys, SPAN)
-        .agg(F.max_by("_v", F.when(F.col("_v").isNotNull(), order.key())).alias("_tail"), F.max(F.col("_local").isNotNull()).alias("_seen"), _same_rows(df))
-        .filter(F.col("_touched").isNotNull())
+        rows.groupBy(*order.keys, SPAN)
+        .agg(F.max_by("_v", F.when(F.col("_v").isNotNull(), order.key())).alias("_tail"))
         .withColumn("_carried", F.last("_tail", ignorenulls=True).over(order.over_spans()))
-        .drop("_tail", "_touched", "_seen")
+        .drop("_tail")
     )
     joined = order.attach(local, summary)
     return joined.withColumn(name, F.coalesce("_local", "_carried")).drop("_v", "_local", "_carried", SPAN)
@@ -80,23 +78,12 @@ def carry_within(
 ) -> DataFrame:
     """Fill ``name`` with the latest earlier original ``value`` when it is at most ``tolerance_ms`` old.
 
-    The tolerance bounds the look-back, so rows that carry a value are copied into the next time cell and every row
-    meets all its candidates in a cell of one tolerance. Rows without a time keep their own value.
+    Rows without a time keep their own value and are nobody's source.
     """
-    cell = F.floor(F.col(time) / F.lit(max(tolerance_ms, 1)))
-    has_value = F.col(value).isNotNull()
-    copies = F.when(has_value & F.col(time).isNotNull(), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-    # Untimed rows spread over many cells: they take part in nothing.
-    spread = F.when(F.col(time).isNull(), F.pmod(F.xxhash64(*ties), F.lit(4096))).otherwise(F.lit(0))
-    rows = df.withColumn("_copy", F.explode(copies)).withColumn("_cell", cell + F.col("_copy")).withColumn("_spread", spread)
-    before = (
-        Window.partitionBy(*keys, "_cell", "_spread").orderBy(time, *ties).rowsBetween(Window.unboundedPreceding, -1)
-    )
-    source = F.when(has_value & F.col(time).isNotNull(), F.struct(F.col(time).alias("t"), F.col(value).alias("v")))
-    carried = rows.withColumn("_src", F.last(source, ignorenulls=True).over(before)).filter(F.col("_copy") == 0)
+    source = F.when(F.col(value).isNotNull() & F.col(time).isNotNull(), F.struct(F.col(time).alias("t"), F.col(value).alias("v")))
+    carried = carry_last(df, ScanOrder(keys, time, ties), source, "_src")
     near = F.col(time) - F.col("_src.t") <= F.lit(tolerance_ms)
-    filled = F.coalesce(F.col(value), F.when(near, F.col("_src.v")))
-    return carried.withColumn(name, filled).drop("_copy", "_cell", "_spread", "_src")
+    return carried.withColumn(name, F.coalesce(F.col(value), F.when(near, F.col("_src.v")))).drop("_src")
 
 
 def cluster_sessions(
@@ -143,8 +130,7 @@ def cluster_sessions(
         F.max("_break").alias("_broken"),
         F.max_by("_state", F.when(F.col("_state").isNotNull(), F.col("_key"))).alias("_tail"),
         F.max(F.when(F.col("_local_start"), F.col("_key"))).alias("_last_start"),
-        _same_rows(df),
-    ).filter(F.col("_touched").isNotNull())
+    )
     spans = Window.partitionBy(*order.keys).orderBy(SPAN)
     cells = (
         cells.withColumn("_before", F.lag("_last").over(spans))

@@ -93,7 +93,7 @@ def protection_changes(rows: DataFrame, keys: list[str]) -> DataFrame:
         .withColumn("is_on", F.col("EventID") == "5000").withColumn("_t", F.coalesce(times.epoch_millis("timestamp"), F.lit(-1)))
         .withColumn("_k", text("_record_key"))
     )
-    order = ordered.ScanOrder(tuple(keys), "_t", ("is_on", "_k", "_rowid"), span_ms=3_600_000)
+    order = ordered.ScanOrder(tuple(keys), "_t", ("is_on", "_k", "_rowid"))
     return ordered.state_changes(states, order, "is_on")
 
 

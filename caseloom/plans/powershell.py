@@ -130,7 +130,7 @@ def script_sessions(history: DataFrame, keys: list[str] = HOST, gap_ms: int = SE
     rows = history.filter(F.col("timestamp").isNotNull() & times.in_range("timestamp", start, end)).withColumn(
         "identity", F.concat(text("account"), F.lit("||"), F.coalesce(blank_to_null("process_id"), text("process")))
     ).withColumn("_t", times.epoch_millis("timestamp"))
-    order = ordered.ScanOrder((*keys, "identity"), "_t", SCAN_TIES, span_ms=3_600_000)
+    order = ordered.ScanOrder((*keys, "identity"), "_t", SCAN_TIES)
     return ordered.cluster_sessions(rows, order, gap_ms)
 
 
