@@ -3,6 +3,6 @@
 
 def load_checks():
     """Import every check module once and return the filled registry."""
-    from caseloom.harness import checks_activity, checks_events, checks_files, checks_functions, checks_registry, registry  # noqa: F401
+    from caseloom.harness import checks_activity, checks_events, checks_files, checks_functions, checks_registry, checks_sources, registry  # noqa: F401
 
     return registry

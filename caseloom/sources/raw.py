@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,17 +18,55 @@ def scan_seq() -> Column:
     return F.struct(*[F.col(c) for c in SCAN_TIES])
 
 
-def read_table(spark: SparkSession, path: str, table: str, fmt: str = "parquet") -> DataFrame:
-    """One raw table; a source that was not collected is an empty table, not an error."""
+#: Holds the text of a record that a reader cannot parse.
+BROKEN = "_broken_record"
+
+
+def read_table(spark: SparkSession, path: str, table: str, fmt: str = "parquet", **options: str) -> DataFrame:
+    """One raw table; a source that was not collected is an empty table, not an error.
+
+    ``json`` (one record a line) and ``csv`` exports are read whole: see ``read_export``.
+    """
     schema = raw_schema(table)
     try:
-        return spark.read.schema(schema).format(fmt).load(path)
+        if fmt in ("json", "csv"):
+            return read_export(spark, path, schema, fmt, **options)
+        return spark.read.schema(schema).format(fmt).options(**options).load(path)
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
-            return spark.createDataFrame([], schema)
+            return with_read_status(spark.createDataFrame([], schema)) if fmt in ("json", "csv") else spark.createDataFrame([], schema)
         raise
 
 
+def read_export(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "json", **options: str) -> DataFrame:
+    """Every line of an export as a row; one that cannot be read keeps its place with ``_status`` and ``_error``.
+
+    A line that is no record of the schema (cut off, another type in a field, a wrong number of CSV fields) is ``corrupted``. Its
+    readable fields stay, the others are NULL, and ``_error`` holds the reason and the line. A status that the record itself
+    carries is kept when the line is fine. Empty lines are no records.
+    """
+    reader = spark.read.schema(T.StructType([*schema.fields, T.StructField(BROKEN, T.StringType())])).format(fmt)
+    rows = reader.options(**({"header": "true"} if fmt == "csv" else {}) | options).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", BROKEN).load(path)
+    return with_read_status(rows)
+
+
+def with_read_status(rows: DataFrame) -> DataFrame:
+    """Turn the reader's corrupt-record column into ``_status`` and ``_error``.
+
+    Readers parse only the fields that a query needs and notice no fault in others. The status therefore mentions every column,
+    so that a record has the same status in each query; queries that leave the status out still read their own columns only.
+    """
+    broken = F.lit(None).cast("string")
+    if BROKEN in rows.columns:
+        nothing = F.substring(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns if c != BROKEN]).cast("string"), 1, 0)
+        broken = F.concat(F.col(BROKEN), nothing)
+    own = lambda name: F.col(name) if name in rows.columns else F.lit(None).cast("string")
+    status = F.when(broken.isNotNull(), F.lit("corrupted")).otherwise(own("_status"))
+    error = F.when(broken.isNotNull(), F.concat(F.lit("unreadable record: "), broken)).otherwise(own("_error"))
+    kept = [F.col(f"`{c}`") for c in rows.columns if c not in (BROKEN, "_status", "_error")]
+    return rows.select(*kept, status.alias("_status"), error.alias("_error"))
+
+
 def text_columns(df: DataFrame, keep: tuple[str, ...] = ("_rowid",)) -> DataFrame:
     """Every cell as text, binary as lower-case hex, row identity kept."""
     shown = []
@@ -120,6 +158,17 @@ def rows_by_source(tables: dict[str, DataFrame]) -> DataFrame:
     return result.select("artifact", "_source_file", "rows")
 
 
+def observed(df: DataFrame, name: str) -> tuple[DataFrame, Observation]:
+    """The same rows, counted by the job that uses them: rows, and rows without and with a parse status, with no scan of their own.
+
+    The observation holds ``rows``, ``ok`` and ``failed`` once a job over the whole frame has ended.
+    """
+    seen = Observation(name)
+    failed = F.col("_status").isNotNull() if "_status" in df.columns else F.lit(False)
+    counts = [F.count(F.lit(1)).alias("rows"), F.count_if(~failed).alias("ok"), F.count_if(failed).alias("failed")]
+    return df.observe(seen, *counts), seen
+
+
 def status_counts(df: DataFrame, keys: list[str]) -> DataFrame:
     """Rows per parse status; a record without a status is fine."""
     return df.groupBy(*keys, F.coalesce(F.col("_status"), F.lit("ok")).alias("status")).agg(F.count(F.lit(1)).alias("rows"))
