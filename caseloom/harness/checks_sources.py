@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from caseloom.harness.checks_events import EV
 from caseloom.harness.registry import check
 from caseloom.harness.shapes import shape
-from caseloom.schemas import raw_schema
+from caseloom.operators.clustered import OrderedFiles
 from caseloom.session import scratch_folder
-from caseloom.sources import inventory, raw
+from caseloom.sources import inventory, raw, zone
 from caseloom.sources.sink import ResultSink
 
 EXPORTED = ["host_id", "timestamp", "Provider", "EventID", "EventData", "_source_file", "_rowid"]
@@ -102,3 +102,51 @@ def _(spark, sf):
     """All files twice, in two folders: the first path of each content stays."""
     both = inventory.digested(_written_files(spark, sf).unionByName(_written_files(spark, sf)))
     return inventory.same_content(both).select("folder", "length", "digest")
+
+
+# Layout --------------------------------------------------------------------------------------------------------------
+
+def _zone(spark, sf, name, table):
+    rows = shape(spark, sf, name)
+    folder = scratch_folder(spark, f"zone-{table}")
+    zone.write_zone(rows, folder, table)
+    return zone.read_zone(spark, folder, rows.schema, table)
+
+
+@check("s5_log_partitions", "ev", "SELECT log, EventID, _rowid, EventData FROM ev WHERE contains(lower(log), 'terminalservices')")
+def _(spark, sf):
+    """Logs by a part of their name: folders of other logs are not opened."""
+    return raw.logs_named(_zone(spark, sf, "ev", "events"), "TerminalServices").select("log", "EventID", "_rowid", "EventData")
+
+
+@check("s5_requested_logs", "ev", "SELECT log, _rowid, Provider FROM ev WHERE log IN (SELECT DISTINCT log FROM ev WHERE EventID IN ('4624', '1116'))")
+def _(spark, sf):
+    """Logs from a table of requests."""
+    requested = EV(spark, sf).filter("EventID in ('4624', '1116')")
+    return zone.of_logs(_zone(spark, sf, "ev", "events"), requested).select("log", "_rowid", "Provider")
+
+
+@check("s6_hive_partitions", "reg", """
+SELECT 'SYSTEM' AS scan, _rowid, key_path, value_name, value_data FROM reg WHERE upper(hive) = 'SYSTEM' AND (_recovery IS NULL OR _recovery = 'live')
+UNION ALL SELECT 'users', _rowid, key_path, value_name, value_data FROM reg WHERE upper(hive) LIKE '%NTUSER.DAT' AND (_recovery IS NULL OR _recovery = 'live')""".strip())
+def _(spark, sf):
+    rows = _zone(spark, sf, "reg", "registry")
+    found = lambda name, df: df.select(F.lit(name).alias("scan"), "_rowid", "key_path", "value_name", "value_data")
+    return found("SYSTEM", raw.hive(rows, "system")).unionByName(found("users", raw.user_hives(rows)))
+
+
+@check("p4_day_partitions", "ev", "SELECT _record_key AS record_key, timestamp, log FROM ev WHERE timestamp >= '2024-01-05 00:00:00.000' AND timestamp <= '2024-01-09 12:30:59.999'")
+def _(spark, sf):
+    rows = zone.between(_zone(spark, sf, "ev", "events"), "2024-01-05", "2024-01-09 12:30")
+    return rows.select(F.col("_record_key").alias("record_key"), "timestamp", "log")
+
+
+@check("o2_deep_page", "ev", """
+SELECT timestamp, _record_key AS record_key, host_id, true AS few_files FROM ev WHERE timestamp < '2024-01-05 00:00:00.000' ORDER BY timestamp DESC, _record_key DESC LIMIT 60""")
+def _(spark, sf):
+    """A page of the time-ordered event files, newest first, that begins days before the newest row."""
+    rows = EV(spark, sf).select("timestamp", F.col("_record_key").alias("record_key"), "host_id")
+    files = OrderedFiles(spark, scratch_folder(spark, "ordered"), ("timestamp", "record_key"), descending=True)
+    files.write(rows, rows_per_file=40)
+    page, opened = files.page(rows.schema, 60, {"timestamp": "2024-01-05 00:00:00.000", "record_key": ""})
+    return page.withColumn("few_files", F.lit(0 < opened <= 2 + 60 // 20))

@@ -7,7 +7,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from caseloom.sources import inventory, raw
+from caseloom.operators.clustered import OrderedFiles
+from caseloom.sources import inventory, raw, zone
 from caseloom.sources.sink import ResultSink, SinkError
 
 
@@ -171,3 +172,87 @@ def test_files_are_read_in_blocks(spark, tmp_path):
 def test_no_files(spark, tmp_path):
     (tmp_path / "a").write_bytes(b"x")
     assert inventory.digested(inventory.listed_files(spark, str(tmp_path)).limit(0), {"m": "x"}).count() == 0
+
+
+# --- layout ----------------------------------------------------------------------------------------------------------
+
+@pytest.fixture(scope="module")
+def events(spark, tmp_path_factory):
+    logs = ["Security", "System", "", "Odd/Name=1", None]
+    rows = [(logs[i % 5], f"2024-01-{1 + i % 9:02d} 10:00:00.000" if i % 11 else (None if i % 2 else ""), f"p{i % 3}", "f", i) for i in range(400)]
+    df = spark.createDataFrame(rows, "log string, timestamp string, Provider string, _source_file string, _rowid long")
+    path = str(tmp_path_factory.mktemp("zone") / "events")
+    zone.write_zone(df, path, "events")
+    return df, zone.read_zone(spark, path, df.schema, "events")
+
+
+def scan_line(df, part):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return next(line for line in plan.split(part)[1].splitlines() if line is not None)
+
+
+def opened(df):
+    return len({r[0] for r in df.select("_metadata.file_path").distinct().collect()})
+
+
+def test_zone_keeps_all_rows(events):
+    before, after = events
+    key = lambda df: sorted(map(str, df.selectExpr("nullif(log, \'\')", "timestamp", "Provider", "_source_file", "_rowid").collect()))
+    assert key(before) == key(after)
+
+
+def test_log_filter_reaches_the_folders(events):
+    found = raw.logs_named(events[1], "sec")
+    assert "lower(log" in scan_line(found, "PartitionFilters: ") and {r["log"] for r in found.collect()} == {"Security"}
+    assert 0 < opened(found) <= 10 < opened(events[1])
+
+
+def test_range_reaches_folders_and_statistics(events):
+    before, after = events
+    found = zone.between(after, "2024-01-03", "2024-01-04 23:00")
+    assert "day" in scan_line(found, "PartitionFilters: ") and "GreaterThanOrEqual(timestamp" in scan_line(found, "PushedFilters: ")
+    want = {r["_rowid"] for r in before.collect() if r["timestamp"] and "2024-01-03" <= r["timestamp"] < "2024-01-05"}
+    assert {r["_rowid"] for r in found.collect()} == want and zone.between(after).count() == 400
+
+
+def test_requested_logs_choose_folders_at_run_time(spark, events, tmp_path):
+    spark.createDataFrame([("System", 1), ("Odd/Name=1", 2), ("none", 1)], "log string, k int").write.parquet(str(tmp_path / "r"))
+    found = zone.of_logs(events[1], spark.read.parquet(str(tmp_path / "r")).filter("k = 1"))
+    assert "dynamicpruning" in scan_line(found, "PartitionFilters: ")
+    assert {r["log"] for r in found.collect()} == {"System"}
+
+
+def test_hive_filter_reaches_the_folders(spark, tmp_path):
+    rows = spark.createDataFrame([(h, m, "f", i) for i, (h, m) in enumerate([("SYSTEM", None), ("system", "live"), ("SYSTEM", ""), ("SAM", None), ("a_NTUSER.DAT", None)])],
+                                 "hive string, _recovery string, _source_file string, _rowid long")
+    zone.write_zone(rows, str(tmp_path / "z"), "registry")
+    read = zone.read_zone(spark, str(tmp_path / "z"), rows.schema, "registry")
+    found = raw.hive(read, "System")
+    assert sorted(r["_rowid"] for r in found.collect()) == [0, 1] and "upper(hive" in scan_line(found, "PartitionFilters: ")
+    assert "_recovery" in scan_line(found, "PushedFilters: ")
+    assert [r["_rowid"] for r in raw.user_hives(read).collect()] == [4]
+
+
+@pytest.mark.parametrize("descending", [False, True])
+def test_pages_read_few_files(spark, tmp_path, descending):
+    r = random.Random(8)
+    rows = [(None if i % 97 == 0 else f"t{r.randrange(300):03d}", i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "t string, i long").repartition(5)
+    files = OrderedFiles(spark, str(tmp_path / "o"), ("t", "i"), descending)
+    files.write(df, rows_per_file=100)
+    want = sorted(rows, key=lambda x: (x[0] is not None, x[0] or "", x[1]), reverse=descending)
+    total = files.index().count()
+    assert total >= 30 and files.index().selectExpr("sum(rows)").first()[0] == 3000
+    for place in (0, 1, 99, 100, 1500, 2950, 2999, 3000):
+        after = dict(zip(("t", "i"), want[place - 1])) if place else None
+        page, count = files.page(df.schema, 150, after)
+        assert list(map(tuple, page.collect())) == want[place:place + 150] and count <= 8
+    page, count = files.page(df.schema, 10, {"t": "" if descending else "u", "i": 0})
+    assert all(x["t"] is None for x in page.collect()) and count <= 8
+
+
+def test_pages_of_nothing(spark, tmp_path):
+    df = spark.createDataFrame([], "t string, i long")
+    files = OrderedFiles(spark, str(tmp_path / "o"), ("t", "i"))
+    files.write(df)
+    assert files.page(df.schema, 10)[0].count() == 0
