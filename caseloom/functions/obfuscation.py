@@ -13,12 +13,13 @@ from caseloom.functions import hexbin, urls
 from caseloom.functions.core import col
 
 # Names that keep their meaning and are never renamed.
-AUTOMATIC_VARIABLES = frozenset(
-    "_ true false null args input this pscmdlet psboundparameters matches error host home pwd pid profile psscriptroot "
-    "pscommandpath env foreach switch lastexitcode stacktrace ofs shellid executioncontext myinvocation nestedpromptlevel "
-    "consolefilename eventargs event eventsubscriber sender psversiontable allnodes global script local private using "
-    "variable workflow".split()
-)
+AUTOMATIC_VARIABLES = {
+    "_", "true", "false", "null", "args", "input", "this", "pscmdlet", "psboundparameters", "matches", "error",
+    "host", "home", "pwd", "pid", "profile", "psscriptroot", "pscommandpath", "env", "foreach", "switch",
+    "lastexitcode", "stacktrace", "ofs", "shellid", "executioncontext", "myinvocation", "nestedpromptlevel",
+    "consolefilename", "eventargs", "event", "eventsubscriber", "sender", "psversiontable", "allnodes", "global",
+    "script", "local", "private", "using", "variable", "workflow",
+}
 VARIABLE = re.compile(r"\$(\{[^}]+\}|[A-Za-z_][A-Za-z0-9_]*)")
 
 NORMALISED = T.StructType([
@@ -31,18 +32,18 @@ NORMALISED = T.StructType([
 
 def rename_variables(code: str) -> tuple[str, list[dict[str, str]]]:
     """User variables become ``$Value_n`` in first-seen order, ignoring case; returns the text and its legend."""
-    spelled: dict[str, str] = {}
+    # lower-case name -> (number, name as first written)
+    spelled: dict[str, tuple[int, str]] = {}
 
     def swap(found: re.Match[str]) -> str:
         name = found.group(1).strip("{}") if found.group(1).startswith("{") else found.group(1)
         folded = name.lower()
         if folded in AUTOMATIC_VARIABLES:
             return found.group(0)
-        spelled.setdefault(folded, name)
-        return f"$Value_{list(spelled).index(folded) + 1}"
+        return f"$Value_{spelled.setdefault(folded, (len(spelled) + 1, name))[0]}"
 
     renamed = VARIABLE.sub(swap, code)
-    return renamed, [{"alias": f"$Value_{i}", "original": f"${name}"} for i, name in enumerate(spelled.values(), 1)]
+    return renamed, [{"alias": f"$Value_{i}", "original": f"${name}"} for i, name in spelled.values()]
 
 
 @F.pandas_udf(NORMALISED)
@@ -56,10 +57,14 @@ def _replacements(value: Column) -> Column:
 
 
 def decode_base64(selection: Column | str) -> Column:
-    """Base64 as UTF-16LE or UTF-8, whichever has fewer replacement characters (a tie goes to UTF-16LE)."""
+    """Base64 as UTF-16LE or UTF-8, whichever has fewer replacement characters (a tie goes to UTF-16LE).
+
+    A byte left over at the end is half a UTF-16 character and counts as one replacement.
+    """
     cleaned = F.regexp_replace(col(selection), "[^A-Za-z0-9+/=]", "")
     raw = F.try_to_binary(F.when(F.length(cleaned) >= 4, cleaned), F.lit("base64"))
-    wide = hexbin.utf16_text(F.lower(F.hex(raw)))
+    half = F.when(F.octet_length(raw) % 2 == 1, F.lit("\ufffd")).otherwise("")
+    wide = F.concat(hexbin.utf16_text(F.lower(F.hex(raw))), half)
     narrow = F.make_valid_utf8(raw.cast("string"))
     use_wide = (F.length(wide) > 0) & (_replacements(wide) <= _replacements(narrow))
     return F.struct(

@@ -219,10 +219,14 @@ def _(spark, sf):
     return shape(spark, sf, "ai").select("_rowid", conversations.provider("url").alias("provider"))
 
 
-@check("f38_decoded_scripts", "ai", "SELECT _rowid, octet_length(from_base64(body_b64)) AS bytes FROM ai WHERE body_b64 <> ''")
+@check("f38_decoded_scripts", "ai", """
+SELECT _rowid, octet_length(b) AS bytes, CASE WHEN octet_length(b) % 2 = 0 THEN 'UTF-16LE' ELSE 'UTF-8' END AS encoding, CASE WHEN octet_length(b) % 2 = 1 THEN decode(b)
+  ELSE array_to_string(list_transform(range(1, len(hex(b)), 4), lambda i: chr(('0x' || substr(hex(b), i::INT + 2, 2) || substr(hex(b), i::INT, 2))::INT)), '') END AS output
+FROM (SELECT _rowid, from_base64(body_b64) AS b FROM ai WHERE body_b64 <> '')""")
 def _(spark, sf):
+    """Every pair of bytes of these bodies is some character, so an even number of bytes is a tie, which UTF-16LE wins."""
     rows = shape(spark, sf, "ai").filter("body_b64 <> ''").withColumn("d", obfuscation.decode_base64("body_b64"))
-    return rows.select("_rowid", F.col("d.bytes").cast("bigint").alias("bytes"))
+    return rows.select("_rowid", F.col("d.bytes").cast("bigint").alias("bytes"), "d.encoding", "d.output")
 
 
 # Tasks and reports ----------------------------------------------------------------------------------------------------
@@ -241,6 +245,11 @@ def _(spark, sf):
     return tasks_reports.task_overview(shape(spark, sf, "tasks"), KEYS).select("host_id", "timestamp", "task_name", "is_microsoft", "actions", "author", "uri")
 
 
+@check("p1_vendor_flag", "tasks", TASK_SQL + " SELECT task_name, uri, CASE WHEN vendor THEN '1' END AS is_microsoft FROM tk")
+def _(spark, sf):
+    return tasks_reports.task_overview(shape(spark, sf, "tasks"), KEYS).select("task_name", "uri", "is_microsoft")
+
+
 @check("q18_task_review", "tasks", TASK_SQL + " SELECT task_name, vendor, is_enabled, is_hidden, tags, review FROM tr")
 def _(spark, sf):
     return reviewed_tasks(spark, sf).select("task_name", "vendor", "is_enabled", "is_hidden", tags.tag_codes(F.col("tags")).alias("tags"), "review")

@@ -245,6 +245,18 @@ def session_rows(spark, sf):
     return table.withColumn("start_row", F.col("session_start._rowid"))
 
 
+@check("w4_gap_boundary", "", """
+c AS (SELECT c_custkey AS k FROM customer)
+SELECT k, CASE WHEN k % 3 = 1 AND EXISTS (SELECT 1 FROM c d WHERE d.k = c.k - 1) THEN k - 1 ELSE k END AS first_row FROM c""".strip())
+def _(spark, sf):
+    """Three events each: the second comes exactly one gap after the first and stays, the third a millisecond later than that."""
+    k = F.col("c_custkey").cast("bigint")
+    rows = spark.read.parquet(f"{sf}/customer.parquet").select(
+        k.alias("k"), F.floor(k / 3).alias("host_id"), (k % 3 * sessions.SESSION_GAP_MS + (k % 3 == 2).cast("int")).alias("t"))
+    found = ordered.cluster_sessions(rows, ordered.ScanOrder(("host_id",), "t", ("k",)), sessions.SESSION_GAP_MS)
+    return found.select("k", F.col("session_start.k").alias("first_row"))
+
+
 @check("a9_session_rollup", "ev", rdp_sql(SESSION_SQL + " SELECT " + ", ".join(SESSION_COLUMNS) + " FROM se"))
 def q4(spark, sf):
     return session_rows(spark, sf).select(*[c.strip('"') for c in SESSION_COLUMNS])
