@@ -68,6 +68,9 @@ scalar("f14_filetime", f"CASE WHEN len(raw_hex) >= 28 THEN {filetime('1330000000
 scalar("f15_browser_and_unix_time", f"CASE WHEN k % 4 = 3 THEN {kst('13348540800000000 + k * 1234567 - 11644473600000000')} END AS chrome, CASE WHEN k % 4 = 3 THEN {kst('(1704067200 + k * 61) * 1000000')} END AS unix, {kst('(45000 + k - 25569) * 86400000000 + 43200000000')} AS ole",
        chrome=lambda: times.chrome_time("chrome"), unix=lambda: times.unix_seconds("unix"), ole=lambda: times.ole_days(F.col("k") + F.lit(45000.5)))
 scalar("f16_hex_times", f"CASE WHEN len(raw_hex) >= 28 THEN {filetime('133000000000000000 + k * 864000000005')} END AS v", v=lambda: hexbin.filetime_hex("raw_hex"))
+_HALF_EVEN = "{0} // 1000 + CASE WHEN {0} % 1000 > 500 OR ({0} % 1000 = 500 AND {0} // 1000 % 2 <> 0) THEN 1 ELSE 0 END"
+scalar("f17_nanosecond_time", f"{kst('(' + _HALF_EVEN.format('(1704067200000000000 + k * 61000000250)') + ')')} AS v, {kst('(' + _HALF_EVEN.format('(999000 + k * 250)') + ')')} AS near",
+       v=lambda: times.filetime_ns(F.col("k") * F.lit(61_000_000_250) + F.lit(1_704_067_200_000_000_000)), near=lambda: times.filetime_ns(F.col("k") * F.lit(250) + F.lit(999_000)))
 scalar("f18_display_time", f"CASE k % 6 WHEN 0 THEN {kst('1704164645000000')} WHEN 1 THEN {kst('1704161045250000')} WHEN 5 THEN '2024-01-02 03:04:05.000' ELSE iso END AS v", v=lambda: times.zoned_or_local_time("iso"))
 scalar("f19_epoch_millis", "CASE WHEN k % 5 IN (0, 4) THEN epoch_ms(CAST(stamp AS TIMESTAMP)) END AS v", v=lambda: times.epoch_millis("stamp"))
 scalar("f21_payload_time", f"CASE k % 6 WHEN 0 THEN {kst('1704164645000000')} WHEN 1 THEN {kst('1704161045250000')} WHEN 2 THEN {kst('(1704067200 + k) * 1000000')} WHEN 3 THEN {kst('(1704067200000 + k) * 1000')} WHEN 5 THEN '2024-01-02 03:04:05.000' END AS v", v=lambda: times.payload_time("iso"))
