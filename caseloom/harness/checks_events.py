@@ -14,6 +14,7 @@ from caseloom.operators import compare, ordered, payloads, rollups
 from caseloom.operators.filters import Page, any_column_contains, column_filter, total_rows
 from caseloom.plans import accounts, defender, powershell, remote_access, search, sessions, timeline
 from caseloom.plans import registry_facts as rf
+from caseloom.session import scratch_folder
 from caseloom.sources import raw
 
 EV = lambda spark, sf: shape(spark, sf, "ev")
@@ -568,3 +569,26 @@ SELECT 'account' AS column_name, count(*) FILTER (_rowid % 90 <> 0 AND _rowid %
 def _(spark, sf):
     a, b = _versions(spark, sf)
     return compare.column_mismatches(a, b, ["record_key"])
+
+
+@check("u2_stored_differences", "ev", SMB_SQL + """,
+a AS (SELECT record_key, account, result FROM smb), b AS (SELECT record_key, CASE WHEN _rowid % 50 = 0 THEN 'changed' ELSE account END AS account, result FROM smb WHERE _rowid % 90 <> 0)
+SELECT 'left' AS side, * FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL SELECT 'right', * FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)""")
+def _(spark, sf):
+    """Two stored versions, narrowed down by digests of their key ranges before rows are compared."""
+    return compare.stored_row_differences(*_stored_versions(spark, sf), ["record_key"])
+
+
+@check("u2_stored_mismatches", "ev", SMB_SQL + """
+SELECT 'account' AS column_name, count(*) FILTER (_rowid % 90 <> 0 AND _rowid % 50 = 0) AS mismatches FROM smb UNION ALL SELECT 'result', 0 UNION ALL SELECT '(missing)', count(*) FILTER (_rowid % 90 = 0) FROM smb""")
+def _(spark, sf):
+    return compare.stored_column_mismatches(*_stored_versions(spark, sf), ["record_key"])
+
+
+def _stored_versions(spark, sf):
+    stored = []
+    for df in _versions(spark, sf):
+        folder = scratch_folder(spark, "version")
+        df.write.parquet(folder)
+        stored.append(spark.read.parquet(folder))
+    return stored

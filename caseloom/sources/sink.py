@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from caseloom.operators.compare import rows_digest
 from caseloom.sources.raw import observed, ordered_columns
 
 
@@ -26,11 +27,6 @@ class SinkError(RuntimeError):
     """A published table does not hold what its manifest says."""
 
 
-def row_digest(columns: list[str]) -> Column:
-    """Sum of row hashes: equal for equal rows in any order and any partitioning."""
-    return F.sum(F.xxhash64(*[F.col(c) for c in sorted(columns)]).cast("decimal(38,0)"))
-
-
 @dataclass(frozen=True)
 class ResultSink:
     """One result table in ``path``, partitioned by ``keys`` (text; empty and NULL are one host).
@@ -52,9 +48,9 @@ class ResultSink:
         counted, seen = observed(result, f"sink {run}")
         counted.write.mode("overwrite").partitionBy(*self.keys).parquet(self._rows(run))
         staged = self.spark.read.schema(result.schema).parquet(self._rows(run))
-        manifest = staged.groupBy(*self.keys).agg(F.count(F.lit(1)).alias("rows"), row_digest(result.columns).alias("digest"))
+        manifest = staged.groupBy(*self.keys).agg(F.count(F.lit(1)).alias("rows"), rows_digest(result.columns).alias("digest"))
         if hosts is not None:
-            empty = hosts.select(*self._key_texts()).distinct().select(*self.keys, F.lit(0).alias("no_rows"), F.lit(None).cast("decimal(38,0)").alias("no_digest"))
+            empty = hosts.select(*self._key_texts()).distinct().select(*self.keys, F.lit(0).alias("no_rows"), F.lit(None).cast("string").alias("no_digest"))
             manifest = manifest.unionByName(empty.toDF(*self.keys, "rows", "digest")).groupBy(*self.keys).agg(F.sum("rows").alias("rows"), F.max("digest").alias("digest"))
         manifest.withColumn("schema", F.lit(result.schema.json())).write.mode("overwrite").parquet(self._manifest(run))
         written = self.manifest(run).agg(F.sum("rows")).first()[0] or 0
@@ -78,7 +74,7 @@ class ResultSink:
     def verify(self, run: str) -> None:
         """Compare the run's hosts in the table with its manifest, by rows and digest."""
         table = self.read(run)
-        now = table.groupBy(*self.keys).agg(F.count(F.lit(1)).alias("rows_now"), row_digest(table.columns).alias("digest_now")).alias("now")
+        now = table.groupBy(*self.keys).agg(F.count(F.lit(1)).alias("rows_now"), rows_digest(table.columns).alias("digest_now")).alias("now")
         same = reduce(lambda a, b: a & b, [F.col(f"want.{k}").eqNullSafe(F.col(f"now.{k}")) for k in self.keys])
         both = self.manifest(run).alias("want").join(now, same, "left")
         wrong = both.filter((F.col("rows") != F.coalesce("rows_now", F.lit(0))) | ~F.col("digest").eqNullSafe(F.col("digest_now"))).limit(1).collect()
