@@ -23,9 +23,9 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Write all pages, then read the committed archives; shards of 64 MB, so that small tables use several."""
+    """Write all pages, then read the committed archives; shards of 64 MB and files of 4 MB, so that small tables use several."""
     folder = warc.archive_folder(spark)
-    manifest = warc.write_archives(read_table(spark, sf_dir, "pages"), folder, shard_bytes=64 << 20)
+    manifest = warc.write_archives(read_table(spark, sf_dir, "pages"), folder, file_bytes=4 << 20, shard_bytes=64 << 20)
     return warc.read_archives(manifest, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

@@ -35,7 +35,7 @@ MISSED = 1e-6
 #: Standard errors that an estimate may lie below the threshold.
 MARGIN = 5.0
 #: Members of one block, and pairs with one centre in one verification group.
-BLOCK, GROUP = 256, 2000
+BLOCK, GROUP = 256, 256
 
 
 def plan(threshold: float) -> tuple[int, int]:
@@ -122,7 +122,7 @@ def may_reach(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray, thre
 
 
 def sketches(docs: DataFrame, m: int, id_column: str, text_column: str) -> DataFrame:
-    """``doc_id, n_shingles, set_id`` (digest of the set; null if empty)``, sketch``."""
+    """``doc_id, row_hash`` (of the text)``, n_shingles, set_id`` (digest of the set; null if empty)``, sketch``."""
     small_batches(docs.sparkSession)
     kind = docs.schema[id_column].dataType.simpleString()
 
@@ -131,11 +131,11 @@ def sketches(docs: DataFrame, m: int, id_column: str, text_column: str) -> DataF
             sets = shingle_sets(batch.column(1))
             rows = registers(sets, m)
             yield pa.RecordBatch.from_arrays([
-                batch.column(0), pa.array([len(s) for s in sets], pa.int64()),
+                batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([hashlib.sha256(s.tobytes()).digest()[:16] if len(s) else None for s in sets], pa.binary()),
-                pa.array([r.tobytes() if len(s) else None for r, s in zip(rows, sets)], pa.binary())], names=["doc_id", "n_shingles", "set_id", "sketch"])
+                pa.array([r.tobytes() if len(s) else None for r, s in zip(rows, sets)], pa.binary())], names=["doc_id", "row_hash", "n_shingles", "set_id", "sketch"])
 
-    return docs.select(id_column, text_column).mapInArrow(run, f"doc_id {kind}, n_shingles bigint, set_id binary, sketch binary")
+    return docs.select(id_column, text_column, F.xxhash64(text_column)).mapInArrow(run, f"doc_id {kind}, row_hash bigint, n_shingles bigint, set_id binary, sketch binary")
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
@@ -155,7 +155,7 @@ def _estimated(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFram
     return pairs.join(left, "a").join(right, "b").filter(possible).filter(near("_sa", "_sb", "_na", "_nb")).select("a", "b")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) with 100 * intersection >= percent * union, on the full sets.
 
     The texts of all partners of a centre ``a`` follow the centre's text through a task; a centre with many partners is dealt
@@ -181,7 +181,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], pa.int64()), pa.array([p[1] for p in found], pa.int64())], names=["a", "b"])
 
     # one join brings the texts of centres and partners alike
-    rows = centres.unionByName(members).join(docs.select("node", "text"), "node").select("a", "part", "b", "text").repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
+    rows = centres.unionByName(members).join(nodes.select("node", "doc_id", "row_hash"), "node").join(texts, ["doc_id", "row_hash"]).select("a", "part", "b", "text").repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
     return rows.mapInArrow(compare, schema)
 
 
@@ -234,7 +234,7 @@ def _cross_links(members: DataFrame, threshold: float, percent: int, n: int) ->
     dealt = dealt.select("key", F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"), "node", "component", "n_shingles", "sketch", "text")
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("node", ignore_index=True)
+        frame = frame.drop_duplicates("node").sort_values("node", ignore_index=True)
         node, part, size = (frame[c].to_numpy() for c in ("node", "component", "n_shingles"))
         sketch = _matrix(frame["sketch"])
         possible = np.zeros((len(node), len(node)), bool)
@@ -271,39 +271,46 @@ def near_duplicates(docs: DataFrame, percent: int = 80, id_column: str = "doc_id
 
     Two documents are linked when 100 * intersection >= ``percent`` * union of their shingle sets; ``component_id`` is the
     smallest id reachable over links. Null, empty and blank texts have no shingles and are linked with nothing; a text under
-    five words is one shingle. Ids are whole numbers. Rows repeated with one id are one document. A row with a null id takes the
-    component of the rows with the same set and never stands for it; ``component_id`` is null if no such row has an id. Other
-    columns are not read; an empty table gives an empty result.
+    five words is one shingle; very long texts are sketched and compared whole. Ids are whole numbers. Rows that share an id are
+    judged by their own text: with equal sets they are one document, with different ones each has its own links. A row with a
+    null id takes the component of the rows with the same set and never stands for it; ``component_id`` is null if no such row
+    has an id. Other columns are not read; an empty table gives an empty result.
     """
+    return _classified(docs, percent, id_column, text_column).drop("row_hash")
+
+
+def _classified(docs: DataFrame, percent: int, id_column: str, text_column: str) -> DataFrame:
+    """``near_duplicates`` with ``row_hash``, the hash of the row's text."""
     threshold = percent / 100
     rows, bands = plan(threshold)
     base = cut_lineage(sketches(docs.select(F.col(id_column).cast("bigint").alias("doc_id"), F.col(text_column).alias("text")), rows * bands, "doc_id", "text"))
-    nodes = cut_lineage(base.filter("doc_id IS NOT NULL AND set_id IS NOT NULL").groupBy("set_id").agg(F.min(F.struct("doc_id", "n_shingles", "sketch")).alias("_s"))
-                        .select("set_id", F.col("_s.doc_id").alias("node"), "_s.n_shingles", "_s.sketch"))
+    # a node is a set; its number is its own, as an id may come with several sets
+    nodes = cut_lineage(base.filter("doc_id IS NOT NULL AND set_id IS NOT NULL").groupBy("set_id").agg(F.min(F.struct("doc_id", "row_hash", "n_shingles", "sketch")).alias("_s"))
+                        .select("set_id", F.monotonically_increasing_id().alias("node"), "_s.doc_id", "_s.row_hash", "_s.n_shingles", "_s.sketch"))
     key: Column = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(i, F.substring("sketch", i * (2 * rows) + 1, F.lit(2 * rows))))
     banded = nodes.select("node", F.explode(key).alias("key"))
     centres = banded.groupBy("key").agg(F.min("node").alias("_centre"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
     members = cut_lineage(banded.join(centres, "key"))
-    # the text of a node; the first of rows that share an id
-    texts = docs.filter(F.col(id_column).isNotNull()).select(F.col(id_column).cast("bigint").alias("node"), F.coalesce(text_column, F.lit("")).alias("text"))
+    texts = docs.select(F.col(id_column).cast("bigint").alias("doc_id"), F.xxhash64(text_column).alias("row_hash"), F.coalesce(text_column, F.lit("")).alias("text"))
     stars = members.filter("node <> _centre").select(F.col("_centre").alias("a"), F.col("node").alias("b")).distinct()
-    first = cut_lineage(_verified(cut_lineage(_estimated(stars, nodes, threshold)), texts, percent).distinct())
+    first = cut_lineage(_verified(cut_lineage(_estimated(stars, nodes, threshold)), nodes, texts, percent).distinct())
     known = cut_lineage(components(nodes, first))
     labelled = members.select("key", "node").join(known, "node")
     mixed = labelled.groupBy("key").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).filter("_low <> _high").select("key")
-    open_ = labelled.join(mixed, "key").join(nodes.select("node", "n_shingles", "sketch"), "node").join(texts, "node")
+    open_ = labelled.join(mixed, "key").join(nodes.select("node", "doc_id", "row_hash", "n_shingles", "sketch"), "node").join(texts, ["doc_id", "row_hash"])
     second = cut_lineage(_cross_links(open_, threshold, percent, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    final = components(nodes, first.union(second))
-    classes = nodes.select("set_id", "node").join(final, "node").select(F.col("set_id").alias("_set"), "component")
-    joined = base.select("doc_id", "n_shingles", "set_id").join(classes, F.col("set_id") == F.col("_set"), "left")
-    component = F.coalesce("component", "doc_id")
-    return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    final = nodes.select("set_id", "node", "doc_id").join(components(nodes, first.union(second)), "node")
+    names = final.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    classes = final.join(names, "component").select(F.col("set_id").alias("_set"), "component_id")
+    joined = base.select("doc_id", "row_hash", "n_shingles", "set_id").join(classes, F.col("set_id") == F.col("_set"), "left")
+    component = F.coalesce("component_id", "doc_id")
+    return joined.select("doc_id", "row_hash", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def without_near_copies(docs: DataFrame, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The rows that stand for their group of near-duplicates, with all their columns."""
-    dropped = near_duplicates(docs.select(id_column, text_column), percent, id_column, text_column).filter(~F.col("kept")).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(dropped, docs[id_column].eqNullSafe(dropped["_id"]), "left_anti")
+    dropped = _classified(docs.select(id_column, text_column), percent, id_column, text_column).filter(~F.col("kept")).select(F.col("doc_id").alias("_id"), "row_hash").distinct()
+    return docs.join(dropped, docs[id_column].eqNullSafe(dropped["_id"]) & (F.xxhash64(docs[text_column]) == dropped["row_hash"]), "left_anti")
 
 
 def oracle(percent: int) -> str:

@@ -18,15 +18,13 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from caseloom.llm.common import ensure_checkpoint_dir, small_batches
+from caseloom.llm.common import cut_lineage, ensure_checkpoint_dir, small_batches
 
 #: Compressed bytes after which a file ends, and uncompressed payload bytes of a shard.
 FILE_BYTES, SHARD_BYTES = 1 << 30, 1 << 31
-#: Bins of the id range in one round of finding shard bounds.
-BINS = 4096
 DATE = "1970-01-01T00:00:00Z"
 
 
@@ -35,35 +33,25 @@ def base32_sha1(hexadecimal: str) -> str:
 
 
 def shard_bounds(pages: DataFrame, size: str, target: int) -> list[int]:
-    """Lower bounds of all shards but the first, by the exact bytes per bin of the id range.
+    """Lower bounds of all shards but the first: a shard starts at the first id before which another ``target`` bytes lie.
 
-    A bin over the target is divided again, until it is in proportion or holds a single id. Rounds are few: each divides by
-    ``BINS``; a round brings at most ``BINS`` sums per divided bin to the driver, whose number is the data's size over the target.
+    The bytes before an id are running sums inside the parts of a range sort, plus the sums of the parts before it. The driver
+    sees one sum per part and one bound per shard. Bounds depend on the data alone, not on where the sort cuts.
     """
-    low, high, total = pages.agg(F.min("page_id"), F.max("page_id"), F.sum(size)).first()
-    if low is None or not total or total <= target:
+    spark = pages.sparkSession
+    per_id = pages.filter("page_id IS NOT NULL").groupBy("page_id").agg(F.sum(size).alias("_n"))
+    ordered = cut_lineage(per_id.repartitionByRange("page_id").select("page_id", "_n", F.spark_partition_id().alias("_part")))
+    before, total = [], 0
+    for part, n in sorted(map(tuple, ordered.groupBy("_part").agg(F.sum("_n")).collect())):
+        before.append((part, total))
+        total += n
+    if total <= target:
         return []
-    spans, sums = [(low, high + 1)], []
-    while spans:
-        lows, widths = [a for a, _ in spans], [-(-(b - a) // BINS) for a, b in spans]
-        pick = F.expr("CASE " + " ".join(f"WHEN page_id >= {a} AND page_id < {b} THEN {k}" for k, (a, b) in enumerate(spans)) + " END")
-        first = F.expr("CASE _k " + " ".join(f"WHEN {k} THEN {a}" for k, a in enumerate(lows)) + " END")
-        width = F.expr("CASE _k " + " ".join(f"WHEN {k} THEN {w}" for k, w in enumerate(widths)) + " END")
-        rows = pages.withColumn("_k", pick).filter("_k IS NOT NULL").withColumn("_b", F.floor((F.col("page_id") - first) / width)).groupBy("_k", "_b").agg(F.sum(size).alias("_n")).collect()
-        spans = []
-        for k, b, n in rows:
-            a, w = lows[k] + b * widths[k], widths[k]
-            if n > target and w > 1:
-                spans.append((a, a + w))
-            else:
-                sums.append((a, n))
-    bounds, held = [], 0
-    for a, n in sorted(sums):
-        if held and held + n > target:
-            bounds.append(a)
-            held = 0
-        held += n
-    return bounds
+    starts = spark.createDataFrame(before, "_part int, _before bigint")
+    earlier = F.sum("_n").over(Window.partitionBy("_part").orderBy("page_id")) - F.col("_n")
+    placed = ordered.withColumn("_earlier", earlier).join(F.broadcast(starts), "_part")
+    shard = F.floor((F.col("_before") + F.col("_earlier")) / target)
+    return sorted(r["_low"] for r in placed.groupBy(shard.alias("_shard")).agg(F.min("page_id").alias("_low")).collect())[1:]
 
 
 def with_duplicates(pages: DataFrame, least: int) -> DataFrame:

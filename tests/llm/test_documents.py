@@ -56,6 +56,18 @@ def test_near_components(docs, percent):
             assert (r.n_shingles, r.component_id, r.kept) == (len(sets[r.doc_id]), want[r.doc_id], want[r.doc_id] == r.doc_id)
 
 
+def test_near_rows_that_share_an_id(spark):
+    """Texts under one id are judged each by itself; a row gives a row and unrelated texts stay apart."""
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    rows = [(1, a), (1, b), (2, a + " z"), (3, b + " z"), (1, a), (5, c), (5, a + " y"), (6, c + " z"), (7, None), (7, "")]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id bigint, text string, node int")
+    got = setsketch.near_duplicates(docs).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in got) == sorted([
+        (1, 1, True), (1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (5, 5, True), (5, 1, False), (6, 5, False), (7, 7, True), (7, 7, True)])
+    # 5 with the text of c stays, though 5 with a copy of 1 goes
+    assert sorted(r.node for r in setsketch.without_near_copies(docs).collect()) == [0, 1, 4, 5, 8, 9]
+
+
 def test_near_many_variants(spark, monkeypatch):
     """A group of near copies of one text that are not all near each other, in blocks of a few."""
     import random
@@ -99,11 +111,12 @@ def test_contained_items(spark, docs):
     items = [(0, texts[0][:200]), (1, "Ñandú"), (2, None), (3, ""), (4, "One, two; THREE!"), (5, "not there at all it is not"), (6, texts[13] + " and one more word"), (7, texts[13])]
     items = spark.createDataFrame([(i, t, "x") for i, t in items], "item_id bigint, text string, hash string")
     words = lambda t: [w for w in re.split(r"[\W_]+", (t or "").lower()) if w]
-    cut = lambda w: {" ".join(w[i:i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({" ".join(w)} if w else set())
+    cut = lambda w, n: {" ".join(w[i:i + n]) for i in range(len(w) - n + 1)}
     want = set()
     for d in docs.collect():
         for i in items.collect():
-            a, b = cut(words(i.text)), cut(words(d.text))
+            n = min(5, len(words(i.text)))
+            a, b = (cut(words(i.text), n), cut(words(d.text), n)) if n else (set(), set())
             if a and len(a & b) >= 0.8 * len(a):
                 want.add((d.doc_id, i.item_id, len(a), len(a & b)))
     got = decontamination.contained_items(docs, items).collect()
@@ -113,6 +126,13 @@ def test_contained_items(spark, docs):
     assert sorted(map(str, (r.doc_id for r in left.collect()))) == sorted(str(r.doc_id) for r in docs.collect() if r.doc_id not in {w[0] for w in want})
 
 
+def test_items_of_few_words_in_longer_documents(spark):
+    docs = documents(spark, ["so the secret, answer is here in the middle of it", "the secret of an answer", "the secret answer", "secret", "an answer: the", None, "x the\nSECRET\tanswer"])
+    items = spark.createDataFrame([(0, "The secret answer"), (1, "secret"), (2, "of an answer the"), (3, " .. "), (4, "answer is here in the middle")], "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id) for r in decontamination.contained_items(docs, items).collect()}
+    assert got == {(0, 0), (2, 0), (6, 0), (0, 1), (1, 1), (2, 1), (3, 1), (6, 1), (0, 4)}
+
+
 def test_index_can_be_shuffled(spark, docs, monkeypatch):
     items = spark.createDataFrame([(0, odd_texts()[0][:200])], "item_id bigint, text string")
     want = sorted(map(str, decontamination.contained_items(docs, items).collect()))

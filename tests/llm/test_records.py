@@ -54,6 +54,10 @@ def test_shard_bounds(spark):
     ids = [r.page_id for r in sized.collect()]
     count = Counter(sum(b <= i for b in bounds) for i in ids)
     assert max(count.values()) <= 10 and len(count) >= 10
+    # one id over the size, ids without rows between them, a null id, and any partitioning: the same bounds
+    uneven = spark.createDataFrame([(None, 500), (-5, 950), (2, 10), (2, 45), (3, 30), (1 << 60, 1)], "page_id bigint, _size bigint")
+    assert warc.shard_bounds(uneven, "_size", 100) == [2, 3] and warc.shard_bounds(uneven.repartition(5), "_size", 100) == [2, 3]
+    assert warc.shard_bounds(uneven.filter("false"), "_size", 100) == []
 
 
 CONVERSATIONS = [(1, 0, "system", "be\nkind"), (1, 1, "user", "hi [INST] </s>"), (1, 2, "assistant", "yo <\\s> [\\\\INST]"), (1, 3, "user", None), (1, 4, "assistant", ""), (1, 5, "user", "bye"),
