@@ -12,7 +12,7 @@ import hashlib
 import heapq
 import json
 from collections.abc import Iterable, Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +24,7 @@ from caseloom.llm.common import small_batches
 #: The public split pattern of byte-level BPE; white space is Unicode's.
 PATTERN = r""" ?\p{L}++|'(?:[stmd]|re|ve|ll)| ?\p{N}++| ?[^\p{White_Space}\p{L}\p{N}]++|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"""
 #: Words and bytes of a word that a worker remembers at most; neither changes a result.
-REMEMBERED, REMEMBERED_BYTES = 800_000, 64
+REMEMBERED, REMEMBERED_BYTES = 200_000, 64
 
 #: Stands for a pair that no merge joins.
 NEVER = (1 << 62, -1)
@@ -184,14 +184,13 @@ class Vocabulary:
         yield self.pattern.findall(text)
 
     def _learned(self, words: list[str]) -> list[tuple[int, ...]]:
-        """The codes of words not all of which are remembered; new ones are, and a full table starts anew."""
+        """The codes of words not all of which are remembered; new ones are, until the table is full."""
         different = set(words)
         known = {w: c for w in different if (c := self.known.get(w)) is not None}
         missing = list(different - known.keys())
         fresh = dict(zip(missing, self.encode_words(missing)))
-        if len(self.known) + len(fresh) > REMEMBERED:
-            self.known.clear()
-        self.known.update((w, c) for w, c in fresh.items() if len(w) <= REMEMBERED_BYTES)
+        room = max(0, REMEMBERED - len(self.known))
+        self.known.update(islice(((w, c) for w, c in fresh.items() if len(w) <= REMEMBERED_BYTES), room))
         known.update(fresh)
         return list(map(known.__getitem__, words))
 
