@@ -406,10 +406,14 @@ h AS (SELECT 'events' AS table_name, CAST(event_id AS BIGINT) AS _rowid, 'event_
   UNION ALL SELECT 'documents', doc_id, CASE WHEN contains(lower(text), 'urc') THEN 'text' ELSE 'source' END, row_number() OVER (ORDER BY doc_id) FROM documents WHERE contains(lower(text), 'urc') OR contains(lower(source), 'urc'))"""
 
 
-def search_hits(spark, sf):
+def search_tables(spark, sf):
     read = lambda name, key: spark.read.parquet(f"{sf}/{name}.parquet").withColumn("host_id", F.lit("host0")).withColumn("_rowid", F.col(key).cast("bigint"))
     docs = read("documents", "doc_id").select("host_id", "_rowid", "text", "source")
-    return search.case_search({"events": read("events", "event_id").select("host_id", "_rowid", "event_type", "props"), "part": read("part", "p_partkey").select("host_id", "_rowid", "p_name"), "documents": docs}, " URC ")
+    return {"events": read("events", "event_id").select("host_id", "_rowid", "event_type", "props"), "part": read("part", "p_partkey").select("host_id", "_rowid", "p_name"), "documents": docs}
+
+
+def search_hits(spark, sf):
+    return search.case_search(search_tables(spark, sf), " URC ")
 
 
 @check("q14_case_search", "", SEARCH_SQL.strip() + " SELECT table_name, _rowid, match_column FROM h")

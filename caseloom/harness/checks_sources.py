@@ -7,10 +7,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from caseloom.harness.checks_activity import SEARCH_SQL, search_tables
 from caseloom.harness.checks_events import EV
 from caseloom.harness.registry import check
 from caseloom.harness.shapes import shape
 from caseloom.operators.clustered import OrderedFiles
+from caseloom.operators.postings import PostedTables
+from caseloom.plans import search
 from caseloom.session import scratch_folder
 from caseloom.sources import inventory, raw, zone
 from caseloom.sources.sink import ResultSink
@@ -150,3 +153,25 @@ def _(spark, sf):
     files.write(rows, rows_per_file=40)
     page, opened = files.page(rows.schema, 60, {"timestamp": "2024-01-05 00:00:00.000", "record_key": ""})
     return page.withColumn("few_files", F.lit(0 < opened <= 2 + 60 // 20))
+
+
+def _posted(spark, sf):
+    """The searched tables in two runs, by halves of their ids."""
+    index = PostedTables(spark, scratch_folder(spark, "posted"))
+    for run, parity in (("even", 0), ("odd", 1)):
+        index.add({name: df.filter(F.col("_rowid") % 2 == parity) for name, df in search_tables(spark, sf).items()}, run, rows_per_file=20_000)
+    return index
+
+
+@check("q14_indexed_search", "", SEARCH_SQL.strip() + " SELECT table_name, _rowid, match_column FROM h")
+def _(spark, sf):
+    return search.indexed_search(_posted(spark, sf), " URC ").select("table_name", "_rowid", "match_column")
+
+
+@check("p8_short_indexed_search", "", """
+SELECT 'part' AS table_name, CAST(p_partkey AS BIGINT) AS _rowid, 'p_name' AS match_column FROM part WHERE contains(lower(p_name), 'zu')
+UNION ALL SELECT 'events', event_id, CASE WHEN contains(lower(event_type), 'zu') THEN 'event_type' ELSE 'props' END FROM events WHERE contains(lower(event_type), 'zu') OR contains(lower(CAST(props AS VARCHAR)), 'zu')
+UNION ALL SELECT 'documents', doc_id, CASE WHEN contains(lower(text), 'zu') THEN 'text' ELSE 'source' END FROM documents WHERE contains(lower(text), 'zu') OR contains(lower(source), 'zu')""")
+def _(spark, sf):
+    """A needle shorter than a gram is looked up as the beginning of one."""
+    return search.indexed_search(_posted(spark, sf), "ZU").select("table_name", "_rowid", "match_column")

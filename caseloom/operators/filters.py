@@ -26,7 +26,7 @@ def column_filter(column: str, value: str, mode: str = "contains") -> Column:
 def any_column_contains(columns: list[str], needle: str) -> Column:
     if not needle.strip():
         return F.lit(True)
-    return any_of([contains_folded(F.col(c).cast("string"), needle) for c in columns])
+    return any_of([contains_folded(F.col(f"`{c}`").cast("string"), needle) for c in columns])
 
 
 def untimed_or_in_range(ts: Column | str, start: str | None, end: str | None) -> Column:

@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 from caseloom.functions.text import contains_folded
 from caseloom.operators import ordered
 from caseloom.operators.filters import any_column_contains
+from caseloom.operators.postings import PostedTables
 from caseloom.plans.common import HOST, union_all
 
 # Fixed value: shortest query.
 MIN_QUERY = 2
+#: Columns of hits, for a case without any file to search.
+HITS = "host_id string, table_name string, _rowid bigint, match_column string, row string"
 
 
 def table_hits(df: DataFrame, table: str, query: str, keys: list[str] = HOST, per_table: int | None = None) -> DataFrame:
@@ -24,8 +27,8 @@ def table_hits(df: DataFrame, table: str, query: str, keys: list[str] = HOST, pe
     found = df.filter(any_column_contains(columns, query))
     if per_table is not None:
         found = ordered.top_per_key(found, keys, [F.col("_rowid")], per_table)
-    match = F.coalesce(*[F.when(contains_folded(F.col(c).cast("string"), query), F.lit(c)) for c in columns])
-    return found.select(*keys, F.lit(table).alias("table_name"), "_rowid", match.alias("match_column"), F.to_json(F.struct(*columns)).alias("row"))
+    match = F.coalesce(*[F.when(contains_folded(F.col(f"`{c}`").cast("string"), query), F.lit(c)) for c in columns])
+    return found.select(*keys, F.lit(table).alias("table_name"), "_rowid", match.alias("match_column"), F.to_json(F.struct(*[F.col(f"`{c}`") for c in columns])).alias("row"))
 
 
 def case_search(tables: dict[str, DataFrame], query: str, keys: list[str] = HOST, per_table: int | None = None, total: int | None = None) -> DataFrame | None:
@@ -40,6 +43,16 @@ def case_search(tables: dict[str, DataFrame], query: str, keys: list[str] = HOST
     return hits.orderBy(*keys, "table_name", "_rowid").limit(total) if total is not None else hits
 
 
+def indexed_search(index: PostedTables, query: str, keys: list[str] = HOST) -> DataFrame | None:
+    """The hits of ``case_search`` over stored tables; files that cannot hold the text are not opened."""
+    needle = query.strip()
+    if len(needle) < MIN_QUERY:
+        return None
+    tables, _, _ = index.narrowed(needle)
+    hits = [table_hits(df, name, needle, keys) for name, df in tables]
+    return union_all(hits) if hits else index.spark.createDataFrame([], HITS)
+
+
 def hit_groups(hits: DataFrame, current_host: str | None = None, keys: list[str] = HOST) -> DataFrame:
     """Hits per host and table, the current host first."""
     own = F.col("host_id") == F.lit(current_host)
