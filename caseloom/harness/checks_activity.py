@@ -371,11 +371,11 @@ def _(spark, sf):
     return timeline.facet_counts(tl(spark, sf))
 
 
-@check("p13_timeline_admission", "ev " + BR_SHAPES, ACT_SQL + " SELECT 'BrowserActivity' AS source, count(*) AS rows FROM act WHERE kind IN ('visit', 'download') UNION ALL SELECT 'EventLog', count(*) FROM ev WHERE _rowid % 9 <> 0")
+@check("p13_timeline_admission", "ev " + BR_SHAPES, ACT_SQL + " SELECT host_id, 'BrowserActivity' AS table_name, timestamp, coalesce(nullif(url, ''), nullif(url_raw, ''), nullif(title, ''), '(no address)') AS url FROM act WHERE kind IN ('visit', 'download') UNION ALL SELECT host_id, log, timestamp, NULL FROM ev WHERE _rowid % 9 <> 0")
 def _(spark, sf):
     heartbeat = shape(spark, sf, "ev").withColumn("EventID", F.when(F.col("_rowid") % 9 == 0, " 0").otherwise(F.coalesce("EventID", F.lit(""))))
-    count = lambda df, name: df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("source"), "rows")
-    return count(timeline.browser_entries(act(spark, sf)), "BrowserActivity").unionByName(count(timeline.event_entries(heartbeat), "EventLog"))
+    shown = lambda df, url: df.select("host_id", "table_name", "timestamp", url.alias("url"))
+    return shown(timeline.browser_entries(act(spark, sf)), F.col("title")).unionByName(shown(timeline.event_entries(heartbeat), F.lit(None).cast("string")))
 
 
 @check("q23_time_points", "links", """

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from caseloom.functions import lookups, tags
@@ -30,12 +32,12 @@ def path_tags(p: str) -> str:
 # Registry scans -------------------------------------------------------------------------------------------------------
 
 @check("s6_hive_scans", "reg", f"""
-SELECT 'SYSTEM' AS scan, count(*) AS rows FROM reg WHERE upper(hive) = 'SYSTEM' AND {LIVE} UNION ALL SELECT 'users', count(*) FROM reg WHERE upper(hive) LIKE '%NTUSER.DAT' AND {LIVE}
-UNION ALL SELECT 'all', count(*) FROM reg WHERE {LIVE}""".strip())
+SELECT 'SYSTEM' AS scan, _source_file, _rowid, key_path FROM reg WHERE upper(hive) = 'SYSTEM' AND {LIVE} UNION ALL SELECT 'users', _source_file, _rowid, key_path FROM reg WHERE upper(hive) LIKE '%NTUSER.DAT' AND {LIVE}
+UNION ALL SELECT 'all', _source_file, _rowid, key_path FROM reg WHERE {LIVE}""".strip())
 def _(spark, sf):
     reg = shape(spark, sf, "reg")
-    count = lambda df, name: df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("scan"), "rows")
-    return count(raw.hive(reg, "system"), "SYSTEM").unionByName(count(raw.user_hives(reg), "users")).unionByName(count(raw.live_hives(reg), "all"))
+    found = lambda df, name: df.select(F.lit(name).alias("scan"), "_source_file", "_rowid", "key_path")
+    return found(raw.hive(reg, "system"), "SYSTEM").unionByName(found(raw.user_hives(reg), "users")).unionByName(found(raw.live_hives(reg), "all"))
 
 
 @check("s7_live_rows", "reg", f"SELECT _rowid, {LIVE} AS live FROM reg")
@@ -160,9 +162,41 @@ def _(spark, sf):
     return rf.network_interfaces(shape(spark, sf, "facts")).select("host_id", "name", "value", "dhcp_enabled", "subnet_mask", "lease_obtained")
 
 
+def shown_facts(spark, sf):
+    """Facts as an overview holds them: empty values come first, each row is repeated at the end, and later ones differ."""
+    facts = shape(spark, sf, "facts")
+    columns = ["host_id", "category", "name", "value", "timestamp", "subnet_mask"]
+    pick = lambda df, place, **new: df.withColumns({c: F.lit(None).cast("string") for c in columns if c not in df.columns}).withColumns(new).select(*columns, F.lit(place).alias("place"))
+    system, faces = rf.system_facts(facts), rf.network_interfaces(facts)
+    later = F.concat("value", F.lit(" later"))
+    parts = [pick(system, 9, value=later), pick(system, 2), pick(system, 1, value=F.lit("")), pick(system, 9), pick(rf.networks(facts), 1), pick(rf.networks(facts), 5),
+             pick(faces, 7, subnet_mask=F.lit("later")), pick(faces, 3), pick(faces, 8)]
+    rows = reduce(lambda a, b: a.unionByName(b), parts)
+    return rf.deduplicated_facts(rows.withColumn("log", F.lit("overview")), ["log", "place"])
+
+
+SHOWN_SQL = FACT_SQL + "," + NET_SQL.strip()
+
+
 @check("a13_deduplicated_facts", "facts", NET_SQL + " SELECT host_id, value AS name, max(timestamp) AS timestamp FROM nets GROUP BY 1, 2")
 def _(spark, sf):
-    return rf.deduplicated_facts(rf.networks(shape(spark, sf, "facts")))["networks"]
+    return shown_facts(spark, sf)["networks"]
+
+
+@check("a13_first_system_values", "facts", SHOWN_SQL + " SELECT host_id, name, nullif(value, '') AS value FROM sysfacts")
+def _(spark, sf):
+    return shown_facts(spark, sf)["system"]
+
+
+@check("a13_first_interfaces", "facts", SHOWN_SQL + " SELECT host_id, name, value, subnet_mask, 3 AS place FROM faces1")
+def _(spark, sf):
+    return shown_facts(spark, sf)["interfaces"].select("host_id", "name", "value", "subnet_mask", "place")
+
+
+@check("a13_distinct_rows", "facts", SHOWN_SQL + """
+SELECT DISTINCT host_id, name, value, timestamp, place FROM (SELECT host_id, 'connected network' AS name, value, timestamp, 1 AS place FROM nets UNION ALL SELECT host_id, name, value, NULL, 3 FROM faces1)""")
+def _(spark, sf):
+    return shown_facts(spark, sf)["rows"].filter("category in ('Network', 'NetworkInterface')").select("host_id", "name", "value", "timestamp", "place")
 
 
 @check("j10_host_addresses", "facts", NET_SQL + " SELECT value AS ip, min(host_id) AS peer_host FROM faces1 GROUP BY 1")
@@ -338,9 +372,9 @@ def _(spark, sf):
     return ex.review_filter(ex.review(history(spark, sf)), ("BAM",), exclude_system=True, only_risk=True, search=" Ring ").select("record_key", "risk")
 
 
-@check("p15_system_paths", EXEC_SHAPES, REVIEW_SQL + " SELECT system_path, count(*) AS rows FROM rv GROUP BY 1")
+@check("p15_system_paths", EXEC_SHAPES, REVIEW_SQL + " SELECT record_key, program_path, system_path FROM rv")
 def _(spark, sf):
-    return ex.review(history(spark, sf)).groupBy("system_path").agg(F.count(F.lit(1)).alias("rows"))
+    return ex.review(history(spark, sf)).select("record_key", "program_path", "system_path")
 
 
 @check("o5_risk_order", EXEC_SHAPES, REVIEW_SQL + " SELECT record_key, risk, timestamp FROM rv ORDER BY risk DESC, coalesce(timestamp, '') DESC, record_key LIMIT 40")

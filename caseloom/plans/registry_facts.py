@@ -200,17 +200,24 @@ def target_info(registry: DataFrame, keys: list[str] = HOST) -> DataFrame:
     return union_all([system_facts(registry, keys), accounts(registry, keys), networks(registry, keys), network_interfaces(registry, keys)])
 
 
-def deduplicated_facts(info: DataFrame, keys: list[str] = HOST, order: Column | None = None) -> dict[str, DataFrame]:
-    """Display facts: repeated rows removed, the first non-empty value per system fact, the latest row per network, one
-    per interface. Without an ``order`` the smallest value stands for the first.
+def deduplicated_facts(info: DataFrame, order: list[str], keys: list[str] = HOST) -> dict[str, DataFrame]:
+    """Display facts by the order of the rows, which the named columns give: the rows without repetitions, the first non-empty
+    value per system fact (null if it has none), the latest time per network, the first row per interface and address.
+
+    All are aggregates with a partial step, so repeated rows are combined before the shuffle.
     """
-    rows = info.dropDuplicates([*keys, "category", "name", "value", "timestamp"])
-    system = rows.filter(F.col("category").isin("SystemInfo", "OS", "System"))
-    shown = first_present("value", "timestamp")
+    place = F.struct(*order)
+
+    def first(rows: DataFrame, by: list[str]) -> DataFrame:
+        rest = [c for c in rows.columns if c not in (*keys, *by)]
+        return rows.groupBy(*keys, *by).agg(F.min_by(F.struct(*rest), place).alias("_first")).select(*keys, *by, "_first.*")
+
+    category, shown = F.col("category"), first_present("value", "timestamp")
     return {
-        "system": system.groupBy(*keys, "name").agg(F.min_by(shown, F.when(shown.isNotNull(), shown if order is None else order)).alias("value")),
-        "networks": rows.filter(F.col("category") == "Network").groupBy(*keys, F.col("value").alias("name")).agg(F.max("timestamp").alias("timestamp")),
-        "interfaces": rows.filter((F.col("category") == "NetworkInterface") & F.col("value").isNotNull()).dropDuplicates([*keys, "value", "name"]),
+        "rows": first(info, ["category", "name", "value", "timestamp"]),
+        "system": info.filter(category.isin("SystemInfo", "OS", "System")).groupBy(*keys, "name").agg(F.min_by(shown, F.when(shown.isNotNull(), place)).alias("value")),
+        "networks": info.filter(category == "Network").groupBy(*keys, F.col("value").alias("name")).agg(F.max("timestamp").alias("timestamp")),
+        "interfaces": first(info.filter((category == "NetworkInterface") & F.col("value").isNotNull()), ["value", "name"]),
     }
 
 
