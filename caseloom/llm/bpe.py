@@ -19,7 +19,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from caseloom.llm.common import small_batches
+from caseloom.llm.common import slices, small_batches
 
 #: The public split pattern of byte-level BPE; white space is Unicode's.
 PATTERN = r""" ?\p{L}++|'(?:[stmd]|re|ve|ll)| ?\p{N}++| ?[^\p{White_Space}\p{L}\p{N}]++|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"""
@@ -265,7 +265,7 @@ def _mapped(docs, tokenizer_path, id_column, text_column, row, fields, schema):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(content.value)
-        for batch in batches:
+        for batch in slices(batches, 1):
             rows = []
             for text in batch.column(1):
                 text = text.as_py() or ""

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseloom.session import cut_lineage, ensure_checkpoint_dir
 
-__all__ = ["SPACE", "cut_lineage", "ensure_checkpoint_dir", "in_order", "lower_ascii", "once", "read_table", "small_batches", "words"]
+__all__ = ["SPACE", "cut_lineage", "ensure_checkpoint_dir", "in_order", "lower_ascii", "once", "read_table", "slices", "small_batches", "words"]
 
 #: The six white-space characters that separate words.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -24,6 +29,19 @@ def small_batches(spark: SparkSession, size: str = "4m") -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
+def slices(batches: Iterator[pa.RecordBatch], column: str | int = "text", size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in slices of about ``size`` bytes of text (a longer text is a slice of its own), which are not copied.
+
+    Bounds what a task takes for a batch, where it needs many times the bytes of the text.
+    """
+    for batch in batches:
+        lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        number = (np.cumsum(lengths) - lengths) // size
+        starts = np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1]])) if len(number) else []
+        for at, end in zip(starts, [*starts[1:], batch.num_rows]):
+            yield batch.slice(at, end - at)
+
+
 def once(df: DataFrame, name: str, value: Column) -> DataFrame:
     """Add a value that is computed once per row; a plain projection would be copied into every later use of it."""
     held = df.withColumn("_held", value)

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caseloom.llm import rolling
-from caseloom.llm.common import cut_lineage, small_batches
+from caseloom.llm.common import cut_lineage, slices, small_batches
 
 #: Labelled rows that the trigram table is fitted on, about, and its size.
 TRAINING_ROWS, BINS = 4000, 1 << 15
@@ -98,7 +98,7 @@ def fit_text_model(labelled: DataFrame, text_column: str = "text", language_colu
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in slices(batches):
             bins, row = _trigrams(batch.column("text"))
             names = batch.column("lang").to_pylist()
             for name in set(names):
@@ -125,7 +125,7 @@ def fit_text_model(labelled: DataFrame, text_column: str = "text", language_colu
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, counts = shared.value
         total, sums = counts.sum(axis=1), np.zeros((len(names), 6))
-        for batch in batches:
+        for batch in slices(batches):
             bins, row = _trigrams(batch.column("text"))
             number = np.array([names.index(n) for n in batch.column("lang").to_pylist()], np.int64)
             n = np.bincount(row, minlength=batch.num_rows)
@@ -168,7 +168,7 @@ def _text_evidence(rows: DataFrame, model: TextModel, markup: bool) -> DataFrame
     carried = ["key", "declared", "suffix", "host", "domain"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             text = batch.column("text")
             if markup:
                 text = pa.array([visible_text(t or "") for t in text.to_pylist()], pa.string())

@@ -251,3 +251,13 @@ def test_hashes_do_not_depend_on_slices(monkeypatch):
                                       lambda d: bpe.token_digests(d, queries.tokenizer_path()), lambda d: decontamination.contained_items(d, d.selectExpr("doc_id as item_id", "text"))])
 def test_empty_table(docs, operator):
     assert operator(docs.limit(0)).count() == 0
+
+
+def test_slices_keep_all_rows():
+    import pyarrow as pa
+
+    from caseloom.llm.common import slices
+    batch = pa.RecordBatch.from_pydict({"i": list(range(8)), "text": ["a" * 4, None, "", "é" * 30, "b" * 5, "c" * 5, "d" * 9, None]}, schema=pa.schema([("i", pa.int64()), ("text", pa.string())]))
+    parts = list(slices(iter([batch, batch.slice(3, 2), batch.slice(0, 0)]), size=10))
+    assert sum((p.to_pylist() for p in parts), []) == batch.to_pylist() + batch.slice(3, 2).to_pylist()
+    assert len(parts) > 4 and all(sum(len((t or "").encode()) for t in p.column("text").to_pylist()[1:]) <= 70 for p in parts)
