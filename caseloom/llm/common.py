@@ -10,7 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseloom.session import cut_lineage, ensure_checkpoint_dir
+from caseloom.session import cut_lineage as _stored
+from caseloom.session import ensure_checkpoint_dir
 
 __all__ = ["SPACE", "cut_lineage", "ensure_checkpoint_dir", "in_order", "lower_ascii", "once", "read_table", "slices", "small_batches", "words"]
 
@@ -20,6 +21,14 @@ SPACE = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """A stored copy of ``df``. Shuffle files of earlier steps go when the driver collects the plans that made them, which it
+    may put off until they fill the executors' disks; so it collects here, where a step has ended."""
+    done = _stored(df)
+    df.sparkSession._jvm.System.gc()
+    return done
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
