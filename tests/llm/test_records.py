@@ -241,3 +241,24 @@ def test_pipeline(spark):
     for r in kept:
         assert rows[r.doc_id].ids == library.encode(r.text or "", add_special_tokens=False).ids
         assert rows[r.doc_id].decoded_sha256 == hashlib.sha256((r.text or "").encode()).hexdigest()
+
+
+def seated_one_by_one(customers, weight, discount):
+    """Probabilities of each number of tables when every customer is seated alone."""
+    at = np.zeros(customers + 1)
+    at[1] = 1
+    for seated in range(1, customers):
+        tables = np.arange(customers + 1)
+        new = np.where(at > 0, weight / np.maximum(weight + seated - discount * tables, 1e-9), 0)
+        at = at * (1 - new) + np.concatenate([[0], (at * new)[:-1]])
+    return at
+
+
+@pytest.mark.parametrize("customers, weight, discount", [(40, 6.0, 0.75), (200, 0.75, 0.75), (30, 200.0, 0.5), (2, 1.0, 0.0)])
+def test_tables_are_those_of_single_seating(customers, weight, discount):
+    n = 60_000
+    tables = pitman_yor.tables_of(np.full(n, customers), np.full(n, weight), discount, np.random.default_rng(7))
+    want = seated_one_by_one(customers, weight, discount)
+    got = np.bincount(tables, minlength=customers + 1) / n
+    assert len(got) == customers + 1 and 0.5 * np.abs(got - want).sum() < 0.012
+    assert pitman_yor.tables_of(np.array([0, 1]), np.ones(2), discount, np.random.default_rng(1)).tolist() == [0, 1]
