@@ -78,9 +78,8 @@ def report_lines(text: Column) -> Column:
     )
 
 
-def _family_array(lines: Column, family: Column) -> Column:
-    """JSON array of one family by index. A plain value replaces what came before; members build an object."""
-    own = F.filter(lines, lambda p: p["family"] == family)
+def _family_array(own: Column) -> Column:
+    """JSON array of the lines of one family by index. A plain value replaces what came before; members build an object."""
     indexes = F.array_sort(F.array_distinct(F.transform(own, lambda p: p["index"])))
     empty = F.struct(
         F.lit(None).cast("string").alias("plain"),
@@ -113,12 +112,16 @@ def error_reports(files: DataFrame, path: str = "path", content: str = "text") -
     scalars = F.transform(
         F.filter("_lines", lambda p: p["family"].isNull()), lambda p: F.struct(p["key"].alias("k"), p["value"].alias("v"))
     )
-    rows = with_computed(lines, "_scalars", _last_by_key(scalars)).withColumn(
-        "_families", F.array_distinct(F.transform(F.filter("_lines", lambda p: p["family"].isNotNull()), lambda p: p["family"]))
-    )
+    # every list is made once, as what stands inside a lambda is computed for each element
+    single = with_computed(lines, "_pairs", scalars)
+    rows = with_computed(single, "_scalars", _last_by_key(F.col("_pairs")))
+    rows = with_computed(rows, "_indexed", F.filter("_lines", lambda p: p["family"].isNotNull()))
+    family = F.array_distinct(F.transform("_indexed", lambda p: p["family"]))
+    rows = with_computed(rows, "_families", F.transform(
+        family, lambda f: F.struct(f.alias("k"), F.filter("_indexed", lambda p: p["family"] == f).alias("own"))))
     pick = lambda name: blank_to_null(F.get(F.filter("_scalars", lambda p: p["k"] == name), F.lit(0))["v"])
     scalar_json = F.transform("_scalars", lambda p: F.struct(p["k"].alias("k"), _quoted(p["v"]).alias("v")))
-    family_json = F.transform("_families", lambda f: F.struct(f.alias("k"), _family_array(F.col("_lines"), f).alias("v")))
+    family_json = F.transform("_families", lambda f: F.struct(f["k"].alias("k"), _family_array(f["own"]).alias("v")))
     return rows.select(
         *keys,
         times.filetime(pick("EventTime").try_cast("bigint")).alias("timestamp"),
