@@ -256,3 +256,13 @@ def test_pages_of_nothing(spark, tmp_path):
     files = OrderedFiles(spark, str(tmp_path / "o"), ("t", "i"))
     files.write(df)
     assert files.page(df.schema, 10)[0].count() == 0
+
+
+def test_short_stretches_share_files(spark, tmp_path):
+    """An index row for every 10 rows, but no file for them alone."""
+    files = OrderedFiles(spark, str(tmp_path / "o"), ("i",))
+    files.write(spark.range(2000).selectExpr("id AS i"), rows_per_file=10)
+    index = files.index().collect()
+    assert len(index) >= 200 and max(r["rows"] for r in index) <= 10 and len({r["file"] for r in index}) <= 8
+    page, opened = files.page(spark.range(0).selectExpr("id AS i").schema, 25, {"i": 994})
+    assert [r["i"] for r in page.collect()] == list(range(995, 1020)) and opened <= 2
