@@ -13,6 +13,8 @@ from caseloom.plans.common import HOST, union_all
 
 # Fixed value: shortest query.
 MIN_QUERY = 2
+#: Joined rows of one link value that one task makes.
+PAIRS_PER_PART = 20_000_000
 #: Columns of hits, for a case without any file to search.
 HITS = "host_id string, table_name string, _rowid bigint, match_column string, row string"
 
@@ -69,9 +71,31 @@ def linked_rows(df: DataFrame, column: str, value: Column | str, search: str = "
 
 
 def link(left: DataFrame, left_column: str, right: DataFrame, right_column: str, keys: list[str] = HOST, how: str = "inner") -> DataFrame:
-    """Follow a link between two evidence tables, within a host."""
+    """Follow a link between two evidence tables, within a host. ``how``: inner or left.
+
+    Every pair is a row, so a few values shared by many rows are most of the work. Both sides are dealt by link, and a value
+    with more than ``PAIRS_PER_PART`` pairs in parts: its rows on one side are split, those on the other meet each part.
+    """
     target = right.select(*keys, F.col(right_column).alias(left_column), *[F.col(c).alias(f"linked_{c}") for c in right.columns if c not in (*keys, right_column)])
-    return left.join(target, [*keys, left_column], how)
+    on = [*keys, left_column]
+    sizes = left.groupBy(*on).agg(F.count(F.lit(1)).alias("_left")).join(target.groupBy(*on).agg(F.count(F.lit(1)).alias("_right")), on)
+    # a row of a left join without a partner in its part would count as one without any
+    split_left = F.col("_left") > F.col("_right") if how == "inner" else F.lit(True)
+    many = sizes.withColumn("_parts", F.ceil(F.col("_left") * F.col("_right") / F.lit(PAIRS_PER_PART)).cast("int")).filter("_parts > 1")
+    many = many.select(*on, "_parts", split_left.alias("_split_left"))
+    # a given number, as few bytes may make many pairs
+    tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def dealt(rows: DataFrame, split: Column) -> DataFrame:
+        # by the row's values, so that a task that runs again deals alike
+        values = [c for c, kind in rows.dtypes if "map<" not in kind and "variant" not in kind]
+        own = F.array(F.pmod(F.xxhash64(*values), F.col("_parts")).cast("int"))
+        part = F.when(F.col("_parts").isNull(), F.array(F.lit(0))).when(split, own).otherwise(F.sequence(F.lit(0), F.col("_parts") - 1))
+        placed = rows.join(many, on, "left").withColumn("_part", F.explode(part)).drop("_parts", "_split_left")
+        return placed.repartition(tasks, *on, "_part")
+
+    joined = dealt(left, F.col("_split_left")).join(dealt(target, ~F.col("_split_left")), [*on, "_part"], how)
+    return joined.drop("_part")
 
 
 def raw_event_of(overview: DataFrame, events: DataFrame, keys: list[str] = HOST) -> DataFrame:
