@@ -145,6 +145,25 @@ def test_model_beats_counts_on_held_out(spark):
     assert sum(r.score for r in rows) > 1.05 * sum(r.base_score for r in rows)
 
 
+def test_rare_contexts_have_their_own_restaurants(spark):
+    """What follows a rare word is learnt apart from what follows other rare words."""
+    held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
+    triples = [f"c{i} t{i} often" for i in range(25_000)]
+    train, test = [i for i in range(400) if not held(i)][:75], [i for i in range(400) if held(i)][:2]
+    # three times each, in 25 texts
+    texts = [(i, " ".join(triples[k % 25::25])) for k, i in enumerate(train)]
+    mixed = [f"c{i} t{i + 1} often" for i in range(100)]
+    texts += [(test[0], " ".join(triples[:100])), (test[1], " ".join(mixed))]
+    rows = {r.doc_id: r for r in pitman_yor.score(spark.createDataFrame(texts, "doc_id bigint, text string")).filter("held_out").collect()}
+    assert 3 * pitman_yor.FREQUENT < rows[test[0]].train_tokens
+    # three customers at a table of a restaurant with three: over half; a rare word after the common one: over 2 of its 75,000;
+    # the first word and the end: over 1e-8
+    low = 100 * (2 * math.log10(0.5) + math.log10(2 / 75_076)) - 16
+    assert low < rows[test[0]].score < 0
+    # a word that never followed takes no part of the seated customers
+    assert rows[test[1]].score < rows[test[0]].score - 100 * 3
+
+
 def test_languages(spark):
     data = "/root/testdata/sf0.001/"
     documents, pages = spark.read.parquet(data + "documents.parquet"), spark.read.parquet(data + "pages.parquet")
